@@ -1,0 +1,44 @@
+"""Registered queries: one callable (spark, sf_dir) -> DataFrame per operator row of SURVEY §2.
+
+Every query reads the whole given tables (no id subsets or row caps); limits appear only
+where a top-k is the feature. Floating outputs are rounded through a decimal
+(``fixed6``) so results do not depend on summation order.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fansignal.functions.common import fixed6
+from fansignal.operators import sentiment as sent
+from fansignal.sources import fixtures as fx
+
+ALL_HOURS = 24 * 31  # the posts span January 2024; the range filter covers all of it
+
+
+def _round(df: DataFrame, places: dict[str, int] | None = None) -> DataFrame:
+    places = places or {}
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("double", "float"):
+            p = places.get(f.name, 6)
+            out.append(F.round(F.col(f.name).cast("decimal(38,12)"), p).cast("double").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def g08_spikes(spark: SparkSession, sf_dir: str, interval: str = "1h") -> DataFrame:
+    posts = fx.posts_v(spark, sf_dir)
+    s = sent.detect_spikes(posts, fx.as_of_col(), interval=interval, hours_back=ALL_HOURS)
+    return _round(s, {"avg_score": 4, "deviation_sigmas": 2})
+
+
+def g08_spikes_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g08_spikes(spark, sf_dir, "15m")
+
+
+QUERIES = {
+    "g08_spikes": g08_spikes,
+    "g08_spikes_15m": g08_spikes_15m,
+}
