@@ -42,3 +42,156 @@ QUERIES = {
     "g08_spikes": g08_spikes,
     "g08_spikes_15m": g08_spikes_15m,
 }
+
+
+# ---- match normalisation and scans (A06-A11, B11-B13, C01-C10) ---------------
+from fansignal.sources import matches as msrc  # noqa: E402
+from fansignal.functions import match as mfn  # noqa: E402
+from fansignal.operators import features as feat  # noqa: E402
+
+
+def c01_status_map(spark, sf_dir):
+    raw = fx.fixtures_raw_v(spark, sf_dir)
+    return (raw.select(F.col("fixture.status.short").alias("short"),
+                       mfn.status_map(F.col("fixture.status.short")).alias("status"))
+            .groupBy("short", "status").agg(F.count(F.lit(1)).alias("fixtures")))
+
+
+def c02_matches(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return m.select("match_id", "status", "stage", "utc_date", "home_team", "away_team",
+                    "home_score_ft", "away_score_ft", "home_score_ht", "away_score_ht", "winner",
+                    F.size("goals").alias("n_goals"), F.size("cards").alias("n_cards"),
+                    F.size("substitutions").alias("n_subs"))
+
+
+def c03_goals(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return m.select("match_id", F.posexplode("goals").alias("pos", "g")).select(
+        "match_id", "pos", "g.minute", "g.team", "g.scorer", "g.assist", "g.type")
+
+
+def c04_cards(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return m.select("match_id", F.posexplode("cards").alias("pos", "c")).select(
+        "match_id", "pos", "c.minute", "c.team", "c.player", "c.card")
+
+
+def c05_substitutions(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return m.select("match_id", F.posexplode("substitutions").alias("pos", "s")).select(
+        "match_id", "pos", "s.minute", "s.team", "s.player_out", "s.player_in")
+
+
+def c07_normalize_match(spark, sf_dir):
+    m = msrc.normalize_match(fx.matches_v(spark, sf_dir))
+    return m.select("match_id", "home_team", "away_team", "home_score_ft", "away_score_ft",
+                    "home_score_ht", "away_score_ht", "went_to_et", "went_to_pens", "stage_weight",
+                    mfn.stage_weight(F.col("stage"), "engineer").alias("stage_weight_engineer"),
+                    mfn.stage_weight(F.col("stage"), "normalize", True).alias("stage_weight_normalized"))
+
+
+def a08_finished(spark, sf_dir):
+    return msrc.finished_matches(fx.matches_v(spark, sf_dir)).select("match_id", "utc_date", "home_team", "away_team")
+
+
+def a09_scheduled(spark, sf_dir):
+    return msrc.scheduled_matches(fx.matches_v(spark, sf_dir)).select("match_id", "utc_date", "home_team", "away_team")
+
+
+def a10_live(spark, sf_dir):
+    raw = fx.fixtures_raw_v(spark, sf_dir)
+    return msrc.live_fixtures(raw).select(F.col("fixture.id").alias("match_id"),
+                                          F.col("fixture.status.short").alias("short"))
+
+
+def a11_by_status(spark, sf_dir):
+    raw = fx.fixtures_raw_v(spark, sf_dir)
+    return msrc.fixtures_by_status(raw, "FT").select(F.col("fixture.id").alias("match_id"))
+
+
+def _snap_summary(df):
+    return df.select("match_id", "snapshot_ts", F.size("goals").alias("n_goals"), F.size("cards").alias("n_cards"))
+
+
+def a06_upsert_latest(spark, sf_dir):
+    return _snap_summary(msrc.upsert_latest(fx.snapshots_v(spark, sf_dir), "match_id", "snapshot_ts"))
+
+
+def b11_snapshot_changes(spark, sf_dir):
+    return _snap_summary(msrc.snapshot_changes(fx.snapshots_v(spark, sf_dir)))
+
+
+def _events_cols(df):
+    return df.select("event_type", "match_id", "pos", "minute", "team", "scorer", "assist", "type", "player", "card")
+
+
+def b12_event_fanout(spark, sf_dir):
+    m = msrc.finished_matches(fx.matches_v(spark, sf_dir))
+    return _events_cols(msrc.match_event_rows(m, fx.as_of_col()))
+
+
+def b13_new_events(spark, sf_dir):
+    s = fx.snapshots_v(spark, sf_dir)
+    cur = msrc.match_event_rows(s.filter("snapshot_ts = utc_date + INTERVAL 90 MINUTES"), fx.as_of_col())
+    prev = msrc.match_event_rows(s.filter("snapshot_ts = utc_date + INTERVAL 60 MINUTES"), fx.as_of_col())
+    return _events_cols(msrc.new_events_only(cur, prev))
+
+
+# ---- team and player features (I01-I19) -------------------------------------
+
+def _finished(spark, sf_dir):
+    return msrc.finished_matches(fx.matches_v(spark, sf_dir))
+
+
+def i01_team_rows(spark, sf_dir):
+    tm = feat.team_match_rows(_finished(spark, sf_dir))
+    return tm.select("match_id", "team", "side", "gf", "ga", "ht_for", "ht_against", "points", "cards", "event_goals")
+
+
+def i03_recency_weights(spark, sf_dir):
+    tm = feat.with_recency_weight(feat.team_match_rows(_finished(spark, sf_dir)))
+    return _round(tm.select("team", "match_id", "weight"), {"weight": 9})
+
+
+def i04_team_features(spark, sf_dir):
+    return _round(feat.team_features(_finished(spark, sf_dir)))
+
+
+def i11_merge_advanced(spark, sf_dir):
+    tf = feat.team_features(_finished(spark, sf_dir))
+    out = feat.merge_advanced_stats(tf, fx.adv_stats_v(spark, sf_dir))
+    return _round(out.select("team", "matches_played", "form_score", *feat.ADVANCED_COLUMNS))
+
+
+def i12_player_features(spark, sf_dir):
+    return _round(feat.player_features(_finished(spark, sf_dir)))
+
+
+def i17_top_players(spark, sf_dir):
+    pf = feat.player_features(_finished(spark, sf_dir))
+    return _round(feat.top_players_per_team(pf, 3).select("team", "rank", "player", "goals", "assists",
+                                                          "goal_contributions_per_match"))
+
+
+def i18_standings(spark, sf_dir):
+    return feat.standings(_finished(spark, sf_dir))
+
+
+def i19_top_scorers(spark, sf_dir):
+    return feat.top_scorers(feat.player_features(_finished(spark, sf_dir)), 20)
+
+
+QUERIES.update({
+    "c01_status_map": c01_status_map, "c02_matches": c02_matches, "c03_goals": c03_goals,
+    "c04_cards": c04_cards, "c05_substitutions": c05_substitutions,
+    "c07_normalize_match": c07_normalize_match,
+    "a06_upsert_latest": a06_upsert_latest, "a08_finished": a08_finished, "a09_scheduled": a09_scheduled,
+    "a10_live": a10_live, "a11_by_status": a11_by_status,
+    "b11_snapshot_changes": b11_snapshot_changes, "b12_event_fanout": b12_event_fanout,
+    "b13_new_events": b13_new_events,
+    "i01_team_rows": i01_team_rows, "i03_recency_weights": i03_recency_weights,
+    "i04_team_features": i04_team_features, "i11_merge_advanced": i11_merge_advanced,
+    "i12_player_features": i12_player_features, "i17_top_players": i17_top_players,
+    "i18_standings": i18_standings, "i19_top_scorers": i19_top_scorers,
+})

@@ -36,3 +36,121 @@ ORACLE = {
     "g08_spikes": _spikes("1 hour"),
     "g08_spikes_15m": _spikes("15 minutes"),
 }
+
+from fansignal.plans.oracle_views import (ADV_V, ARRAYS_V, PLAYER_EVENTS_V, TEAM_FEATURES_V,  # noqa: E402
+                                          TEAM_ROWS_V)
+
+M = with_views(TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V)
+FEAT = with_views(TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V, TEAM_ROWS_V, TEAM_FEATURES_V)
+PLAY = with_views(TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V, PLAYER_EVENTS_V)
+ADV_COLS = ["xg", "xga", "xg_difference", "avg_possession", "avg_shots_on_target", "shot_accuracy",
+            "avg_pass_accuracy", "avg_corners", "avg_saves", "ppda", "progressive_passes",
+            "progressive_carries", "pressures"]
+
+SNAPS = M + """snap AS (
+  SELECT m.match_id, m.utc_date + to_minutes(CAST(30 * k AS BIGINT)) AS snapshot_ts, k,
+    (SELECT count(*) FROM goals_v g WHERE g.match_id = m.match_id AND g.minute <= 30 * k) AS n_goals,
+    (SELECT count(*) FROM cards_v c WHERE c.match_id = m.match_id AND c.minute <= 30 * k) AS n_cards
+  FROM matches_w m, (VALUES (1), (2), (3)) AS ks(k) WHERE m.status IN ('FINISHED', 'LIVE'))
+"""
+
+EVENT_ROWS = """ev AS (
+  SELECT 'goal' AS event_type, match_id, pos, minute, team, scorer, assist, type,
+         CAST(NULL AS VARCHAR) AS player, CAST(NULL AS VARCHAR) AS card, status FROM goals_v
+  UNION ALL
+  SELECT 'card', match_id, pos, minute, team, NULL, NULL, NULL, player, card, status FROM cards_v)
+"""
+
+ORACLE.update({
+    "c01_status_map": with_views(TEAMS_V) + """x AS (SELECT 1)
+      SELECT CASE o_orderstatus WHEN 'F' THEN 'FT' WHEN 'O' THEN 'NS' ELSE '1H' END AS short, status,
+             count(*) AS fixtures FROM teams_v GROUP BY ALL""",
+    "c02_matches": M + """x AS (SELECT 1)
+      SELECT m.match_id, m.status, m.stage, m.utc_date, m.home_team, m.away_team, m.home_score_ft, m.away_score_ft,
+        m.home_score_ht, m.away_score_ht, m.winner,
+        CAST((SELECT count(*) FROM goals_v g WHERE g.match_id = m.match_id) AS INTEGER) AS n_goals,
+        CAST((SELECT count(*) FROM cards_v c WHERE c.match_id = m.match_id) AS INTEGER) AS n_cards,
+        CAST((SELECT count(*) FROM subs_v s WHERE s.match_id = m.match_id) AS INTEGER) AS n_subs
+      FROM matches_w m""",
+    "c03_goals": M + """x AS (SELECT 1)
+      SELECT match_id, CAST(pos AS INTEGER) AS pos, minute, team, scorer, assist, type FROM goals_v""",
+    "c04_cards": M + """x AS (SELECT 1)
+      SELECT match_id, CAST(pos AS INTEGER) AS pos, minute, team, player, card FROM cards_v""",
+    "c05_substitutions": M + """x AS (SELECT 1)
+      SELECT match_id, CAST(pos AS INTEGER) AS pos, minute, team, player_out, player_in FROM subs_v""",
+    "c07_normalize_match": M + """x AS (SELECT 1)
+      SELECT match_id, home_team, away_team, coalesce(home_score_ft, 0) AS home_score_ft,
+        coalesce(away_score_ft, 0) AS away_score_ft, coalesce(home_score_ht, 0) AS home_score_ht,
+        coalesce(away_score_ht, 0) AS away_score_ht,
+        (upper(stage) LIKE '%EXTRA_TIME%' OR upper(stage) LIKE '%AET%' OR upper(stage) LIKE '%ET%') AS went_to_et,
+        (upper(stage) LIKE '%PENALTY%' OR upper(stage) LIKE '%PEN%' OR upper(stage) LIKE '%SHOOTOUT%') AS went_to_pens,
+        CASE WHEN contains(upper(stage), 'ROUND_OF_16') OR contains(upper(stage), 'QUARTER_FINALS')
+               OR contains(upper(stage), 'SEMI_FINALS') OR contains(upper(stage), 'FINAL')
+               OR contains(upper(stage), 'THIRD_PLACE') THEN 1.5 ELSE 1.0 END AS stage_weight,
+        CASE WHEN contains(upper(stage), 'ROUND_OF_16') OR contains(upper(stage), 'QUARTER')
+               OR contains(upper(stage), 'SEMI') OR contains(upper(stage), 'FINAL') THEN 1.5 ELSE 1.0 END
+          AS stage_weight_engineer,
+        CASE WHEN list_bool_or([contains(regexp_replace(upper(stage), '[ -]+', '_', 'g'), s)
+               FOR s IN ['ROUND_OF_16', 'QUARTER_FINALS', 'SEMI_FINALS', 'FINAL', 'THIRD_PLACE']])
+             THEN 1.5 ELSE 1.0 END AS stage_weight_normalized
+      FROM matches_w""",
+    "a08_finished": M + "x AS (SELECT 1) SELECT match_id, utc_date, home_team, away_team FROM matches_w WHERE status = 'FINISHED'",
+    "a09_scheduled": M + "x AS (SELECT 1) SELECT match_id, utc_date, home_team, away_team FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED')",
+    "a10_live": with_views(TEAMS_V) + "x AS (SELECT 1) SELECT o_orderkey AS match_id, '1H' AS short FROM teams_v WHERE o_orderstatus = 'P'",
+    "a11_by_status": with_views(TEAMS_V) + "x AS (SELECT 1) SELECT o_orderkey AS match_id FROM teams_v WHERE o_orderstatus = 'F'",
+    "a06_upsert_latest": SNAPS + """SELECT match_id, snapshot_ts, CAST(n_goals AS INTEGER) AS n_goals,
+        CAST(n_cards AS INTEGER) AS n_cards FROM snap WHERE k = 3""",
+    "b11_snapshot_changes": SNAPS + """, d AS (SELECT *, coalesce(lag(n_goals) OVER (PARTITION BY match_id ORDER BY k), 0) AS pg,
+        coalesce(lag(n_cards) OVER (PARTITION BY match_id ORDER BY k), 0) AS pc FROM snap)
+      SELECT match_id, snapshot_ts, CAST(n_goals AS INTEGER) AS n_goals, CAST(n_cards AS INTEGER) AS n_cards
+      FROM d WHERE n_goals > pg OR n_cards > pc""",
+    "b12_event_fanout": M + EVENT_ROWS + """SELECT event_type, match_id, CAST(pos AS INTEGER) AS pos, minute, team,
+        scorer, assist, type, player, card FROM ev WHERE status = 'FINISHED'""",
+    "b13_new_events": M + EVENT_ROWS + """, cur AS (SELECT * FROM ev WHERE minute <= 90),
+      prev AS (SELECT * FROM ev WHERE minute <= 60)
+      SELECT event_type, match_id, CAST(pos AS INTEGER) AS pos, minute, team, scorer, assist, type, player, card
+      FROM cur c WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.match_id = c.match_id
+        AND p.event_type = c.event_type AND p.minute IS NOT DISTINCT FROM c.minute
+        AND p.team IS NOT DISTINCT FROM c.team AND p.scorer IS NOT DISTINCT FROM c.scorer
+        AND p.player IS NOT DISTINCT FROM c.player AND p.type IS NOT DISTINCT FROM c.type
+        AND p.card IS NOT DISTINCT FROM c.card)""",
+    "i01_team_rows": FEAT + """x AS (SELECT 1) SELECT match_id, team, side, CAST(gf AS INTEGER) AS gf, CAST(ga AS INTEGER) AS ga,
+        CAST(ht_for AS INTEGER) AS ht_for, CAST(ht_against AS INTEGER) AS ht_against, points,
+        CAST(cards AS INTEGER) AS cards, CAST(event_goals AS INTEGER) AS event_goals FROM team_rows_v""",
+    "i03_recency_weights": FEAT + f"x AS (SELECT 1) SELECT team, match_id, {fx('weight', 9)} AS weight FROM team_rows_w",
+    "i04_team_features": FEAT + f"""x AS (SELECT 1) SELECT team, matches_played, {fx('form_score')} AS form_score,
+        {fx('avg_goals_scored')} AS avg_goals_scored, {fx('avg_goals_conceded')} AS avg_goals_conceded,
+        {fx('goal_difference')} AS goal_difference, {fx('clean_sheet_rate')} AS clean_sheet_rate, comeback_wins,
+        {fx('avg_cards')} AS avg_cards, {fx('avg_event_goals')} AS avg_event_goals, {fx('total_points')} AS total_points,
+        """ + ", ".join(f"0.0::DOUBLE AS {c}" for c in ADV_COLS) + " FROM team_features_v",
+    "i11_merge_advanced": FEAT[:-2] + ",\n" + ADV_V + f""",
+      pick AS (SELECT t.team, a.*, row_number() OVER (PARTITION BY t.team ORDER BY CASE WHEN a.team = t.team THEN 0 ELSE 1 END,
+                 a.team) AS rn
+               FROM team_features_v t JOIN adv_v a ON lower(a.team) = lower(t.team))
+      SELECT t.team, t.matches_played, {fx('t.form_score')} AS form_score,
+        {fx('coalesce(p.xg, 0.0)')} AS xg, {fx('coalesce(p.xga, 0.0)')} AS xga,
+        {fx('coalesce(p.xg, 0.0) - coalesce(p.xga, 0.0)')} AS xg_difference,
+        {fx('coalesce(p.possession_pct, 0.0)')} AS avg_possession, 0.0::DOUBLE AS avg_shots_on_target,
+        0.0::DOUBLE AS shot_accuracy, 0.0::DOUBLE AS avg_pass_accuracy, 0.0::DOUBLE AS avg_corners,
+        0.0::DOUBLE AS avg_saves, {fx('coalesce(p.ppda, 0.0)')} AS ppda,
+        {fx('coalesce(p.progressive_passes, 0.0)')} AS progressive_passes,
+        {fx('coalesce(p.progressive_carries, 0.0)')} AS progressive_carries,
+        {fx('coalesce(p.pressures, 0.0)')} AS pressures
+      FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team""",
+    "i12_player_features": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, yellow_cards, red_cards, matches,
+        {fx('goals_per_match')} AS goals_per_match, {fx('goal_contributions_per_match')} AS goal_contributions_per_match
+        FROM player_features_v""",
+    "i17_top_players": PLAY + f"""x AS (SELECT 1) SELECT team, rank, player, goals, assists,
+        {fx('goal_contributions_per_match')} AS goal_contributions_per_match FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY team ORDER BY goal_contributions_per_match DESC, player) AS INTEGER) AS rank
+        FROM player_features_v WHERE team IS NOT NULL) WHERE rank <= 3""",
+    "i18_standings": FEAT + """x AS (SELECT 1), g AS (SELECT stage, team, count(*) AS played,
+        count(*) FILTER (WHERE points = 3) AS won, count(*) FILTER (WHERE points = 1) AS drawn,
+        count(*) FILTER (WHERE points = 0) AS lost, CAST(sum(gf) AS BIGINT) AS goals_for,
+        CAST(sum(ga) AS BIGINT) AS goals_against, CAST(sum(points) AS BIGINT) AS pts FROM team_rows_v GROUP BY ALL)
+      SELECT *, goals_for - goals_against AS goal_diff,
+        CAST(rank() OVER (PARTITION BY stage ORDER BY pts DESC, goals_for - goals_against DESC, goals_for DESC) AS INTEGER) AS position
+      FROM g""",
+    "i19_top_scorers": PLAY + """x AS (SELECT 1) SELECT player, team, goals, assists FROM player_features_v
+        ORDER BY goals DESC, assists DESC, player LIMIT 20""",
+})

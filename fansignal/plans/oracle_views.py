@@ -89,3 +89,80 @@ def with_views(*views: str) -> str:
 def fx(expr: str, places: int = 6) -> str:
     """Order-independent rounding (same rule as ``functions.common.fixed6``)."""
     return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), {places}) AS DOUBLE)"
+
+# Events attached to finished and live matches, with their position inside each array.
+ARRAYS_V = """goals_v AS (
+  SELECT match_id, status, utc_date, home, away, minute, team, player AS scorer, goal_assist AS assist,
+    'Normal Goal' AS type,
+    row_number() OVER (PARTITION BY match_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
+  FROM events_v WHERE is_goal AND status IN ('FINISHED', 'LIVE')),
+cards_v AS (
+  SELECT match_id, status, utc_date, home, away, minute, team, player, card,
+    row_number() OVER (PARTITION BY match_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
+  FROM events_v WHERE kind = 'card' AND status IN ('FINISHED', 'LIVE')),
+subs_v AS (
+  SELECT match_id, minute, team, player AS player_out, 'P' || (l_suppkey + 1) AS player_in,
+    row_number() OVER (PARTITION BY match_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
+  FROM events_v WHERE kind = 'sub' AND status IN ('FINISHED', 'LIVE'))"""
+
+# Home/away rows of finished matches.
+TEAM_ROWS_V = """team_rows_v AS (
+  SELECT m.match_id, m.utc_date, m.stage, s.team, s.side, s.gf, s.ga, s.ht_for, s.ht_against,
+    CASE WHEN (s.side = 'home' AND m.winner = 'HOME_TEAM') OR (s.side = 'away' AND m.winner = 'AWAY_TEAM') THEN 3
+         WHEN m.winner = 'DRAW' THEN 1 ELSE 0 END AS points,
+    (SELECT count(*) FROM cards_v c WHERE c.match_id = m.match_id AND c.team = s.team) AS cards,
+    (SELECT count(*) FROM goals_v g WHERE g.match_id = m.match_id AND g.team = s.team) AS event_goals
+  FROM matches_w m, LATERAL (
+    SELECT m.home_team AS team, 'home' AS side, coalesce(m.home_score_ft, 0) AS gf, coalesce(m.away_score_ft, 0) AS ga,
+           coalesce(m.home_score_ht, 0) AS ht_for, coalesce(m.away_score_ht, 0) AS ht_against
+    UNION ALL
+    SELECT m.away_team, 'away', coalesce(m.away_score_ft, 0), coalesce(m.home_score_ft, 0),
+           coalesce(m.away_score_ht, 0), coalesce(m.home_score_ht, 0)) s
+  WHERE m.status = 'FINISHED'),
+team_rows_w AS (
+  SELECT *, pow(0.8, row_number() OVER (PARTITION BY team ORDER BY utc_date DESC, match_id DESC) - 1) AS weight
+  FROM team_rows_v)"""
+
+TEAM_FEATURES_V = """team_features_v AS (
+  SELECT team, count(*) AS matches_played,
+    CASE WHEN sum(weight) = 0 THEN 0 ELSE sum(points * weight) / sum(weight) END AS form_score,
+    CASE WHEN sum(weight) = 0 THEN 0 ELSE sum(gf * weight) / sum(weight) END AS avg_goals_scored,
+    CASE WHEN sum(weight) = 0 THEN 0 ELSE sum(ga * weight) / sum(weight) END AS avg_goals_conceded,
+    sum(gf * weight) - sum(ga * weight) AS goal_difference,
+    avg(CASE WHEN ga = 0 THEN 1.0 ELSE 0.0 END) AS clean_sheet_rate,
+    count(*) FILTER (WHERE ht_for < ht_against AND gf > ga) AS comeback_wins,
+    avg(cards) AS avg_cards, avg(event_goals) AS avg_event_goals,
+    CAST(sum(points) AS DOUBLE) AS total_points
+  FROM team_rows_w GROUP BY team)"""
+
+PLAYER_EVENTS_V = """player_events_v AS (
+  SELECT match_id, utc_date, scorer AS player, team, 'goal' AS kind, 0 AS kind_rank, pos, 0 AS role
+    FROM goals_v WHERE status = 'FINISHED'
+  UNION ALL
+  SELECT match_id, utc_date, assist, team, 'assist', 0, pos, 1 FROM goals_v WHERE status = 'FINISHED' AND assist IS NOT NULL
+  UNION ALL
+  SELECT match_id, utc_date, player, team,
+    CASE WHEN upper(card) LIKE '%YELLOW%' THEN 'yellow' WHEN upper(card) LIKE '%RED%' THEN 'red' ELSE 'card' END,
+    1, pos, 0 FROM cards_v WHERE status = 'FINISHED'),
+player_features_v AS (
+  SELECT a.player, t.team, a.goals, a.assists, a.yellow_cards, a.red_cards, a.matches,
+    CASE WHEN a.matches = 0 THEN 0 ELSE a.goals / a.matches END AS goals_per_match,
+    CASE WHEN a.matches = 0 THEN 0 ELSE (a.goals + a.assists) / a.matches END AS goal_contributions_per_match
+  FROM (SELECT player, count(*) FILTER (WHERE kind = 'goal') AS goals, count(*) FILTER (WHERE kind = 'assist') AS assists,
+          count(*) FILTER (WHERE kind = 'yellow') AS yellow_cards, count(*) FILTER (WHERE kind = 'red') AS red_cards,
+          count(DISTINCT match_id) AS matches
+        FROM player_events_v GROUP BY player) a
+  JOIN (SELECT player, team FROM (SELECT player, team, row_number() OVER (PARTITION BY player
+          ORDER BY utc_date DESC, match_id DESC, kind_rank DESC, pos DESC, role DESC) AS rn FROM player_events_v) WHERE rn = 1) t
+  ON t.player = a.player)"""
+
+ADV_V = """adv_v AS (
+  SELECT CASE WHEN n_nationkey % 2 = 1 THEN lower('TEAM_' || n_nationkey) ELSE 'TEAM_' || n_nationkey END AS team,
+    CAST(n_nationkey / 10.0 AS DOUBLE) AS xg, CAST((24 - n_nationkey) / 10.0 AS DOUBLE) AS xga,
+    CAST((40 + n_nationkey) / 100.0 AS DOUBLE) AS possession_pct,
+    CAST(CASE WHEN n_nationkey % 5 = 0 THEN 0.0 ELSE 5.0 + n_nationkey % 7 END AS DOUBLE) AS ppda,
+    CAST(100.0 + 3 * n_nationkey AS DOUBLE) AS progressive_passes,
+    CAST(80.0 + 2 * n_nationkey AS DOUBLE) AS progressive_carries,
+    CAST(150.0 + n_nationkey AS DOUBLE) AS pressures
+  FROM nation
+  UNION ALL SELECT 'TEAM_99', 9.9, 0.1, 0.9, 1.0, 1.0, 1.0, 1.0)"""
