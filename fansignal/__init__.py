@@ -8,3 +8,14 @@ Sub-packages:
   streaming  Structured Streaming twins of the ingest-side operators
 """
 __all__ = ["sources", "functions", "operators", "plans", "streaming"]
+
+# Ship this package's functions to Python workers by value, so UDFs and pandas
+# functions run on executors that do not have the package installed.
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

@@ -27,3 +27,11 @@ def ltz(c: Column | str) -> Column:
 def epoch_seconds(c: Column | str) -> Column:
     """Seconds since epoch as double (micro precision) of a ts / ts_ntz column."""
     return F.unix_micros(ltz(c)) / F.lit(1e6)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column function).
+
+    Referencing a long expression several times inlines it several times; binding it to
+    a lambda variable keeps one evaluation and keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -195,3 +195,99 @@ QUERIES.update({
     "i12_player_features": i12_player_features, "i17_top_players": i17_top_players,
     "i18_standings": i18_standings, "i19_top_scorers": i19_top_scorers,
 })
+
+
+# ---- text cleaning and filtering (B01, B04, D02-D19) -------------------------
+from fansignal.functions import text as tx  # noqa: E402
+from fansignal.functions.scoring import tokens as _tokens  # noqa: E402
+
+
+def _texts(spark, sf_dir):
+    return fx.texts_v(spark, sf_dir)
+
+
+def _text_step(fn):
+    def q(spark, sf_dir):
+        return _texts(spark, sf_dir).select("doc_id", fn(F.col("text")).alias("text_out"))
+    return q
+
+
+def d06_strip_accents(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", tx.strip_accents(F.col("text")).alias("text_out"))
+
+
+def d08_slang(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", tx.rewrite_slang(tx.strip_accents(F.col("text"))).alias("text_out"))
+
+
+def d10_word_filter(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return t.filter(tx.word_count(F.col("text")) >= 4).select("doc_id", tx.word_count(F.col("text")).alias("words"))
+
+
+def d11_letter_ratio(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return _round(t.filter(tx.letter_ratio(F.col("text")) >= 0.4)
+                  .select("doc_id", tx.letter_ratio(F.col("text")).alias("letter_ratio")), {"letter_ratio": 9})
+
+
+def d12_clean_text(spark, sf_dir):
+    t = _texts(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("text_clean"))
+    return t.filter(F.col("text_clean").isNotNull())
+
+
+def d13_bot_author(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    return p.filter(tx.is_bot_author(F.col("author"))).select("post_id", "author")
+
+
+def d14_low_score(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    return p.filter(tx.is_low_score(F.col("score"))).select("post_id", "score")
+
+
+def d15_repeated_chars(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return t.filter(tx.is_repeated_char_spam(F.col("text"))).select("doc_id")
+
+
+def d16_spam(spark, sf_dir):
+    t = _texts(spark, sf_dir).withColumn("score", (F.col("doc_id") % 40 - 25).cast("int"))
+    return t.filter(tx.is_spam(F.col("author"), F.col("score"), F.col("text"))).select("doc_id")
+
+
+def d17_language(spark, sf_dir):
+    t = _texts(spark, sf_dir).select("doc_id", "lang", tx.clean_text(F.col("text")).alias("c"))
+    t = t.filter(F.col("c").isNotNull())
+    return t.groupBy("lang", tx.detect_language(F.col("c")).alias("detected")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+def d18_tokens(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    tok = _tokens(F.col("text"))
+    return t.select("doc_id", F.size(tok).alias("n_tokens"), F.array_join(tok, " ").alias("tokens"))
+
+
+def d19_truncate(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", tx.truncate(F.col("text"), 1000).alias("text_out"))
+
+
+def b01_relevance(spark, sf_dir):
+    return _texts(spark, sf_dir).filter(tx.is_relevant(F.col("text"))).select("doc_id")
+
+
+def b04_track_rule(spark, sf_dir):
+    return _texts(spark, sf_dir).filter(tx.matches_track_rule(F.col("text"), F.col("lang"))).select("doc_id")
+
+
+QUERIES.update({
+    "d02_html_entities": _text_step(tx.strip_html_entities), "d03_urls": _text_step(tx.remove_urls),
+    "d04_mentions": _text_step(tx.remove_mentions), "d05_hashtags": _text_step(tx.unwrap_hashtags),
+    "d06_strip_accents": d06_strip_accents, "d07_emoji": _text_step(tx.remove_emoji),
+    "d08_slang": d08_slang, "d09_whitespace": _text_step(tx.collapse_whitespace),
+    "d10_word_filter": d10_word_filter, "d11_letter_ratio": d11_letter_ratio,
+    "d12_clean_text": d12_clean_text, "d13_bot_author": d13_bot_author, "d14_low_score": d14_low_score,
+    "d15_repeated_chars": d15_repeated_chars, "d16_spam": d16_spam, "d17_language": d17_language,
+    "d18_tokens": d18_tokens, "d19_truncate": d19_truncate,
+    "b01_relevance": b01_relevance, "b04_track_rule": b04_track_rule,
+})

@@ -154,3 +154,68 @@ ORACLE.update({
     "i19_top_scorers": PLAY + """x AS (SELECT 1) SELECT player, team, goals, assists FROM player_features_v
         ORDER BY goals DESC, assists DESC, player LIMIT 20""",
 })
+
+from fansignal.functions.text import SLANG_RULES  # noqa: E402
+
+T = with_views(TEXTS_V)
+EMOJI_SQL = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F9FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+
+
+def _slang_sql(expr: str) -> str:
+    for pat, rep in SLANG_RULES:
+        expr = f"regexp_replace({expr}, '(?i){pat}', '{rep}', 'g')"
+    return expr
+
+
+def _strip_ws(e):
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _words(e):
+    return f"CASE WHEN {_strip_ws(e)} = '' THEN 0 ELSE len(string_split_regex({_strip_ws(e)}, '\\s+')) END"
+
+
+def _letter_ratio(e):
+    return f"length(regexp_replace({e}, '[^\\p{{L}}]', '', 'g')) / greatest(length({e}), 1)"
+
+
+def _clean_sql(e="text"):
+    t = f"regexp_replace({e}, '&[a-zA-Z]+;|&#\\d+;', ' ', 'g')"
+    t = f"regexp_replace({t}, 'https?://\\S+|www\\.\\S+', '', 'g')"
+    t = f"regexp_replace({t}, '@[\\p{{L}}\\p{{N}}_]+', '', 'g')"
+    t = f"replace({t}, '#', '')"
+    t = f"strip_accents({t})"
+    t = f"regexp_replace({t}, '{EMOJI_SQL}', ' ', 'g')"
+    t = _slang_sql(t)
+    t = _strip_ws(f"regexp_replace({t}, '\\s{{2,}}', ' ', 'g')")
+    return t
+
+
+CLEAN = T + f"""c0 AS (SELECT doc_id, lang, author, text, {_clean_sql()} AS t FROM texts_v),
+c AS (SELECT doc_id, lang, CASE WHEN text IS NULL OR text = '' THEN NULL
+        WHEN {_words('t')} >= 4 AND {_letter_ratio('t')} >= 0.4 THEN t END AS text_clean FROM c0)
+"""
+
+ORACLE.update({
+    "d02_html_entities": T + "x AS (SELECT 1) SELECT doc_id, regexp_replace(text, '&[a-zA-Z]+;|&#\\d+;', ' ', 'g') AS text_out FROM texts_v",
+    "d03_urls": T + "x AS (SELECT 1) SELECT doc_id, regexp_replace(text, 'https?://\\S+|www\\.\\S+', '', 'g') AS text_out FROM texts_v",
+    "d04_mentions": T + "x AS (SELECT 1) SELECT doc_id, regexp_replace(text, '@[\\p{L}\\p{N}_]+', '', 'g') AS text_out FROM texts_v",
+    "d05_hashtags": T + "x AS (SELECT 1) SELECT doc_id, replace(text, '#', '') AS text_out FROM texts_v",
+    "d06_strip_accents": T + "x AS (SELECT 1) SELECT doc_id, strip_accents(text) AS text_out FROM texts_v",
+    "d07_emoji": T + f"x AS (SELECT 1) SELECT doc_id, regexp_replace(text, '{EMOJI_SQL}', ' ', 'g') AS text_out FROM texts_v",
+    "d08_slang": T + f"x AS (SELECT 1) SELECT doc_id, {_slang_sql('strip_accents(text)')} AS text_out FROM texts_v",
+    "d09_whitespace": T + f"x AS (SELECT 1) SELECT doc_id, {_strip_ws("regexp_replace(text, '\\s{2,}', ' ', 'g')")} AS text_out FROM texts_v",
+    "d10_word_filter": T + f"x AS (SELECT 1) SELECT doc_id, CAST({_words('text')} AS INTEGER) AS words FROM texts_v WHERE {_words('text')} >= 4",
+    "d11_letter_ratio": T + f"x AS (SELECT 1) SELECT doc_id, {fx(_letter_ratio('text'), 9)} AS letter_ratio FROM texts_v WHERE {_letter_ratio('text')} >= 0.4",
+    "d12_clean_text": CLEAN + "SELECT doc_id, text_clean FROM c WHERE text_clean IS NOT NULL",
+    "d13_bot_author": with_views(POSTS_V) + "x AS (SELECT 1) SELECT post_id, author FROM posts_v WHERE regexp_matches(author, '(?i)bot$|^auto|^mod|_bot$|newsbot|feedbot')",
+    "d14_low_score": with_views(POSTS_V) + "x AS (SELECT 1) SELECT post_id, score FROM posts_v WHERE score < -10",
+    "d17_language": CLEAN + """SELECT lang, CASE WHEN length(regexp_replace(text_clean, '[^A-Za-z]', '', 'g')) / greatest(length(text_clean), 1) > 0.7
+        THEN 'en' ELSE 'other' END AS detected, count(*) AS docs FROM c WHERE text_clean IS NOT NULL GROUP BY ALL""",
+    "d18_tokens": T + """x AS (SELECT 1), tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda x: x <> '') AS t FROM texts_v)
+      SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM tk""",
+    "d19_truncate": T + "x AS (SELECT 1) SELECT doc_id, substring(text, 1, 1000) AS text_out FROM texts_v",
+    "b01_relevance": T + """x AS (SELECT 1) SELECT doc_id FROM texts_v WHERE contains(lower(text), 'world cup') OR contains(lower(text), 'worldcup')
+        OR contains(lower(text), 'fifa') OR contains(lower(text), 'worldcup2026')""",
+    "b04_track_rule": T + """x AS (SELECT 1) SELECT doc_id FROM texts_v WHERE regexp_matches(text, '(?i)#(worldcup2026|fifaworldcup|worldcup)\\b') AND lang = 'en'""",
+})

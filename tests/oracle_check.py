@@ -67,7 +67,7 @@ def compare(spark, con, key, fn, sql, sf_dir):
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         bad = [(x, y) for x, y in zip(a, b) if x != y]
         if bad:
-            status.append(f"{len(bad)} differing rows, e.g. spark={bad[0][0]} duck={bad[0][1]}")
+            status.append(f"{len(bad)} differing rows, e.g. spark={str(bad[0][0])[:300]} duck={str(bad[0][1])[:300]}")
     ok = not status
     print(f"{'OK ' if ok else 'BAD'} {key:32s} rows={len(srows):7d} spark={t1 - t0:6.2f}s duck={t2 - t1:5.2f}s "
           + "; ".join(status), flush=True)
