@@ -291,3 +291,50 @@ QUERIES.update({
     "d18_tokens": d18_tokens, "d19_truncate": d19_truncate,
     "b01_relevance": b01_relevance, "b04_track_rule": b04_track_rule,
 })
+
+
+# ---- de-duplication (E01-E07) -------------------------------------------------
+from fansignal.operators import dedup as dd  # noqa: E402
+from fansignal.sources.tables import table as _table  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("doc_id").alias("ts"), "text")
+
+
+def e01_shingles(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.size(dd.shingles(F.col("text"))).alias("n_shingles"))
+
+
+def e02_jaccard_adjacent(spark, sf_dir):
+    """Jaccard of each document with the next doc_id (an equi join on doc_id + 1)."""
+    d = _docs(spark, sf_dir).select("doc_id", dd.shingles(F.col("text")).alias("s"))
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("s2"))
+    return _round(d.join(nxt, "doc_id").select("doc_id", dd.jaccard(F.col("s"), F.col("s2")).alias("jaccard")))
+
+
+def e03_near_dup_pairs(spark, sf_dir):
+    return _round(dd.near_duplicate_pairs(_docs(spark, sf_dir)))
+
+
+def e05_keep_first(spark, sf_dir):
+    return dd.keep_first(_docs(spark, sf_dir)).select("doc_id")
+
+
+def e06_rolling_dedup(spark, sf_dir):
+    t = fx.texts_v(spark, sf_dir)
+    return dd.rolling_dedup(t, ["source"], ["ts", "doc_id"]).select("doc_id")
+
+
+def e07_exact_dups(spark, sf_dir):
+    g = dd.exact_duplicate_groups(_docs(spark, sf_dir))
+    return g.filter(F.col("id") != F.col("rep_id")).select(F.col("id").alias("doc_id"), "rep_id")
+
+
+QUERIES.update({
+    "e01_shingles": e01_shingles, "e02_jaccard_adjacent": e02_jaccard_adjacent,
+    "e03_near_dup_pairs": e03_near_dup_pairs, "e05_keep_first": e05_keep_first,
+    "e06_rolling_dedup": e06_rolling_dedup, "e07_exact_dups": e07_exact_dups,
+})

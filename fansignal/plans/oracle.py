@@ -219,3 +219,36 @@ ORACLE.update({
         OR contains(lower(text), 'fifa') OR contains(lower(text), 'worldcup2026')""",
     "b04_track_rule": T + """x AS (SELECT 1) SELECT doc_id FROM texts_v WHERE regexp_matches(text, '(?i)#(worldcup2026|fifaworldcup|worldcup)\\b') AND lang = 'en'""",
 })
+
+# De-duplication, brute force over the documents table.
+SH = """x AS (SELECT 1),
+w AS (SELECT doc_id, CASE WHEN regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') = '' THEN []::VARCHAR[]
+        ELSE string_split_regex(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+') END AS w FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN w
+        ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
+ut AS (SELECT DISTINCT doc_id, unnest(s) AS t FROM sh),
+ns AS (SELECT doc_id, len(s) AS n, list_sort(s) AS ss FROM sh)
+"""
+
+NEAR = SH + """, reps AS (SELECT min(doc_id) AS doc_id FROM ns WHERE n > 0 GROUP BY ss),
+rt AS (SELECT ut.* FROM ut JOIN reps USING (doc_id)),
+inter AS (SELECT a.doc_id AS earlier_id, b.doc_id AS later_id, count(*) AS i
+          FROM rt a JOIN rt b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT earlier_id, later_id, i / (na.n + nb.n - i) AS jaccard FROM inter
+          JOIN ns na ON na.doc_id = earlier_id JOIN ns nb ON nb.doc_id = later_id
+          WHERE i / (na.n + nb.n - i) >= 0.8 - 1e-9)
+"""
+
+ORACLE.update({
+    "e01_shingles": "WITH " + SH[len("x AS (SELECT 1),\n"):] + "SELECT doc_id, CAST(n AS INTEGER) AS n_shingles FROM ns",
+    "e02_jaccard_adjacent": "WITH " + SH[len("x AS (SELECT 1),\n"):] + f""", pr AS (
+        SELECT a.doc_id, a.n AS na, b.n AS nb,
+          (SELECT count(*) FROM ut x JOIN ut y ON x.t = y.t WHERE x.doc_id = a.doc_id AND y.doc_id = b.doc_id) AS i
+        FROM ns a JOIN ns b ON b.doc_id = a.doc_id + 1)
+      SELECT doc_id, {fx('CASE WHEN na + nb - i = 0 THEN 0.0 ELSE i / (na + nb - i) END')} AS jaccard FROM pr""",
+    "e03_near_dup_pairs": "WITH " + NEAR[len("x AS (SELECT 1),\n"):] + f"SELECT earlier_id, later_id, {fx('jaccard')} AS jaccard FROM pairs",
+    "e05_keep_first": "WITH " + NEAR[len("x AS (SELECT 1),\n"):] + """, firsts AS (SELECT min(doc_id) AS doc_id FROM ns GROUP BY ss)
+      SELECT doc_id FROM firsts WHERE doc_id NOT IN (SELECT later_id FROM pairs)""",
+    "e07_exact_dups": "WITH " + SH[len("x AS (SELECT 1),\n"):] + """, g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ss) AS rep_id FROM ns)
+      SELECT doc_id, rep_id FROM g WHERE doc_id <> rep_id""",
+})
