@@ -338,3 +338,153 @@ QUERIES.update({
     "e03_near_dup_pairs": e03_near_dup_pairs, "e05_keep_first": e05_keep_first,
     "e06_rolling_dedup": e06_rolling_dedup, "e07_exact_dups": e07_exact_dups,
 })
+
+
+# ---- enrichment (F), remaining sentiment panels (G), team mentions (H) --------
+from fansignal.functions import scoring as scf  # noqa: E402
+from fansignal.operators import enrich as en  # noqa: E402
+
+
+def _team_dim(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return m.select(F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
+
+
+def _text_posts(spark, sf_dir):
+    """texts_v as posts scored by the lexicon scorer."""
+    t = fx.texts_v(spark, sf_dir).withColumnRenamed("doc_id", "post_id").withColumnRenamed("ts", "timestamp")
+    return en.score_posts(t)
+
+
+def f01_decay_weight(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    return _round(p.select("post_id", scf.time_decay_weight(F.col("timestamp"), fx.as_of_col()).alias("weight")),
+                  {"weight": 9})
+
+
+def f02_engagement_weight(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    return _round(p.select("post_id", scf.engagement_weight(F.col("score"), F.col("like_count")).alias("weight")))
+
+
+def f04_assign_matches(spark, sf_dir):
+    posts = _text_posts(spark, sf_dir)
+    pairs = sent.post_team_pairs(posts, _team_dim(spark, sf_dir))
+    m = fx.matches_v(spark, sf_dir)
+    out = en.assign_matches(posts, pairs, m)
+    return out.select("post_id", "match_id", "match_phase")
+
+
+def f06_lexicon_score(spark, sf_dir):
+    return _round(_text_posts(spark, sf_dir).select("post_id", "sentiment_label", "sentiment_score"))
+
+
+def f11_entity_filter(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    e = F.concat(F.col("entities"), F.array(
+        F.struct(F.lit("x").alias("name"), F.lit("ORG").alias("type"), F.lit(0.5).alias("score")),
+        F.struct(F.lower(F.col("entities")[0]["name"]).alias("name"), F.lit("ORG").alias("type"),
+                 F.lit(0.123456).alias("score")),
+        F.struct(F.lit("Paris").alias("name"), F.lit("LOC").alias("type"), F.lit(0.9).alias("score"))))
+    f = en.filter_entities(e)
+    return p.select("post_id", F.size(f).alias("n_entities"),
+                    F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["name"], x["type"],
+                                                                       x["score"].cast("string"))), "|").alias("entities"))
+
+
+def f12_gazetteer(spark, sf_dir):
+    posts = _text_posts(spark, sf_dir)
+    names = _team_dim(spark, sf_dir).select(F.col("team").alias("name"), F.lit("ORG").alias("type"))
+    g = en.gazetteer_entities(posts, names)
+    return g.select("post_id", F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("entities"))
+
+
+def f14_aggregate_sentiment(spark, sf_dir):
+    p = fx.posts_v(spark, sf_dir)
+    return _round(en.aggregate_sentiment(p, ["source"], fx.as_of_col()))
+
+
+def f15_phase_breakdown(spark, sf_dir):
+    posts = _text_posts(spark, sf_dir)
+    pairs = sent.post_team_pairs(posts, _team_dim(spark, sf_dir))
+    a = en.assign_matches(posts, pairs, fx.matches_v(spark, sf_dir))
+    b = en.phase_breakdown(a, ["source"])
+    return _round(b.select("source", F.explode("phase_breakdown").alias("phase", "v"))
+                  .select("source", "phase", F.col("v.avg").alias("avg"), F.col("v.count").alias("count")))
+
+
+def f17_thread_sample(spark, sf_dir):
+    posts = _text_posts(spark, sf_dir)
+    pairs = sent.post_team_pairs(posts, _team_dim(spark, sf_dir))
+    a = en.assign_matches(posts, pairs, fx.matches_v(spark, sf_dir))
+    s = en.match_thread_sample(a.withColumn("text", F.substring("text", 1, 60)), 30)
+    return s.select("match_id", "sample", F.length("sample").alias("sample_chars"), "posts")
+
+
+def g02_histogram(spark, sf_dir):
+    p = sent.time_range(fx.posts_v(spark, sf_dir), fx.as_of_col(), ALL_HOURS)
+    return _round(sent.bucket_stats(p, "15m"))
+
+
+def g03_gap_fill(spark, sf_dir):
+    p = sent.time_range(fx.posts_v(spark, sf_dir), fx.as_of_col(), ALL_HOURS)
+    return _round(sent.fill_gaps(sent.bucket_stats(p, "15m"), "15m"))
+
+
+def g05_top_entities(spark, sf_dir):
+    p = sent.time_range(fx.posts_v(spark, sf_dir), fx.as_of_col(), ALL_HOURS)
+    return sent.top_entities(p, "1h", 5)
+
+
+def g07_timeline(spark, sf_dir):
+    return _round(sent.timeline(fx.posts_v(spark, sf_dir), fx.as_of_col(), ALL_HOURS, "1h"))
+
+
+def g10_events_near(spark, sf_dir):
+    spikes = sent.detect_spikes(fx.posts_v(spark, sf_dir), fx.as_of_col(), interval="1h", hours_back=ALL_HOURS)
+    ev = sent.events_near(spikes, fx.matches_v(spark, sf_dir), 30)
+    return ev.withColumn("marker", sent.event_marker(F.col("type")))
+
+
+def g12_label_distribution(spark, sf_dir):
+    return sent.label_distribution(fx.posts_v(spark, sf_dir), 3)
+
+
+def g13_post_volume(spark, sf_dir):
+    return sent.post_volume(fx.posts_v(spark, sf_dir), "15m")
+
+
+def g14_sentiment_by_source(spark, sf_dir):
+    return _round(sent.sentiment_by_source(fx.posts_v(spark, sf_dir), "1h", 5))
+
+
+def g15_sentiment_over_time(spark, sf_dir):
+    return _round(sent.sentiment_over_time(fx.posts_v(spark, sf_dir), "15m"))
+
+
+def h01_mentions_team(spark, sf_dir):
+    t = fx.texts_v(spark, sf_dir)
+    return t.filter(sent.mentions_team(F.col("text"), "TEAM_3")).select("doc_id")
+
+
+def h02_post_team_pairs(spark, sf_dir):
+    return sent.post_team_pairs(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir))
+
+
+def h03_team_sentiment(spark, sf_dir):
+    return _round(sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None))
+
+
+QUERIES.update({
+    "f01_decay_weight": f01_decay_weight, "f02_engagement_weight": f02_engagement_weight,
+    "f04_assign_matches": f04_assign_matches, "f06_lexicon_score": f06_lexicon_score,
+    "f11_entity_filter": f11_entity_filter, "f12_gazetteer": f12_gazetteer,
+    "f14_aggregate_sentiment": f14_aggregate_sentiment, "f15_phase_breakdown": f15_phase_breakdown,
+    "f17_thread_sample": f17_thread_sample,
+    "g02_histogram": g02_histogram, "g03_gap_fill": g03_gap_fill, "g05_top_entities": g05_top_entities,
+    "g07_timeline": g07_timeline, "g10_events_near": g10_events_near,
+    "g12_label_distribution": g12_label_distribution, "g13_post_volume": g13_post_volume,
+    "g14_sentiment_by_source": g14_sentiment_by_source, "g15_sentiment_over_time": g15_sentiment_over_time,
+    "h01_mentions_team": h01_mentions_team, "h02_post_team_pairs": h02_post_team_pairs,
+    "h03_team_sentiment": h03_team_sentiment,
+})

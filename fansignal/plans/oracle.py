@@ -252,3 +252,131 @@ ORACLE.update({
     "e07_exact_dups": "WITH " + SH[len("x AS (SELECT 1),\n"):] + """, g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ss) AS rep_id FROM ns)
       SELECT doc_id, rep_id FROM g WHERE doc_id <> rep_id""",
 })
+
+from fansignal.functions.scoring import NEGATIVE_WORDS, POSITIVE_WORDS  # noqa: E402
+
+LEX = "lex(word, pol) AS (VALUES " + ", ".join(
+    [f"('{w}', 1)" for w in POSITIVE_WORDS] + [f"('{w}', -1)" for w in NEGATIVE_WORDS]) + ")"
+
+TP = with_views(TEXTS_V, TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V) + LEX + """,
+tp AS (SELECT doc_id AS post_id, ts AS "timestamp", source, text FROM texts_v),
+ltok AS (SELECT post_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda x: x <> '')) AS t FROM tp),
+lsc AS (SELECT post_id, count(*) AS hits, sum(pol) AS pol FROM ltok JOIN lex ON lex.word = ltok.t GROUP BY post_id),
+scored AS (SELECT tp.*, CASE WHEN coalesce(pol, 0) > 0 THEN 'positive' WHEN coalesce(pol, 0) < 0 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+  CASE WHEN coalesce(hits, 0) > 0 THEN 0.5 + 0.5 * pol / hits ELSE 0.5 END AS sentiment_score
+  FROM tp LEFT JOIN lsc USING (post_id)),
+teams AS (SELECT DISTINCT home_team AS team FROM matches_w UNION SELECT DISTINCT away_team FROM matches_w),
+ttok AS (SELECT DISTINCT post_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS t FROM tp),
+pairs AS (SELECT DISTINCT ttok.post_id, teams.team FROM ttok JOIN teams ON lower(teams.team) = ttok.t),
+side AS (SELECT match_id, utc_date, home_team AS team FROM matches_w UNION ALL SELECT match_id, utc_date, away_team FROM matches_w),
+near AS (SELECT post_id, match_id, utc_date, row_number() OVER (PARTITION BY post_id ORDER BY
+           abs(epoch(tp."timestamp") - epoch(side.utc_date)), match_id) AS rn
+         FROM pairs JOIN side USING (team) JOIN tp USING (post_id)),
+assigned AS (SELECT s.*, n.match_id,
+  CASE WHEN n.utc_date IS NULL THEN 'unknown'
+       WHEN (epoch(s."timestamp") - epoch(n.utc_date)) / 3600.0 < -2 THEN 'pre_match'
+       WHEN (epoch(s."timestamp") - epoch(n.utc_date)) / 3600.0 > 3 THEN 'post_match' ELSE 'live' END AS match_phase
+  FROM scored s LEFT JOIN (SELECT * FROM near WHERE rn = 1) n USING (post_id))
+"""
+
+PB = with_views(POSTS_V, POST_ENTITIES_V)
+RANGE = f'"timestamp" >= {AS_OF} - INTERVAL {ALL_HOURS} HOUR AND "timestamp" <= {AS_OF}'
+ENG = "least(5.0, 1.0 + ln(1 + greatest(coalesce(score, 0) + coalesce(like_count, 0), 0)) / 5.0)"
+DECAY = f"pow(0.5, (epoch({AS_OF}) - epoch(\"timestamp\")) / 60.0 / 30.0)"
+
+ORACLE.update({
+    "f01_decay_weight": PB + f"x AS (SELECT 1) SELECT post_id, {fx(DECAY, 9)} AS weight FROM posts_v",
+    "f02_engagement_weight": PB + f"x AS (SELECT 1) SELECT post_id, {fx(ENG)} AS weight FROM posts_v",
+    "f04_assign_matches": TP + "SELECT post_id, match_id, match_phase FROM assigned",
+    "f06_lexicon_score": TP + f"SELECT post_id, sentiment_label, {fx('sentiment_score')} AS sentiment_score FROM scored",
+    "f11_entity_filter": PB + """x AS (SELECT 1) SELECT post_id, 2 AS n_entities,
+        'TEAM_' || (user_id % 25) || ':ORG:0.9|PLAYER_' || user_id || ':PER:0.8' AS entities FROM posts_v""",
+    "f12_gazetteer": TP + """, gz AS (SELECT post_id, t, min(pos) AS pos FROM (
+          SELECT post_id, generate_subscripts(tk, 1) AS pos, unnest(tk) AS t FROM (
+            SELECT post_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS tk FROM tp))
+          GROUP BY ALL)
+      SELECT post_id, string_agg(teams.team, ',' ORDER BY pos) AS entities FROM gz JOIN teams ON lower(teams.team) = gz.t GROUP BY post_id""",
+    "f14_aggregate_sentiment": PB + f"""x AS (SELECT 1), w AS (SELECT *, {DECAY} * {ENG} AS w FROM posts_v)
+      SELECT source, {fx('avg(sentiment_score)')} AS avg_sentiment,
+        {fx('CASE WHEN sum(w) <> 0 THEN sum(sentiment_score * w) / sum(w) ELSE 0.5 END')} AS weighted_sentiment,
+        {fx("count(*) FILTER (WHERE sentiment_label = 'positive') / count(*)")} AS positive_ratio,
+        {fx("count(*) FILTER (WHERE sentiment_label = 'negative') / count(*)")} AS negative_ratio,
+        {fx("count(*) FILTER (WHERE sentiment_label = 'neutral') / count(*)")} AS neutral_ratio,
+        count(*) AS post_count FROM w GROUP BY source""",
+    "f15_phase_breakdown": TP + f"""SELECT source, match_phase AS phase, {fx('avg(sentiment_score)')} AS avg, count(*) AS count
+        FROM assigned GROUP BY ALL""",
+    "f17_thread_sample": TP + """, r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY "timestamp", post_id) AS rk
+        FROM assigned WHERE match_id IS NOT NULL)
+      SELECT match_id, string_agg('- ' || substring(text, 1, 60), chr(10) ORDER BY rk) AS sample,
+        CAST(length(string_agg('- ' || substring(text, 1, 60), chr(10) ORDER BY rk)) AS INTEGER) AS sample_chars,
+        count(*) AS posts FROM r WHERE rk <= 30 GROUP BY match_id""",
+    "g02_histogram": PB + f"""x AS (SELECT 1) SELECT time_bucket(INTERVAL '15 minutes', "timestamp") AS bucket,
+        {fx('avg(sentiment_score)')} AS avg_score, count(*) AS doc_count,
+        count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
+        count(*) FILTER (WHERE sentiment_label = 'negative') AS negative,
+        count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(sentiment_label) AS post_count
+      FROM posts_v WHERE {RANGE} GROUP BY 1""",
+    "g03_gap_fill": PB + f"""x AS (SELECT 1), b AS (SELECT time_bucket(INTERVAL '15 minutes', "timestamp") AS bucket,
+        avg(sentiment_score) AS avg_score, count(*) AS doc_count,
+        count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
+        count(*) FILTER (WHERE sentiment_label = 'negative') AS negative,
+        count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(sentiment_label) AS post_count
+      FROM posts_v WHERE {RANGE} GROUP BY 1),
+      g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL '15 minutes')) AS bucket FROM b)
+      SELECT g.bucket, {fx('b.avg_score')} AS avg_score, coalesce(doc_count, 0) AS doc_count, coalesce(positive, 0) AS positive,
+        coalesce(negative, 0) AS negative, coalesce(neutral, 0) AS neutral, coalesce(post_count, 0) AS post_count
+      FROM g LEFT JOIN b USING (bucket)""",
+    "g05_top_entities": PB + f"""x AS (SELECT 1), c AS (SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS bucket, name, count(*) AS n
+        FROM post_entities_v WHERE {RANGE} GROUP BY 1, 2)
+      SELECT * FROM (SELECT bucket, name, n, CAST(row_number() OVER (PARTITION BY bucket ORDER BY n DESC, name) AS INTEGER) AS rank FROM c)
+      WHERE rank <= 5""",
+    "g07_timeline": PB + f"""x AS (SELECT 1), b AS (SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS bucket,
+        avg(sentiment_score) AS avg_score, count(*) AS doc_count,
+        count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
+        count(*) FILTER (WHERE sentiment_label = 'negative') AS negative,
+        count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(sentiment_label) AS post_count
+      FROM posts_v WHERE {RANGE} GROUP BY 1),
+      c AS (SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS bucket, name, count(*) AS n FROM post_entities_v WHERE {RANGE} GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, name) AS rk FROM c),
+      te AS (SELECT bucket, string_agg(name, ', ' ORDER BY rk) AS top_entities FROM r WHERE rk <= 5 GROUP BY bucket)
+      SELECT b.bucket AS "timestamp", {fx('avg_score')} AS avg_sentiment, doc_count, post_count, positive, negative, neutral,
+        coalesce(top_entities, '') AS top_entities FROM b LEFT JOIN te USING (bucket) WHERE avg_score IS NOT NULL""",
+    "g12_label_distribution": PB + """x AS (SELECT 1) SELECT sentiment_label, count(*) AS posts FROM posts_v GROUP BY 1
+        ORDER BY posts DESC, sentiment_label LIMIT 3""",
+    "g13_post_volume": PB + """x AS (SELECT 1) SELECT time_bucket(INTERVAL '15 minutes', "timestamp") AS bucket, count(*) AS posts
+        FROM posts_v GROUP BY 1""",
+    "g14_sentiment_by_source": PB + f"""x AS (SELECT 1), top AS (SELECT source FROM posts_v GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)
+      SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS bucket, source, {fx('avg(sentiment_score)')} AS avg_sentiment,
+        count(*) AS posts FROM posts_v WHERE source IN (SELECT source FROM top) GROUP BY 1, 2""",
+    "g15_sentiment_over_time": PB + f"""x AS (SELECT 1) SELECT time_bucket(INTERVAL '15 minutes', "timestamp") AS bucket,
+        {fx('avg(sentiment_score)')} AS avg_sentiment FROM posts_v GROUP BY 1""",
+    "h01_mentions_team": T + """x AS (SELECT 1) SELECT doc_id FROM texts_v
+        WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), 'team_3')""",
+    "h02_post_team_pairs": TP + "SELECT post_id, team FROM pairs",
+    "h03_team_sentiment": TP + f""", agg AS (SELECT team, avg(sentiment_score) AS a, count(sentiment_label) AS n,
+        count(*) FILTER (WHERE sentiment_label = 'positive') AS pos, count(*) FILTER (WHERE sentiment_label = 'negative') AS neg
+        FROM pairs JOIN scored USING (post_id) GROUP BY team)
+      SELECT team, {fx('coalesce(CASE WHEN a <> 0 THEN a END, 0.5)')} AS avg_sentiment, coalesce(n, 0) AS post_count,
+        {fx('coalesce(pos, 0) / greatest(coalesce(n, 0), 1)')} AS positive_ratio,
+        {fx('coalesce(neg, 0) / greatest(coalesce(n, 0), 1)')} AS negative_ratio
+      FROM teams LEFT JOIN agg USING (team)""",
+})
+
+_SP = _spikes("1 hour")
+_SP_BODY = _SP[_SP.index("p AS (SELECT"):_SP.index("SELECT sp.bucket")]
+
+
+def _detail(who: str, alias: str) -> str:
+    return (f"coalesce({who}, 'None') || ' (' || coalesce({alias}.team, 'None') || ') ' || "
+            f"coalesce(CAST({alias}.minute AS VARCHAR), 'None') || chr(39)")
+
+
+ORACLE["g10_events_near"] = with_views(POSTS_V, POST_ENTITIES_V, TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V) + _SP_BODY.rstrip().rstrip(",") + f""",
+mm AS (SELECT DISTINCT sp.bucket AS spike_ts, m.match_id, m.home_team || ' vs ' || m.away_team AS match
+       FROM sp JOIN matches_w m ON m.utc_date >= sp.bucket - INTERVAL 30 MINUTE AND m.utc_date <= sp.bucket + INTERVAL 30 MINUTE),
+ev AS (SELECT mm.spike_ts, mm.match_id, mm.match, CAST(g.pos AS INTEGER) AS pos, 'GOAL' AS type, {_detail('g.scorer', 'g')} AS detail
+       FROM mm JOIN goals_v g USING (match_id)
+       UNION ALL
+       SELECT mm.spike_ts, mm.match_id, mm.match, CAST(c.pos AS INTEGER), coalesce(c.card, 'CARD'), {_detail('c.player', 'c')}
+       FROM mm JOIN cards_v c USING (match_id))
+SELECT *, CASE WHEN type = 'GOAL' THEN 'goal' WHEN contains(type, 'YELLOW') THEN 'yellow' ELSE 'red' END AS marker FROM ev"""
