@@ -54,12 +54,10 @@ def with_recency_weight(tm: DataFrame, decay: float = RECENCY_DECAY) -> DataFram
     wd = Window.partitionBy("team").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     suffix = per_day.withColumn("_newer", F.coalesce(F.sum("_c").over(wd), F.lit(0))).drop("_c")
     j = tm.join(suffix, ["team", "_day"])
-    live = j.filter(F.col("_newer") < UNDERFLOW_RANK)
-    dead = j.filter(F.col("_newer") >= UNDERFLOW_RANK).withColumn("weight", F.lit(0.0))
     wl = Window.partitionBy("team", "_day").orderBy(F.col("utc_date").desc(), F.col("match_id").desc())
-    live = live.withColumn("weight", F.pow(F.lit(decay), (F.col("_newer") + F.row_number().over(wl) - 1)
-                                           .cast("double")))
-    return live.unionByName(dead).drop("_day", "_newer")
+    r = F.col("_newer") + F.row_number().over(wl) - 1
+    weight = F.when(F.col("_newer") >= UNDERFLOW_RANK, F.lit(0.0)).otherwise(F.pow(F.lit(decay), r.cast("double")))
+    return j.withColumn("weight", weight).drop("_day", "_newer")
 
 
 def team_features(matches: DataFrame, decay: float = RECENCY_DECAY) -> DataFrame:

@@ -488,3 +488,85 @@ QUERIES.update({
     "h01_mentions_team": h01_mentions_team, "h02_post_team_pairs": h02_post_team_pairs,
     "h03_team_sentiment": h03_team_sentiment,
 })
+
+
+# ---- outcome model (L01-L12) -----------------------------------------------------
+from fansignal.operators import model as mdl  # noqa: E402
+
+
+def _profile(spark, sf_dir):
+    tf = feat.merge_advanced_stats(feat.team_features(_finished(spark, sf_dir)), fx.adv_stats_v(spark, sf_dir))
+    return mdl.team_profile(tf)
+
+
+def l01_feature_rows(spark, sf_dir):
+    return _round(mdl.feature_rows(_finished(spark, sf_dir), _profile(spark, sf_dir), keep=["match_id"]))
+
+
+def l02_labels(spark, sf_dir):
+    m = _finished(spark, sf_dir)
+    return m.groupBy(mdl.encode_outcome(F.col("winner")).alias("label")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+def l04_scaling(spark, sf_dir):
+    fr = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
+    st = mdl.scaling_stats(fr)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"mu_{c}").alias("mu"),
+                                         F.col(f"sd_{c}").alias("sd")) for c in mdl.FEATURE_NAMES]))
+    return _round(st.select(pairs.alias("x")).select("x.*"))
+
+
+def _fitted(spark, sf_dir):
+    fr = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
+    model, _ = mdl.fit_logistic(fr)
+    return model, fr
+
+
+def l05_logistic_predictions(spark, sf_dir):
+    model, _ = _fitted(spark, sf_dir)
+    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), _profile(spark, sf_dir),
+                            keep=["match_id", "home_team", "away_team"])
+    return mdl.predict(model, rows, ["match_id", "home_team", "away_team"])
+
+
+def l06_boosted_predictions(spark, sf_dir):
+    fr = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
+    models = mdl.fit_boosted(fr)
+    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), _profile(spark, sf_dir),
+                            keep=["match_id"])
+    return mdl.score_boosted(models, rows, ["match_id"])
+
+
+def l09_leaderboard(spark, sf_dir):
+    return _round(mdl.leaderboard(mdl.reference_scorer(), _profile(spark, sf_dir), block_size=8))
+
+
+def l09_leaderboard_fitted(spark, sf_dir):
+    model, _ = _fitted(spark, sf_dir)
+    return _round(mdl.leaderboard(model, _profile(spark, sf_dir)))
+
+
+def l07_predict_closed_form(spark, sf_dir):
+    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), _profile(spark, sf_dir),
+                            keep=["match_id"])
+    return mdl.predict(mdl.reference_scorer(), rows, ["match_id"], source="closed_form")
+
+
+def l10_to_show(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    return mdl.predictions_to_show(msrc.scheduled_matches(m), msrc.finished_matches(m)).select("match_id", "utc_date")
+
+
+def l12_approval(spark, sf_dir):
+    model, fr = _fitted(spark, sf_dir)
+    pa, pd_, ph = model.proba_columns()
+    pred = fr.select("label", F.when((ph >= pd_) & (ph >= pa), 2).when(pd_ >= pa, 1).otherwise(0).alias("prediction"))
+    return mdl.approval(pred)
+
+
+QUERIES.update({
+    "l01_feature_rows": l01_feature_rows, "l02_labels": l02_labels, "l04_scaling": l04_scaling,
+    "l05_logistic_predictions": l05_logistic_predictions, "l06_boosted_predictions": l06_boosted_predictions,
+    "l07_predict_closed_form": l07_predict_closed_form, "l09_leaderboard": l09_leaderboard,
+    "l09_leaderboard_fitted": l09_leaderboard_fitted, "l10_to_show": l10_to_show, "l12_approval": l12_approval,
+})

@@ -380,3 +380,72 @@ ev AS (SELECT mm.spike_ts, mm.match_id, mm.match, CAST(g.pos AS INTEGER) AS pos,
        SELECT mm.spike_ts, mm.match_id, mm.match, CAST(c.pos AS INTEGER), coalesce(c.card, 'CARD'), {_detail('c.player', 'c')}
        FROM mm JOIN cards_v c USING (match_id))
 SELECT *, CASE WHEN type = 'GOAL' THEN 'goal' WHEN contains(type, 'YELLOW') THEN 'yellow' ELSE 'red' END AS marker FROM ev"""
+
+# ---- outcome model ------------------------------------------------------------
+from fansignal.operators.model import FEATURE_NAMES  # noqa: E402
+
+PROFILE = FEAT[:-2] + ",\n" + ADV_V + """,
+pick AS (SELECT t.team, a.*, row_number() OVER (PARTITION BY t.team ORDER BY CASE WHEN a.team = t.team THEN 0 ELSE 1 END, a.team) AS rn
+         FROM team_features_v t JOIN adv_v a ON lower(a.team) = lower(t.team)),
+prof AS (SELECT t.team, t.form_score AS form, t.avg_goals_scored, t.avg_goals_conceded, t.goal_difference AS goal_diff,
+           t.clean_sheet_rate, CAST(t.comeback_wins AS DOUBLE) AS comeback_wins, 0.5 AS sentiment,
+           coalesce(p.xg, 0.0) AS xg, coalesce(p.xga, 0.0) AS xga, coalesce(p.possession_pct, 0.0) AS possession,
+           0.0 AS shot_accuracy, 0.0 AS pass_accuracy, 0.0 AS shots_on_target, coalesce(p.ppda, 0.0) AS ppda
+         FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team)
+"""
+
+DEFAULTS = {"form": 1.0, "avg_goals_scored": 1.0, "avg_goals_conceded": 1.0, "goal_diff": 0.0,
+            "clean_sheet_rate": 0.0, "comeback_wins": 0.0, "sentiment": 0.5, "xg": 0.0, "xga": 0.0,
+            "possession": 0.5, "shot_accuracy": 0.0, "pass_accuracy": 0.0, "shots_on_target": 0.0, "ppda": 0.0}
+
+
+def _feat_sql(name: str) -> str:
+    def v(side, a):
+        return f"coalesce({side}.{a}, {DEFAULTS[a]})"
+    deltas = {"form_delta": "form", "goal_diff_delta": "goal_diff", "sentiment_delta": "sentiment",
+              "xg_delta": "xg", "possession_delta": "possession", "shot_accuracy_delta": "shot_accuracy"}
+    if name in deltas:
+        return f"{v('h', deltas[name])} - {v('a', deltas[name])}"
+    side = "h" if name.startswith("home_") else "a"
+    attr = name.split("_", 1)[1]
+    if attr == "xg_diff":
+        return f"{v(side, 'xg')} - {v(side, 'xga')}"
+    return v(side, attr)
+
+
+FROWS = PROFILE + """, fr AS (SELECT m.match_id, m.winner, """ + ", ".join(f"{_feat_sql(n)} AS {n}" for n in FEATURE_NAMES) + """
+  FROM matches_w m LEFT JOIN prof h ON h.team = m.home_team LEFT JOIN prof a ON a.team = m.away_team
+  WHERE m.status = 'FINISHED')
+"""
+
+
+def _ref_z():
+    d = "(h.form - a.form) * 0.8 + (h.goal_diff - a.goal_diff) * 0.3 + (h.sentiment - a.sentiment) * 2.0 + (h.xg - a.xg) * 0.5"
+    return f"0.1 + ({d})", "0.2", f"0.0 - ({d})"
+
+
+_zh, _zd, _za = _ref_z()
+
+ORACLE.update({
+    "l01_feature_rows": FROWS + "SELECT match_id, " + ", ".join(f"{fx(n)} AS {n}" for n in FEATURE_NAMES) + " FROM fr",
+    "l02_labels": M + """x AS (SELECT 1) SELECT CAST(CASE winner WHEN 'HOME_TEAM' THEN 2 WHEN 'DRAW' THEN 1 WHEN 'AWAY_TEAM' THEN 0 END AS INTEGER) AS label,
+        count(*) AS matches FROM matches_w WHERE status = 'FINISHED' GROUP BY 1""",
+    "l04_scaling": FROWS + " SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, {fx(f'avg({n})')} AS mu, {fx(f'stddev_pop({n})')} AS sd FROM fr WHERE winner IS NOT NULL"
+        for n in FEATURE_NAMES) + ")",
+    "l07_predict_closed_form": PROFILE + f""", s AS (SELECT m.match_id,
+        {_zh.replace('h.', 'hp.').replace('a.', 'ap.')} AS zh, {_zd} AS zd, {_za.replace('h.', 'hp.').replace('a.', 'ap.')} AS za
+        FROM matches_w m
+        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, 0.5 AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) hp ON hp.team = m.home_team
+        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, 0.5 AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) ap ON ap.team = m.away_team
+        WHERE m.status IN ('SCHEDULED', 'TIMED'))
+      SELECT match_id, {fx('100 * exp(zh) / (exp(zh) + exp(zd) + exp(za))', 1)} AS home_win,
+        {fx('100 * exp(zd) / (exp(zh) + exp(zd) + exp(za))', 1)} AS draw,
+        {fx('100 * exp(za) / (exp(zh) + exp(zd) + exp(za))', 1)} AS away_win, 'closed_form' AS source FROM s""",
+    "l09_leaderboard": PROFILE + f""", pr AS (SELECT h.team, exp({_zh}) / (exp({_zh}) + exp({_zd}) + exp({_za})) AS p
+        FROM prof h JOIN prof a ON h.team <> a.team),
+      sc AS (SELECT team, avg(p) AS score FROM pr GROUP BY team)
+      SELECT team, {fx('score')} AS score, {fx('score / (SELECT sum(score) FROM sc) * 100')} AS win_pct FROM sc""",
+    "l10_to_show": M + """x AS (SELECT 1) SELECT match_id, utc_date FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED')
+        ORDER BY utc_date, match_id LIMIT 10""",
+})

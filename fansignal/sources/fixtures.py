@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fansignal.sources.tables import table
+from fansignal.sources.tables import materialized, table
 from fansignal.sources import matches as msrc
 
 AS_OF = "2024-01-31 00:00:00"
@@ -172,9 +172,12 @@ def fixtures_raw_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matches_v(spark: SparkSession, sf_dir: str, events_for=("FINISHED", "LIVE")) -> DataFrame:
     """Normalised matches (C02-C06 over the raw views). Events are attached to finished
-    and live matches; scheduled ones have none."""
-    return msrc.normalize_fixtures(fixtures_raw_v(spark, sf_dir), fixture_events_v(spark, sf_dir),
-                                   events_for=list(events_for))
+    and live matches; scheduled ones have none. Stored once as a table (the normalised
+    matches table of a pipeline) so every plan reads it instead of re-deriving it."""
+    def build():
+        return msrc.normalize_fixtures(fixtures_raw_v(spark, sf_dir), fixture_events_v(spark, sf_dir),
+                                       events_for=list(events_for))
+    return materialized(spark, "matches_v", f"{sf_dir}|{','.join(events_for)}", build)
 
 
 STAT_TYPES = ["Ball Possession", "Total Shots", "Shots on Goal", "Total passes", "Passes %",

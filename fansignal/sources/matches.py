@@ -73,12 +73,9 @@ def normalize_fixtures(fixtures: DataFrame, events: DataFrame | None = None,
         return m.select("*", *[v.alias(k) for k, v in empty.items()])
     arr = event_arrays(events).withColumnRenamed("fixture_id", "match_id")
     wanted = F.col("status").isin(list(events_for)) if events_for else F.lit(True)
-    # Only finished matches need the (large) event side: split, join, union.
-    with_ev = m.filter(wanted).join(arr, "match_id", "left").select(
-        *m.columns, *[F.coalesce(F.col(k), v).alias(k) for k, v in empty.items()])
-    without = m.filter(~wanted | F.col("status").isNull()).select(
-        *m.columns, *[v.alias(k) for k, v in empty.items()])
-    return with_ev.unionByName(without)
+    j = m.join(arr, "match_id", "left")
+    return j.select(*m.columns, *[F.when(wanted, F.coalesce(F.col(k), v)).otherwise(v).alias(k)
+                                  for k, v in empty.items()])
 
 
 def normalize_match(matches: DataFrame, normalize_separators: bool = False) -> DataFrame:

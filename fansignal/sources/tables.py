@@ -11,3 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """Write ``build()`` once as a parquet table under the cluster's checkpoint folder
+    (``spark.checkpoint.dir``) and read it back. Cuts lineage and lets several plans
+    share one derived table instead of re-deriving it."""
+    import hashlib
+
+    from fansignal.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}"
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
