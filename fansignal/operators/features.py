@@ -176,3 +176,76 @@ def top_scorers(pf: DataFrame, n: int = 20) -> DataFrame:
     """The n leading scorers (goals, then assists, then name); a distributed top-n."""
     top = pf.orderBy(F.col("goals").desc(), F.col("assists").desc(), F.col("player")).limit(n)
     return top.select("player", "team", "goals", "assists")
+
+
+# ---- J01-J03 ------------------------------------------------------------------------
+
+# Features z-scored across teams.
+ZSCORE_FEATURES = ["avg_goals_scored", "avg_goals_conceded", "goal_difference", "xg", "xga", "xg_difference",
+                   "avg_possession", "avg_shots_on_target", "avg_pass_accuracy", "progressive_passes",
+                   "progressive_carries", "pressures"]
+
+
+def normalize_features(tf: DataFrame, clip: float = 3.0) -> DataFrame:
+    """J01 + J02: z-score over teams (population sigma; sigma 0 -> centred only), clipped,
+    plus per-match columns. The statistics are one aggregate row broadcast to the teams."""
+    cols = set(tf.columns)
+    val = {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in cols else F.lit(0.0)) for c in ZSCORE_FEATURES}
+    stats = tf.agg(*[x for c in ZSCORE_FEATURES for x in (F.avg(val[c]).alias(f"_m_{c}"),
+                                                           F.stddev_pop(val[c]).alias(f"_s_{c}"))])
+    j = tf.crossJoin(F.broadcast(stats))
+    z = {}
+    for c in ZSCORE_FEATURES:
+        centred = val[c] - F.col(f"_m_{c}")
+        zz = F.when(F.col(f"_s_{c}") > 0, centred / F.col(f"_s_{c}")).otherwise(centred)
+        z[c] = F.least(F.greatest(zz, F.lit(-clip)), F.lit(clip)).alias(f"{c}_z")
+    mp = F.greatest(F.coalesce(F.col("matches_played"), F.lit(1)), F.lit(1))
+    g = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in cols else F.lit(0.0)
+    return j.select(*tf.columns, *z.values(),
+                    g("avg_goals_scored").alias("goals_per_match"), g("avg_goals_conceded").alias("conceded_per_match"),
+                    (g("xg") / mp).alias("xg_per_match"), (g("xga") / mp).alias("xga_per_match"),
+                    g("avg_shots_on_target").alias("shots_per_match"))
+
+
+def engineer_match_features(matches: DataFrame, tf: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:
+    """11 pair features per match (momentum, xG share, defence, pressing, stage, form x sentiment)."""
+    from fansignal.functions.match import stage_weight
+    t = tf.select("team", "xg", "avg_goals_conceded", "clean_sheet_rate", "avg_saves", "ppda", "form_score")
+    if sentiment is not None:
+        t = t.join(sentiment.select("team", "avg_sentiment"), "team", "left")
+    else:
+        t = t.withColumn("avg_sentiment", F.lit(None).cast("double"))
+    h = t.select(*[F.col(c).alias("h_" + c) for c in t.columns])
+    a = t.select(*[F.col(c).alias("a_" + c) for c in t.columns])
+    j = (matches.join(h, F.col("home_team") == F.col("h_team"), "left")
+                .join(a, F.col("away_team") == F.col("a_team"), "left"))
+
+    def known(p):
+        return F.col(p + "team").isNotNull()
+
+    def get(p, c, d):  # dict.get(key, default): default only when the team is unknown
+        return F.when(known(p), F.col(p + c)).otherwise(F.lit(d))
+
+    def num(p, c, d):
+        return F.coalesce(get(p, c, d), F.lit(0.0))
+    hs = F.coalesce(F.col("h_avg_sentiment"), F.lit(0.5))
+    as_ = F.coalesce(F.col("a_avg_sentiment"), F.lit(0.5))
+    hx, ax = num("h_", "xg", 0.0), num("a_", "xg", 0.0)
+    tot = hx + ax
+
+    def defence(p):
+        return ((1 - get(p, "avg_goals_conceded", 1.0) / 3) * 0.4 + get(p, "clean_sheet_rate", 0.0) * 0.4
+                + get(p, "avg_saves", 0.0) / 10 * 0.2)
+
+    def press(p):
+        return 1 / F.greatest(get(p, "ppda", 10.0), F.lit(0.1))
+    return j.select(
+        "match_id", (hs - as_).alias("sentiment_momentum"),
+        F.when(tot > 0, hx / tot).otherwise(F.lit(0.5)).alias("xg_share"),
+        defence("h_").alias("home_defensive_score"), defence("a_").alias("away_defensive_score"),
+        (defence("h_") - defence("a_")).alias("defensive_delta"),
+        press("h_").alias("home_pressing_intensity"), press("a_").alias("away_pressing_intensity"),
+        (press("h_") - press("a_")).alias("pressing_delta"),
+        stage_weight(F.col("stage"), "engineer").alias("stage_weight"),
+        (get("h_", "form_score", 1.0) * hs).alias("form_x_sentiment_home"),
+        (get("a_", "form_score", 1.0) * as_).alias("form_x_sentiment_away"))

@@ -570,3 +570,123 @@ QUERIES.update({
     "l07_predict_closed_form": l07_predict_closed_form, "l09_leaderboard": l09_leaderboard,
     "l09_leaderboard_fitted": l09_leaderboard_fitted, "l10_to_show": l10_to_show, "l12_approval": l12_approval,
 })
+
+
+# ---- J, K, M ---------------------------------------------------------------------------
+from fansignal.operators import stats as st  # noqa: E402
+
+
+def _merged_tf(spark, sf_dir):
+    return feat.merge_advanced_stats(feat.team_features(_finished(spark, sf_dir)), fx.adv_stats_v(spark, sf_dir))
+
+
+def j01_normalize_features(spark, sf_dir):
+    n = feat.normalize_features(_merged_tf(spark, sf_dir))
+    return _round(n.select("team", *[f"{c}_z" for c in feat.ZSCORE_FEATURES], "goals_per_match",
+                           "conceded_per_match", "xg_per_match", "xga_per_match", "shots_per_match"))
+
+
+def j03_engineer_match_features(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir).filter(F.col("status").isin("SCHEDULED", "TIMED"))
+    return _round(feat.engineer_match_features(m, _merged_tf(spark, sf_dir)))
+
+
+def k01_fixture_stats(spark, sf_dir):
+    return _round(st.fixture_stats_wide(fx.fixture_stats_v(spark, sf_dir)))
+
+
+def k05_team_advanced(spark, sf_dir):
+    return _round(st.team_advanced_stats(st.fixture_stats_wide(fx.fixture_stats_v(spark, sf_dir))))
+
+
+def k06_player_advanced(spark, sf_dir):
+    return _round(st.player_advanced_stats(fx.player_stats_v(spark, sf_dir), ["fixture_id", "line"]))
+
+
+def m01_kpis(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    played = m.agg(F.count_if(F.col("status") == "FINISHED").alias("matches_played"),
+                   F.count_if(F.col("status").isin("SCHEDULED", "TIMED")).alias("upcoming"))
+    tf = feat.team_features(_finished(spark, sf_dir)).agg(F.count(F.lit(1)).alias("teams"))
+    pf = feat.player_features(_finished(spark, sf_dir)).agg(F.count(F.lit(1)).alias("players"))
+    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None) \
+        .agg(F.sum("post_count").alias("posts"), F.avg("avg_sentiment").alias("mean_sentiment"))
+    # four one-row aggregates side by side (each side is exactly one row)
+    return _round(played.crossJoin(tf).crossJoin(pf).crossJoin(ts))
+
+
+def m02_leaderboard_table(spark, sf_dir):
+    lb = mdl.leaderboard(mdl.reference_scorer(), _profile(spark, sf_dir), block_size=8)
+    tf = feat.team_features(_finished(spark, sf_dir)).select("team", "form_score", "goal_difference",
+                                                              "total_points", "matches_played")
+    return _round(lb.join(tf, "team", "left"))
+
+
+def m03_team_sentiment_table(spark, sf_dir):
+    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None)
+    return _round(ts.select("team", (F.col("avg_sentiment") * 100).alias("sentiment_pct"), "post_count",
+                            (F.col("positive_ratio") * 100).alias("positive_pct"),
+                            (F.col("negative_ratio") * 100).alias("negative_pct")).orderBy(F.col("sentiment_pct").desc()))
+
+
+def m04_player_table(spark, sf_dir):
+    pf = feat.player_features(_finished(spark, sf_dir))
+    return _round(pf.filter(F.col("matches") >= 2).orderBy(F.col("goal_contributions_per_match").desc(), "player"))
+
+
+def m05_top20(spark, sf_dir):
+    pf = feat.player_features(_finished(spark, sf_dir))
+    return _round(pf.orderBy(F.col("goal_contributions_per_match").desc(), "player").limit(20)
+                  .select("player", "team", "goals", "assists", "goal_contributions_per_match",
+                          "yellow_cards", "red_cards"))
+
+
+def m06_scoring_depth(spark, sf_dir):
+    pf = feat.player_features(_finished(spark, sf_dir))
+    return pf.groupBy("team").agg(F.sum("goals").alias("goals"), F.sum("assists").alias("assists"))
+
+
+def m07_team_list(spark, sf_dir):
+    t = _team_dim(spark, sf_dir)
+    return t.unionByName(spark.range(1).select(F.lit("All").alias("team"))).distinct()
+
+
+def m08_advanced_team_table(spark, sf_dir):
+    tf = _merged_tf(spark, sf_dir)
+    r2 = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 2).cast("double").alias(c)
+    return tf.select("team", r2("xg"), r2("xga"), r2("xg_difference"), r2("avg_possession"), r2("ppda")) \
+        .orderBy(F.col("xg_difference").desc())
+
+
+def m09_data_present(spark, sf_dir):
+    return _merged_tf(spark, sf_dir).agg((F.sum("xg") > 0).alias("has_advanced"))
+
+
+def m10_ppda_ranking(spark, sf_dir):
+    return _round(_merged_tf(spark, sf_dir).filter(F.col("ppda") > 0).select("team", "ppda").orderBy("ppda"))
+
+
+def m11_advanced_player_merge(spark, sf_dir):
+    pf = feat.player_features(_finished(spark, sf_dir)).select(F.col("player").alias("name"), "team", "goals",
+                                                                "assists", "matches")
+    adv = st.player_advanced_stats(fx.player_stats_v(spark, sf_dir), ["fixture_id", "line"]) \
+        .select("name", F.col("team").alias("adv_team"), "minutes", "goals_per90", "key_passes_per90")
+    j = pf.join(adv, "name", "full")
+    out = j.select("name", F.coalesce("team", "adv_team").alias("team"),
+                   F.coalesce("goals", F.lit(0)).alias("goals"), F.coalesce("assists", F.lit(0)).alias("assists"),
+                   F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("minutes", F.lit(0)).alias("minutes"),
+                   F.coalesce("goals_per90", F.lit(0.0)).alias("goals_per90"),
+                   F.coalesce("key_passes_per90", F.lit(0.0)).alias("key_passes_per90"))
+    return _round(out.filter(F.col("team").isNotNull()))
+
+
+QUERIES.update({
+    "j01_normalize_features": j01_normalize_features, "j03_engineer_match_features": j03_engineer_match_features,
+    "k01_fixture_stats": k01_fixture_stats, "k05_team_advanced": k05_team_advanced,
+    "k06_player_advanced": k06_player_advanced,
+    "m01_kpis": m01_kpis, "m02_leaderboard_table": m02_leaderboard_table,
+    "m03_team_sentiment_table": m03_team_sentiment_table, "m04_player_table": m04_player_table,
+    "m05_top20": m05_top20, "m06_scoring_depth": m06_scoring_depth, "m07_team_list": m07_team_list,
+    "m08_advanced_team_table": m08_advanced_team_table, "m09_data_present": m09_data_present,
+    "m10_ppda_ranking": m10_ppda_ranking, "m11_advanced_player_merge": m11_advanced_player_merge,
+})

@@ -449,3 +449,128 @@ ORACLE.update({
     "l10_to_show": M + """x AS (SELECT 1) SELECT match_id, utc_date FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED')
         ORDER BY utc_date, match_id LIMIT 10""",
 })
+
+# ---- J, K, M ---------------------------------------------------------------------------
+ZF = ["avg_goals_scored", "avg_goals_conceded", "goal_difference", "xg", "xga", "xg_difference",
+      "avg_possession", "avg_shots_on_target", "avg_pass_accuracy", "progressive_passes",
+      "progressive_carries", "pressures"]
+
+MERGED = PROFILE + """, mt AS (SELECT t.team, t.matches_played, t.form_score, t.avg_goals_scored, t.avg_goals_conceded,
+    t.goal_difference, t.clean_sheet_rate, t.total_points, coalesce(p.xg, 0.0) AS xg, coalesce(p.xga, 0.0) AS xga,
+    coalesce(p.xg, 0.0) - coalesce(p.xga, 0.0) AS xg_difference, coalesce(p.possession_pct, 0.0) AS avg_possession,
+    0.0 AS avg_shots_on_target, 0.0 AS avg_pass_accuracy, 0.0 AS avg_saves, coalesce(p.ppda, 0.0) AS ppda,
+    coalesce(p.progressive_passes, 0.0) AS progressive_passes, coalesce(p.progressive_carries, 0.0) AS progressive_carries,
+    coalesce(p.pressures, 0.0) AS pressures
+  FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team)
+"""
+
+
+def _z(c):
+    return (f"least(greatest(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () "
+            f"ELSE {c} - avg({c}) OVER () END, -3.0), 3.0)")
+
+
+FSTATS = with_views(TEAMS_V) + """x AS (SELECT 1),
+g AS (SELECT l_orderkey, l_suppkey % 2 AS side, l_linenumber, CAST(trunc(max(l_quantity)) AS INTEGER) AS q
+      FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL),
+fs AS (SELECT g.l_orderkey AS fixture_id, CASE WHEN side = 0 THEN t.home ELSE t.away END AS team, l_linenumber AS ln,
+         CASE WHEN g.l_orderkey % 17 = 0 THEN (CASE WHEN side = 0 THEN NULL ELSE 'n/a' END)
+              WHEN l_linenumber = 1 THEN q || '%' WHEN l_linenumber = 5 THEN CAST(q + 40 AS VARCHAR) ELSE CAST(q AS VARCHAR) END AS value
+       FROM g JOIN teams_v t ON t.o_orderkey = g.l_orderkey),
+wide AS (SELECT fixture_id, team,
+  max(CASE WHEN ln = 1 THEN value END) AS v1, max(CASE WHEN ln = 2 THEN value END) AS v2, max(CASE WHEN ln = 3 THEN value END) AS v3,
+  max(CASE WHEN ln = 4 THEN value END) AS v4, max(CASE WHEN ln = 5 THEN value END) AS v5, max(CASE WHEN ln = 6 THEN value END) AS v6,
+  max(CASE WHEN ln = 7 THEN value END) AS v7 FROM fs GROUP BY ALL),
+parsed AS (SELECT fixture_id, team,
+  CASE WHEN v1 IS NULL THEN NULL WHEN contains(v1, '%') THEN TRY_CAST(replace(v1, '%', '') AS DOUBLE) / 100
+       WHEN TRY_CAST(v1 AS DOUBLE) > 1 THEN TRY_CAST(v1 AS DOUBLE) / 100 ELSE TRY_CAST(v1 AS DOUBLE) END AS possession,
+  CASE WHEN regexp_matches(v2, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v2) AS INTEGER) ELSE 0 END AS shots_total,
+  CASE WHEN regexp_matches(v3, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v3) AS INTEGER) ELSE 0 END AS shots_on_target,
+  0 AS shots_off_target, 0 AS shots_blocked, 0 AS shots_inside_box, 0 AS shots_outside_box,
+  CASE WHEN regexp_matches(v4, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v4) AS INTEGER) ELSE 0 END AS passes_total,
+  0 AS passes_accurate,
+  CASE WHEN v5 IS NULL THEN NULL WHEN contains(v5, '%') THEN TRY_CAST(replace(v5, '%', '') AS DOUBLE) / 100
+       WHEN TRY_CAST(v5 AS DOUBLE) > 1 THEN TRY_CAST(v5 AS DOUBLE) / 100 ELSE TRY_CAST(v5 AS DOUBLE) END AS pass_accuracy,
+  0 AS fouls, CASE WHEN regexp_matches(v6, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v6) AS INTEGER) ELSE 0 END AS corners,
+  0 AS offsides, 0 AS yellow_cards, 0 AS red_cards,
+  CASE WHEN regexp_matches(v7, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v7) AS INTEGER) ELSE 0 END AS saves
+  FROM wide)
+"""
+
+PSTATS = with_views(TEAMS_V) + """x AS (SELECT 1),
+ps AS (SELECT l.l_orderkey AS fixture_id, l.l_linenumber AS line, 'P' || l.l_suppkey AS name,
+  CASE WHEN l.l_suppkey % 2 = 0 THEN t.home ELSE t.away END AS team,
+  CASE WHEN l.l_partkey % 23 = 0 THEN NULL ELSE ['G', 'D', 'M', 'F'][l.l_partkey % 4 + 1] END AS position,
+  CASE WHEN l.l_orderkey % 19 = 0 THEN NULL ELSE CAST(trunc(l.l_quantity) AS INTEGER) END AS minutes,
+  l.l_partkey % 3 AS goals, (l.l_partkey % 5) // 3 AS assists, l.l_partkey % 7 AS shots_total, l.l_partkey % 4 AS shots_on,
+  l.l_partkey % 6 AS key_passes, l.l_suppkey % 5 AS dribbles_attempted, l.l_suppkey % 3 AS dribbles_success,
+  l.l_partkey % 8 AS tackles, l.l_partkey % 9 AS interceptions, l.l_partkey % 10 AS duels_total, l.l_partkey % 5 AS duels_won,
+  l.l_partkey % 4 AS aerial_duels_won, l.l_suppkey % 4 AS fouls_drawn,
+  CASE WHEN l.l_partkey % 13 = 0 THEN 1 ELSE 0 END AS yellow_cards, CASE WHEN l.l_partkey % 97 = 0 THEN 1 ELSE 0 END AS red_cards
+  FROM lineitem l JOIN teams_v t ON t.o_orderkey = l.l_orderkey),
+pa AS (SELECT name, CAST(sum(coalesce(minutes, 0)) AS BIGINT) AS minutes,
+  """ + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in
+                  ["goals", "assists", "shots_total", "shots_on", "key_passes", "dribbles_attempted", "dribbles_success",
+                   "tackles", "interceptions", "duels_total", "duels_won", "aerial_duels_won", "fouls_drawn",
+                   "yellow_cards", "red_cards"]) + """,
+  arg_max(team, (fixture_id, line)) FILTER (WHERE team IS NOT NULL AND team <> '') AS team,
+  arg_max(position, (fixture_id, line)) FILTER (WHERE position IS NOT NULL AND position <> '') AS position,
+  count(*) AS appearances FROM ps GROUP BY name),
+p9 AS (SELECT *, CASE WHEN minutes > 0 THEN minutes / 90.0 ELSE 1.0 END AS p90 FROM pa),
+padv AS (SELECT name, team, position, minutes, appearances, goals, assists,
+  """ + ", ".join(f"{fx(f'{num} / p90', 3)} AS {out}" for num, out in
+                  [("goals", "goals_per90"), ("assists", "assists_per90"), ("shots_total", "shots_per90"),
+                   ("shots_on", "shots_on_per90"), ("key_passes", "key_passes_per90")]) + f""",
+  {fx('CASE WHEN dribbles_attempted = 0 THEN 0 ELSE dribbles_success / dribbles_attempted END', 3)} AS dribble_success_rate,
+  {fx('tackles / p90', 3)} AS tackles_per90, {fx('interceptions / p90', 3)} AS interceptions_per90,
+  {fx('(tackles + interceptions) / p90', 3)} AS defensive_actions_per90,
+  {fx('CASE WHEN duels_total = 0 THEN 0 ELSE duels_won / duels_total END', 3)} AS duel_win_rate,
+  aerial_duels_won AS aerial_won, {fx('fouls_drawn / p90', 3)} AS fouls_drawn_per90, yellow_cards, red_cards FROM p9)
+"""
+
+ORACLE.update({
+    "j01_normalize_features": MERGED + "SELECT team, " + ", ".join(f"{fx(_z(c))} AS {c}_z" for c in ZF) + f""",
+        {fx('avg_goals_scored')} AS goals_per_match, {fx('avg_goals_conceded')} AS conceded_per_match,
+        {fx('xg / greatest(matches_played, 1)')} AS xg_per_match, {fx('xga / greatest(matches_played, 1)')} AS xga_per_match,
+        {fx('avg_shots_on_target')} AS shots_per_match FROM mt""",
+    "j03_engineer_match_features": MERGED + f""", jm AS (SELECT m.match_id, m.stage, h.team IS NOT NULL AS hk, a.team IS NOT NULL AS ak,
+        coalesce(h.xg, 0.0) AS hx, coalesce(a.xg, 0.0) AS ax,
+        CASE WHEN h.team IS NULL THEN 1.0 ELSE h.avg_goals_conceded END AS hgc, CASE WHEN a.team IS NULL THEN 1.0 ELSE a.avg_goals_conceded END AS agc,
+        CASE WHEN h.team IS NULL THEN 0.0 ELSE h.clean_sheet_rate END AS hcs, CASE WHEN a.team IS NULL THEN 0.0 ELSE a.clean_sheet_rate END AS acs,
+        CASE WHEN h.team IS NULL THEN 0.0 ELSE h.avg_saves END AS hsv, CASE WHEN a.team IS NULL THEN 0.0 ELSE a.avg_saves END AS asv,
+        CASE WHEN h.team IS NULL THEN 10.0 ELSE h.ppda END AS hpp, CASE WHEN a.team IS NULL THEN 10.0 ELSE a.ppda END AS app,
+        CASE WHEN h.team IS NULL THEN 1.0 ELSE h.form_score END AS hf, CASE WHEN a.team IS NULL THEN 1.0 ELSE a.form_score END AS af
+      FROM matches_w m LEFT JOIN mt h ON h.team = m.home_team LEFT JOIN mt a ON a.team = m.away_team
+      WHERE m.status IN ('SCHEDULED', 'TIMED')),
+      d AS (SELECT *, (1 - hgc / 3) * 0.4 + hcs * 0.4 + hsv / 10 * 0.2 AS hd, (1 - agc / 3) * 0.4 + acs * 0.4 + asv / 10 * 0.2 AS ad,
+        1 / greatest(hpp, 0.1) AS hp, 1 / greatest(app, 0.1) AS ap FROM jm)
+      SELECT match_id, 0.0::DOUBLE AS sentiment_momentum, {fx('CASE WHEN hx + ax > 0 THEN hx / (hx + ax) ELSE 0.5 END')} AS xg_share,
+        {fx('hd')} AS home_defensive_score, {fx('ad')} AS away_defensive_score, {fx('hd - ad')} AS defensive_delta,
+        {fx('hp')} AS home_pressing_intensity, {fx('ap')} AS away_pressing_intensity, {fx('hp - ap')} AS pressing_delta,
+        CASE WHEN contains(upper(stage), 'ROUND_OF_16') OR contains(upper(stage), 'QUARTER') OR contains(upper(stage), 'SEMI')
+          OR contains(upper(stage), 'FINAL') THEN 1.5 ELSE 1.0 END AS stage_weight,
+        {fx('hf * 0.5')} AS form_x_sentiment_home, {fx('af * 0.5')} AS form_x_sentiment_away FROM d""",
+    "k01_fixture_stats": FSTATS + f"SELECT fixture_id, team, {fx('possession')} AS possession, shots_total, shots_on_target, "
+        "shots_off_target, shots_blocked, shots_inside_box, shots_outside_box, passes_total, passes_accurate, "
+        f"{fx('pass_accuracy')} AS pass_accuracy, fouls, corners, offsides, yellow_cards, red_cards, saves FROM parsed",
+    "k05_team_advanced": FSTATS + f"""SELECT team, {fx('coalesce(avg(possession), 0)')} AS avg_possession,
+        {fx('avg(shots_total)')} AS avg_shots_total, {fx('avg(shots_on_target)')} AS avg_shots_on_target,
+        {fx('avg(shots_inside_box)')} AS avg_shots_inside_box, {fx('avg(passes_total)')} AS avg_passes,
+        {fx('coalesce(avg(pass_accuracy), 0)')} AS avg_pass_accuracy, {fx('avg(corners)')} AS avg_corners,
+        {fx('avg(fouls)')} AS avg_fouls, {fx('avg(saves)')} AS avg_saves, count(*) AS matches_sampled,
+        {fx('CASE WHEN avg(shots_total) = 0 THEN 0 ELSE avg(shots_on_target) / avg(shots_total) END')} AS shot_accuracy
+        FROM parsed GROUP BY team""",
+    "k06_player_advanced": PSTATS + "SELECT * FROM padv",
+    "m06_scoring_depth": PLAY + """x AS (SELECT 1) SELECT team, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists
+        FROM player_features_v GROUP BY team""",
+    "m07_team_list": M + "x AS (SELECT 1) SELECT home_team AS team FROM matches_w UNION SELECT away_team FROM matches_w UNION SELECT 'All'",
+    "m08_advanced_team_table": MERGED + f"""SELECT team, {fx('xg', 2)} AS xg, {fx('xga', 2)} AS xga, {fx('xg_difference', 2)} AS xg_difference,
+        {fx('avg_possession', 2)} AS avg_possession, {fx('ppda', 2)} AS ppda FROM mt""",
+    "m09_data_present": MERGED + "SELECT sum(xg) > 0 AS has_advanced FROM mt",
+    "m10_ppda_ranking": MERGED + f"SELECT team, {fx('ppda')} AS ppda FROM mt WHERE ppda > 0",
+    "m04_player_table": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, yellow_cards, red_cards, matches,
+        {fx('goals_per_match')} AS goals_per_match, {fx('goal_contributions_per_match')} AS goal_contributions_per_match
+        FROM player_features_v WHERE matches >= 2""",
+    "m05_top20": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, {fx('goal_contributions_per_match')} AS goal_contributions_per_match,
+        yellow_cards, red_cards FROM player_features_v ORDER BY goal_contributions_per_match DESC, player LIMIT 20""",
+})

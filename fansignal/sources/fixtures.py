@@ -210,14 +210,14 @@ def player_stats_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     pk, sk = F.col("l_partkey"), F.col("l_suppkey")
     pos = F.element_at(F.array(*[F.lit(x) for x in ("G", "D", "M", "F")]), (pk % 4 + 1).cast("int"))
     return j.select(
-        F.col("l_orderkey").alias("fixture_id"),
+        F.col("l_orderkey").alias("fixture_id"), F.col("l_linenumber").alias("line"),
         F.concat(F.lit("P"), sk.cast("string")).alias("name"),
         F.when(sk % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("team"),
         F.when(pk % 23 == 0, F.lit(None)).otherwise(pos).alias("position"),
         F.when(F.col("l_orderkey") % 19 == 0, F.lit(None))
          .otherwise(F.col("l_quantity").cast("int")).alias("minutes"),
         (F.lit(6.0) + (pk % 40) / 10.0).cast("string").alias("rating"),
-        (pk % 3).cast("int").alias("goals"), (pk % 5 // 3).cast("int").alias("assists"),
+        (pk % 3).cast("int").alias("goals"), F.floor((pk % 5) / 3).cast("int").alias("assists"),
         (pk % 7).cast("int").alias("shots_total"), (pk % 4).cast("int").alias("shots_on"),
         (pk % 60).cast("int").alias("passes_total"), (pk % 6).cast("int").alias("key_passes"),
         (50 + pk % 50).cast("string").alias("pass_accuracy"),
