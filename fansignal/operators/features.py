@@ -249,3 +249,28 @@ def engineer_match_features(matches: DataFrame, tf: DataFrame, sentiment: DataFr
         stage_weight(F.col("stage"), "engineer").alias("stage_weight"),
         (get("h_", "form_score", 1.0) * hs).alias("form_x_sentiment_home"),
         (get("a_", "form_score", 1.0) * as_).alias("form_x_sentiment_away"))
+
+
+# ---- A15 / A16 feature snapshots ------------------------------------------------------
+
+SNAPSHOT_FIELDS = ["form_score", "avg_goals_scored", "avg_goals_conceded", "goal_difference", "clean_sheet_rate",
+                   "comeback_wins", "xg", "xga", "avg_possession", "shot_accuracy", "avg_pass_accuracy", "ppda",
+                   "avg_sentiment", "positive_ratio", "negative_ratio", "post_count"]
+
+
+def feature_snapshot(tf: DataFrame, sentiment: DataFrame, event_time: Column) -> DataFrame:
+    """Team features joined with team sentiment, defaults for missing values, stamped
+    with ``event_time`` (epoch seconds) — one append-only snapshot row per team."""
+    j = tf.join(sentiment.select("team", "avg_sentiment", "positive_ratio", "negative_ratio", "post_count"),
+                "team", "left")
+    defaults = {"avg_sentiment": 0.5}
+    return j.select(F.col("team").alias("team_name"), event_time.cast("double").alias("event_time"),
+                    *[F.coalesce(F.col(c).cast("double"), F.lit(defaults.get(c, 0.0))).alias(c)
+                      for c in SNAPSHOT_FIELDS])
+
+
+def latest_snapshot(snapshots: DataFrame) -> DataFrame:
+    """A16 (online view): the newest snapshot per team (``max_by`` — no window)."""
+    g = snapshots.groupBy("team_name").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "team_name"]),
+                                                    F.col("event_time")).alias("s"))
+    return g.select("team_name", "s.*")

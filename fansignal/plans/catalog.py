@@ -690,3 +690,29 @@ QUERIES.update({
     "m08_advanced_team_table": m08_advanced_team_table, "m09_data_present": m09_data_present,
     "m10_ppda_ranking": m10_ppda_ranking, "m11_advanced_player_merge": m11_advanced_player_merge,
 })
+
+
+def f05_preprocess(spark, sf_dir):
+    t = fx.texts_v(spark, sf_dir).withColumnRenamed("doc_id", "post_id").withColumnRenamed("ts", "timestamp")
+    p = en.preprocess(t, fx.as_of_col())
+    return _round(p.select("post_id", "text", "time_decay_weight", "engagement_weight"))
+
+
+def _snapshots(spark, sf_dir):
+    tf = _merged_tf(spark, sf_dir)
+    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None)
+    t0 = F.unix_seconds(fx.as_of_col().cast("timestamp"))
+    early = feat.feature_snapshot(tf, ts, t0 - 86400).withColumn("form_score", F.lit(0.0))
+    return early.unionByName(feat.feature_snapshot(tf, ts, t0))
+
+
+def a15_feature_snapshot(spark, sf_dir):
+    return _round(_snapshots(spark, sf_dir))
+
+
+def a16_latest_snapshot(spark, sf_dir):
+    return _round(feat.latest_snapshot(_snapshots(spark, sf_dir)))
+
+
+QUERIES.update({"f05_preprocess": f05_preprocess, "a15_feature_snapshot": a15_feature_snapshot,
+                "a16_latest_snapshot": a16_latest_snapshot})
