@@ -23,7 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("FANSIGNAL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("FANSIGNAL_DRIVER_MEMORY", "8g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -33,13 +33,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor shares, from ``spark.checkpoint.dir``.
+
+    Only a local[*] session may run without it: driver and executors are one process
+    there, so a scratch folder (one per process) is safe. Elsewhere a missing setting
+    is an error, because a machine-local folder would lose data."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    path = tempfile.mkdtemp(prefix="fansignal-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if "path" not in _SCRATCH:
+        _SCRATCH["path"] = tempfile.mkdtemp(prefix="fansignal-")
+    return _SCRATCH["path"]
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``DataFrame.checkpoint`` at the shared folder and return it."""
+    path = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -28,3 +28,14 @@ def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     if not fs.exists(hpath):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh path in the shared folder and read it back: cuts the
+    lineage, survives lost executors, and is computed once however often it is used."""
+    import uuid
+
+    from fansignal.session import shared_dir
+    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
