@@ -34,6 +34,8 @@ def connected_components(links: DataFrame, a: str, b: str, rounds: int = 60) ->
     e = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     e = staged(e, "links")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(rounds):
         e = staged(_small_star(_large_star(e)), "stars")

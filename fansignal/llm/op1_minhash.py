@@ -8,8 +8,9 @@
    similarity.
 2. Identical sets are one class (its smallest document stands for it), so copies make no
    pairs. Coordinates are banded; classes that share a band key are in one bucket.
-3. Each class is checked against the smallest class of each of its buckets; a bucket of m
-   classes gives m - 1 pairs. One bit per coordinate drops pairs far below the threshold,
+3. Each class is checked against the smallest class of all its buckets, then against the
+   smallest class of each bucket that is still in another component; a bucket of m classes
+   gives at most m - 1 pairs. One bit per coordinate drops pairs far below the threshold,
    then the full shingle sets decide.
 4. Links give components. Only buckets that still hold several components are looked at
    again: members outside the bucket's largest component are compared with all members of
@@ -134,6 +135,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"))
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = (pairs.join(comp.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left")
+                 .withColumn(f"c{end}", F.coalesce("c", end)).drop("c"))
+    return pairs.filter("ca <> cb")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after adding links."""
+    if links.isEmpty():
+        return comp
+    return connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                                .unionByName(links), "a", "b")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) per row of ``documents``.
@@ -157,9 +174,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     sets = staged(firsts.mapInArrow(_sets(k), "rep long, shingles array<long>"), "sets")
 
     least = least_agreement(percent / 100)
-    pairs = bucketed.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(_confirmed(_agreeing(pairs, reps, least), sets, percent), "hub-links")
+    pairs = staged(bucketed.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(),
+                   "hub-pairs")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = staged(_confirmed(_agreeing(first, reps, least), sets, percent), "links")
     comp = connected_components(links, "a", "b")
+    rest = _between(pairs, comp).select("a", "b")
+    comp = _joined(comp, staged(_confirmed(_agreeing(rest, reps, least), sets, percent), "hub-links"))
 
     placed = staged(bucketed.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                     .withColumn("component", F.coalesce("component", "rep")), "placed")
@@ -172,17 +193,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
     cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb") >= least))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = staged(_confirmed(cross, sets, percent), "cross-links")
-    # components of the first links are single nodes now
-    joined = more
-    for end in ("a", "b"):
-        joined = (joined.join(comp.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left")
-                  .withColumn(end, F.coalesce("c", end)).drop("c"))
-    merged = connected_components(joined, "a", "b")
+    comp = _joined(comp, staged(_confirmed(cross, sets, percent), "cross-links"))
     final = (reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-             .withColumn("component", F.coalesce("component", "rep"))
-             .join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-             .select("set_key", "rep", F.coalesce("top", "component").alias("component_id")))
+             .select("set_key", "rep", F.coalesce("component", "rep").alias("component_id")))
     return (sigs.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
