@@ -4,13 +4,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fansignal.llm.sql import ORACLE  # noqa: F401
 from fansignal.sources.tables import table
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fansignal.llm.op1_minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLE: dict[str, str] = {}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fansignal.llm.op2_packing import packed_sequences
+    return packed_sequences(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op3_token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op7_mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op9_lm_scoring import lm_scores
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op7_mixing, op9_lm_scoring)}
