@@ -32,6 +32,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op5_decontamination import contaminated_words
+    return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fansignal.llm.op7_mixing import mix
     return mix(table(spark, sf_dir, "documents")).select(
@@ -44,4 +49,4 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op7_mixing, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op5_decontamination, op7_mixing, op9_lm_scoring)}

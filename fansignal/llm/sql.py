@@ -23,4 +23,24 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLE = {"op7_mixing": OP7}
+OP5 = r"""
+WITH lower AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lower),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS w,
+              array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS win
+       FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS s FROM i WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, s, w, array_to_string(ws[s:s + w - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, w, unnest(generate_series(1, len(ws) - w + 1)) AS s
+             FROM d, (SELECT DISTINCT w FROM iw) WHERE len(ws) >= w)),
+h AS (SELECT dw.doc_id, dw.s, dw.w, iw.item_id FROM dw JOIN iw USING (w, win)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + w - 1)) AS p FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(l.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+ORACLE = {"op5_decontamination": OP5, "op7_mixing": OP7}
