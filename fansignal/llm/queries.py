@@ -44,9 +44,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op8_quality import quality
+    d = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "quality_score", F.col("quality_kept").alias("kept"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fansignal.llm.op9_lm_scoring import lm_scores
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op5_decontamination, op7_mixing, op9_lm_scoring)}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op10_licences import known_licences, licence_scan
+    return licence_scan(table(spark, sf_dir, "documents"), known_licences(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op5_decontamination, op7_mixing, op8_quality, op9_lm_scoring, op10_licences)}

@@ -1,6 +1,9 @@
 """DuckDB twins of the numbered operators that SQL can express."""
 from __future__ import annotations
 
+from fansignal.llm.licence_texts import KNOWN
+from fansignal.llm.op10_licences import COPYRIGHT_LINE, SPELLINGS
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
            FROM documents),
@@ -43,4 +46,32 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-ORACLE = {"op5_decontamination": OP5, "op7_mixing": OP7}
+
+
+def _canonical(text: str, whole: bool) -> str:
+    t = f"coalesce({text}, '')"
+    if whole:
+        t = f"regexp_replace({t}, '{COPYRIGHT_LINE}', '', 'g')"
+    t = rf"trim(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+    for pattern, to in SPELLINGS:
+        t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"sha256(nullif({t}, ''))"
+
+
+def _known() -> str:
+    rows = ", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)
+    return f"(VALUES {rows}) AS k(licence, text)"
+
+
+OP10 = f"""
+WITH kw AS (SELECT {_canonical('text', True)} AS digest, min(licence) AS licence FROM {_known()} GROUP BY 1),
+kl AS (SELECT {_canonical('text', False)} AS digest, min(licence) AS licence FROM {_known()} GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS notices, count(*) AS n
+      FROM (SELECT doc_id, {_canonical('line', False)} AS digest FROM lines) JOIN kl USING (digest) GROUP BY doc_id),
+d AS (SELECT doc_id, {_canonical('text', True)} AS digest FROM documents)
+SELECT d.doc_id, d.digest AS text_sha256, kw.licence, coalesce(n.notices, []) AS notices, coalesce(n.n, 0)::BIGINT AS n_notice_lines
+FROM d LEFT JOIN kw ON d.digest = kw.digest LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE = {"op5_decontamination": OP5, "op7_mixing": OP7, "op10_licences": OP10}
