@@ -41,7 +41,7 @@ HIGH, SPACE = bytes(range(128, 256)), b" \t\n\r\x0b\x0c"
 
 
 def measures(b: bytes, words: list[bytes]) -> list[float]:
-    """The labellers' shares, in the order of LABELLERS."""
+    """The labellers' shares, in the order of LABELLERS (8 more letters keep words of one capital calm)."""
     n, size = max(1, len(words)), max(1, len(b) - sum(b.count(c) for c in SPACE))
     upper = len(b) - len(b.translate(None, UPPER))
     lower = len(b) - len(b.translate(None, LOWER))
@@ -49,8 +49,8 @@ def measures(b: bytes, words: list[bytes]) -> list[float]:
     digits = len(b) - len(b.translate(None, b"0123456789"))
     symbols = len(b) - len(b.translate(None, b"#$%&*"))
     again = max((sum(map(eq, words[lag:], words)) for lag in (1, 2)), default=0)
-    return [symbols / size, upper / max(1, upper + lower), min(1.0, b.count(b"|") / n), min(1.0, b.count(b"!!") / n),
-            again / n, (size - upper - lower - high - digits) / size]
+    return [symbols / size, upper / (upper + lower + 8), min(1.0, b.count(b"|") / n), min(1.0, b.count(b"!!") / n),
+            again / n, (size - upper - lower - high - digits) / (size + 8)]
 
 
 def votes(m: list[float]) -> int:
