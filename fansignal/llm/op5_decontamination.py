@@ -67,7 +67,8 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
 
 def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids) per row."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, version) per
+    row; version is the hash that tells rows of one doc_id apart."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("version", F.xxhash64("text"))
     item_windows = staged(windows_of(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")),
@@ -123,7 +124,16 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int =
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("item_ids"))
+                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("item_ids"), "version")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """Rows of ``documents`` that no benchmark window occurs in, with all their columns."""
+    marked = contaminated_words(documents, benchmark, width, id_col, text_col).filter("contaminated")
+    bad = _small(staged(marked.select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct(), "contaminated"))
+    version = F.xxhash64(documents[text_col].cast("string"))
+    return documents.join(bad, documents[id_col].cast("long").eqNullSafe(bad.d) & (version == bad.v), "left_anti")
 
 
 def _same(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:

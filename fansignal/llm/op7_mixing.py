@@ -57,7 +57,8 @@ def draw(doc_id: Column, seed: int) -> Column:
 def mix(documents: DataFrame, weights=(3, 1, 2), percent: int = 150, most: int = 2, seed: int = 7,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``documents`` with added columns mix_size, mix_source_size, mix_target and mix_copies
-    (how many times the mix takes the document); one row per input row."""
+    (how many times the mix takes the document); one row per input row. Columns of these
+    names in ``documents`` are replaced."""
     d = documents.withColumn("mix_size", words_in(F.col(text_col)))
     targets = source_targets(d.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size")),
                              weights, percent, most)
@@ -71,8 +72,7 @@ def mix(documents: DataFrame, weights=(3, 1, 2), percent: int = 150, most: int =
     return j.withColumn("mix_copies", (whole + (draw(F.col(id_col), seed) < rate - whole).cast("int")).cast("int"))
 
 
-def emitted(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns only."""
-    keep = [c for c in mixed.columns if not c.startswith("mix_")]
+def emitted(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the given columns."""
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return mixed.filter("mix_copies > 0").withColumn("mix_copy", copies).select(*keep)
+    return mixed.filter("mix_copies > 0").withColumn("mix_copy", copies).select(*columns)

@@ -32,9 +32,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op4_embeddings import embedding_links
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fansignal.llm.op5_decontamination import contaminated_words
-    return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+    return contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "version")
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op6_passages import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +70,4 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"), known_licences(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op5_decontamination, op7_mixing, op8_quality, op9_lm_scoring, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op4_embeddings, op5_decontamination, op6_passages, op7_mixing, op8_quality, op9_lm_scoring, op10_licences)}
