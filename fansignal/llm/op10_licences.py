@@ -15,6 +15,7 @@ ignored.
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,10 @@ from fansignal.functions.common import let
 from fansignal.llm.licence_texts import KNOWN
 
 SMALL = 100_000
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n©]*(?:copyright\b|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+# On lower-cased texts. The words in COPYRIGHT_SIGNS tell cheaply where the pattern can match.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights reserved")
+NOT_WORD = r"[^a-z0-9\p{L}\p{N}]+"
 # Spellings that licence scans treat as equal, applied in this order.
 SPELLINGS = [
     (r"\blicence", "license"), (r"\bsub license", "sublicense"), (r"\bsublicence", "sublicense"),
@@ -36,14 +40,19 @@ SPELLINGS = [
 ]
 
 
+def _has(text: Column, words) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
+
+
 def canonical(text: Column, whole: bool) -> Column:
     """Canonical form of an entire text; copyright lines are dropped from whole texts."""
-    t = F.coalesce(text, F.lit(""))
+    t = F.lower(F.coalesce(text, F.lit("")))
     if whole:
-        t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
-    return let(t, lambda c: F.when(c.rlike("|".join(p for p, _ in SPELLINGS)),
-                                   reduce(lambda acc, s: F.regexp_replace(acc, s[0], s[1]), SPELLINGS, c)).otherwise(c))
+        t = let(t, lambda c: F.when(_has(c, COPYRIGHT_SIGNS), F.regexp_replace(c, COPYRIGHT_LINE, "")).otherwise(c))
+    t = F.trim(F.regexp_replace(t, NOT_WORD, " "))
+    plain = [re.sub(r"\\b|\(.*\)", "", p) for p, _ in SPELLINGS]    # no spelling applies without one of these
+    return let(t, lambda c: F.when(_has(c, plain), reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), SPELLINGS, c))
+               .otherwise(c))
 
 
 def digest(text: Column, whole: bool) -> Column:

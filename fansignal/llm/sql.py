@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from fansignal.llm.licence_texts import KNOWN
-from fansignal.llm.op10_licences import COPYRIGHT_LINE, SPELLINGS
+from fansignal.llm.op10_licences import COPYRIGHT_LINE, NOT_WORD, SPELLINGS
 
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
@@ -49,10 +49,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 
 
 def _canonical(text: str, whole: bool) -> str:
-    t = f"coalesce({text}, '')"
+    t = f"lower(coalesce({text}, ''))"
     if whole:
         t = f"regexp_replace({t}, '{COPYRIGHT_LINE}', '', 'g')"
-    t = rf"trim(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+    t = f"trim(regexp_replace({t}, '{NOT_WORD}', ' ', 'g'), ' ')"
     for pattern, to in SPELLINGS:
         t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     return f"sha256(nullif({t}, ''))"
