@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from fansignal.llm.words import U64, word_list
 from fansignal.sources.tables import staged
 
-CHUNK_BYTES = 16_000_000
-SLICE_BYTES = 3_000_000       # of a chunk, worked on at a time
+CHUNK_BYTES = 11_000_000
+SLICE_BYTES = 2_000_000       # of a chunk, worked on at a time
 ORDER = 5                     # context bytes; a gram is one number, nearest context byte on top
 END = b"\n"                   # ends a text and stands before its start
 SYMBOLS = 256 - 5 + 1         # bytes that words and spaces can hold, and the end
