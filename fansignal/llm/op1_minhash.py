@@ -14,7 +14,7 @@
    then the full shingle sets decide.
 4. Links give components. Only buckets that still hold several components are looked at
    again: members outside the bucket's largest component are compared with all members of
-   other components. So no link between different components is lost, and a large group
+   other components, first by a finer sketch. So no link between different components is lost, and a large group
    of near copies is never expanded into all its pairs.
 
 Nulls and empties: a null or empty text has no shingles and links with nothing; a null id
@@ -38,21 +38,21 @@ from fansignal.sources.tables import staged
 T = 512          # coordinates of a sketch; one bit of each is kept
 BANDED = 384     # coordinates used for bands
 MAX_MISS = 1e-6  # allowed probability that a pair at the threshold shares no band
-WORDS64 = T // 64
-SEEDS = odd_multipliers(2 * T, 1234)
+T_FINE = 4096    # coordinates (one bit each) of the sketches that decide between components
+SEEDS = odd_multipliers(2 * T_FINE, 1234)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """T coordinates (round << 33 | value) of a non-empty set of 64-bit hashes."""
-    out = np.full(T, np.iinfo(np.uint64).max, U64)
-    low, full = U64((1 << 33) - 1), np.iinfo(np.uint64).max
-    step, i = max(1, min(2 * T, math.ceil(5000 / len(h)))), 0
-    while i < 2 * T:
-        j = min(2 * T, i + step)
+def sketch(h: np.ndarray, t: int = T) -> np.ndarray:
+    """t coordinates (round << 33 | value) of a non-empty set of 64-bit hashes."""
+    full, low = np.iinfo(np.uint64).max, U64((1 << 33) - 1)
+    out = np.full(t, full, U64)
+    step, i = max(1, min(2 * t, math.ceil(t * (math.log(t) + 3) / len(h)))), 0
+    while i < 2 * t:
+        j = min(2 * t, i + step)
         x = mix64(h[None, :] ^ SEEDS[i:j, None])
         rounds = np.arange(i, j, dtype=U64)[:, None]
-        bins = ((x >> U64(33)) * U64(T)) >> U64(31)
-        bins = np.where(rounds < U64(T), bins, rounds - U64(T)).astype(np.int64)
+        bins = ((x >> U64(33)) * U64(t)) >> U64(31)
+        bins = np.where(rounds < U64(t), bins, rounds - U64(t)).astype(np.int64)
         np.minimum.at(out, bins.ravel(), ((rounds << U64(33)) | (x & low)).ravel())
         if not (out == full).any():
             break
@@ -65,10 +65,14 @@ def band_rows(threshold: float) -> int:
     return max(r for r in range(1, 17) if r == 1 or (1 - threshold ** r) ** (BANDED // r) <= MAX_MISS)
 
 
-def least_agreement(threshold: float) -> int:
-    """Bits out of T that a pair at the threshold shares but for five standard deviations."""
+def least_agreement(threshold: float, t: int) -> int:
+    """Bits out of t that a pair at the threshold shares but for five standard deviations."""
     p = (1 + threshold) / 2
-    return math.floor(T * p - 5.2 * math.sqrt(T * p * (1 - p)))
+    return math.floor(t * p - 5.2 * math.sqrt(t * p * (1 - p)))
+
+
+def _bits(s: np.ndarray) -> np.ndarray:
+    return np.packbits((mix64(s) & U64(1)).astype(np.uint8)).view(np.int64)
 
 
 def _sketches(k: int, rows: int):
@@ -86,7 +90,7 @@ def _sketches(k: int, rows: int):
                     s = sketch(h)
                     key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     keys.append(mix64((s[:bands * rows].reshape(bands, rows) * mul).sum(1, dtype=U64) ^ band_no).view(np.int64))
-                    bits.append(np.packbits((mix64(s) & U64(1)).astype(np.uint8)).view(np.int64))
+                    bits.append(_bits(s))
                 else:
                     key.append(None)
                     keys.append(np.zeros(0, np.int64))
@@ -113,16 +117,23 @@ def _sets(k: int):
     return run
 
 
+def _fine(batches):
+    """Fine sketches of sets that are at hand."""
+    for batch in batches:
+        bits = [_bits(sketch(np.array(x.as_py(), np.int64).view(U64), T_FINE)) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits)], ["rep", "bits"])
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose sketch bits agree in at least ``least`` places."""
     def side(name):
         return reps.select(F.col("rep").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(_agreement("a_bits", "b_bits") >= least).select("a", "b"))
+            .filter(_agreement("a_bits", "b_bits", T) >= least).select("a", "b"))
 
 
-def _agreement(x: str, y: str):
-    return T - sum(F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(WORDS64))
+def _agreement(x: str, y: str, t: int):
+    return t - sum(F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(t // 64))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +184,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     firsts = texts.join(active.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = staged(firsts.mapInArrow(_sets(k), "rep long, shingles array<long>"), "sets")
 
-    least = least_agreement(percent / 100)
+    least, least_fine = least_agreement(percent / 100, T), least_agreement(percent / 100, T_FINE)
     pairs = staged(bucketed.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(),
                    "hub-pairs")
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
@@ -187,11 +198,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = (per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
              .filter("parts > 1").select("key", F.col("top.component").alias("largest")))
-    open_rows = staged(placed.join(mixed, "key").join(reps.select("rep", "bits"), "rep"), "open")
+    open_rows = staged(placed.join(mixed, "key"), "open")
+    fine = staged(sets.join(open_rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_fine, "rep long, bits array<long>"),
+                  "fine-sketches")
+    open_rows = open_rows.join(fine, "rep")
     x = open_rows.filter("component <> largest").select(
         "key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"))
     y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
-    cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb") >= least))
+    cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb", T_FINE) >= least_fine))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = _joined(comp, staged(_confirmed(cross, sets, percent), "cross-links"))
     final = (reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
