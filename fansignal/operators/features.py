@@ -4,7 +4,7 @@ Team-match rows come from a home/away unpivot (no join). Recency weights 0.8^ran
 computed without a window over a whole (possibly hot) team: matches are counted per
 (team, day), the suffix count of newer days comes from a window over those small
 aggregates, and ranks are refined inside (team, day) only where the weight can still be
-non-zero (0.8^r is exactly 0.0 in doubles for r >= UNDERFLOW_RANK).
+non-zero (0.8^r is exactly 0.0 in doubles from ``underflow_rank(0.8)`` on).
 """
 from __future__ import annotations
 
@@ -22,8 +22,9 @@ ADVANCED_COLUMNS = ["xg", "xga", "xg_difference", "avg_possession", "avg_shots_o
                     "shot_accuracy", "avg_pass_accuracy", "avg_corners", "avg_saves", "ppda",
                     "progressive_passes", "progressive_carries", "pressures"]
 
-# Smallest r with RECENCY_DECAY ** r == 0.0 in IEEE doubles (plus a safety margin).
-UNDERFLOW_RANK = int(math.ceil(1075 * math.log(2) / -math.log(RECENCY_DECAY))) + 8
+def underflow_rank(decay: float) -> int | None:
+    """A rank from which decay ** rank is 0.0 in doubles (with a margin); None if none is."""
+    return math.ceil(1075 * math.log(2) / -math.log(decay)) + 8 if 0 < decay < 1 else None
 
 
 def team_match_rows(matches: DataFrame) -> DataFrame:
@@ -56,7 +57,9 @@ def with_recency_weight(tm: DataFrame, decay: float = RECENCY_DECAY) -> DataFram
     j = tm.join(suffix, ["team", "_day"])
     wl = Window.partitionBy("team", "_day").orderBy(F.col("utc_date").desc(), F.col("match_id").desc())
     r = F.col("_newer") + F.row_number().over(wl) - 1
-    weight = F.when(F.col("_newer") >= UNDERFLOW_RANK, F.lit(0.0)).otherwise(F.pow(F.lit(decay), r.cast("double")))
+    weight = F.pow(F.lit(decay), r.cast("double"))
+    if (zero_from := underflow_rank(decay)) is not None:
+        weight = F.when(F.col("_newer") >= zero_from, F.lit(0.0)).otherwise(weight)
     return j.withColumn("weight", weight).drop("_day", "_newer")
 
 

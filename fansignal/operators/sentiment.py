@@ -206,18 +206,16 @@ def team_token_table(teams: DataFrame, team_col: str = "team") -> DataFrame:
 
 
 def post_team_pairs(posts: DataFrame, teams: DataFrame, post_id: str = "post_id", text: str = "text",
-                    team_col: str = "team", strict: bool = False, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    team_col: str = "team", strict: bool = False) -> DataFrame:
     """(post_id, team) for every post that mentions a team, all teams in one join.
 
     Post tokens are de-duplicated per post and joined to the team-token table. That table
-    is a dimension (one row per team token); it is broadcast only when its row count is
-    under ``max_broadcast_rows``, otherwise the planner shuffles both sides.
+    is a dimension (one row per team token); the planner and adaptive execution decide by
+    its size in bytes whether it is broadcast.
     """
     tt = team_token_table(teams, team_col)
-    n_rows = tt.count()
-    tt_side = F.broadcast(tt) if n_rows <= max_broadcast_rows else tt
     pt = posts.select(F.col(post_id).alias("post_id"), F.explode(F.array_distinct(_tok(F.col(text)))).alias("token"))
-    hit = pt.join(tt_side, "token")
+    hit = pt.join(tt, "token")
     agg = hit.groupBy("post_id", "team").agg(F.count(F.lit(1)).alias("_m"), F.first("n_tokens").alias("_n"))
     if strict:
         agg = agg.filter(F.col("_m") == F.col("_n"))

@@ -417,7 +417,7 @@ def f17_thread_sample(spark, sf_dir):
     posts = _text_posts(spark, sf_dir)
     pairs = sent.post_team_pairs(posts, _team_dim(spark, sf_dir))
     a = en.assign_matches(posts, pairs, fx.matches_v(spark, sf_dir))
-    s = en.match_thread_sample(a.withColumn("text", F.substring("text", 1, 60)), 30)
+    s = en.match_thread_sample(a, 30)
     return s.select("match_id", "sample", F.length("sample").alias("sample_chars"), "posts")
 
 

@@ -247,9 +247,9 @@ ORACLE.update({
         FROM ns a JOIN ns b ON b.doc_id = a.doc_id + 1)
       SELECT doc_id, {fx('CASE WHEN na + nb - i = 0 THEN 0.0 ELSE i / (na + nb - i) END')} AS jaccard FROM pr""",
     "e03_near_dup_pairs": "WITH " + NEAR[len("x AS (SELECT 1),\n"):] + f"SELECT earlier_id, later_id, {fx('jaccard')} AS jaccard FROM pairs",
-    "e05_keep_first": "WITH " + NEAR[len("x AS (SELECT 1),\n"):] + """, firsts AS (SELECT min(doc_id) AS doc_id FROM ns GROUP BY ss)
+    "e05_keep_first": "WITH " + NEAR[len("x AS (SELECT 1),\n"):] + """, firsts AS (SELECT min(doc_id) AS doc_id FROM ns GROUP BY ss, CASE WHEN n = 0 THEN doc_id END)
       SELECT doc_id FROM firsts WHERE doc_id NOT IN (SELECT later_id FROM pairs)""",
-    "e07_exact_dups": "WITH " + SH[len("x AS (SELECT 1),\n"):] + """, g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ss) AS rep_id FROM ns)
+    "e07_exact_dups": "WITH " + SH[len("x AS (SELECT 1),\n"):] + """, g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ss, CASE WHEN n = 0 THEN doc_id END) AS rep_id FROM ns)
       SELECT doc_id, rep_id FROM g WHERE doc_id <> rep_id""",
 })
 
@@ -307,8 +307,8 @@ ORACLE.update({
         FROM assigned GROUP BY ALL""",
     "f17_thread_sample": TP + """, r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY "timestamp", post_id) AS rk
         FROM assigned WHERE match_id IS NOT NULL)
-      SELECT match_id, string_agg('- ' || substring(text, 1, 60), chr(10) ORDER BY rk) AS sample,
-        CAST(length(string_agg('- ' || substring(text, 1, 60), chr(10) ORDER BY rk)) AS INTEGER) AS sample_chars,
+      SELECT match_id, string_agg('- ' || text, chr(10) ORDER BY rk) AS sample,
+        CAST(length(string_agg('- ' || text, chr(10) ORDER BY rk)) AS INTEGER) AS sample_chars,
         count(*) AS posts FROM r WHERE rk <= 30 GROUP BY match_id""",
     "g02_histogram": PB + f"""x AS (SELECT 1) SELECT time_bucket(INTERVAL '15 minutes', "timestamp") AS bucket,
         {fx('avg(sentiment_score)')} AS avg_score, count(*) AS doc_count,

@@ -27,12 +27,15 @@ TEXTS_V = """texts_v AS (
       WHEN 0 THEN 'What a golazo #WorldCup2026 https://ex.am/p?q=1 ' || text
       WHEN 1 THEN '@ref_1 robbed by VAR &amp; a howler ' || text
       WHEN 2 THEN 'www.ex.am/x bottled it, pure class from the gaffer  ' || text
-      WHEN 3 THEN 'GOAAAAAAAAAAL '
+      WHEN 3 THEN 'GOAAAAAAAAAAL ' || text
       WHEN 4 THEN 'TEAM_' || (doc_id % 25) || ' v TEAM_' || ((doc_id + 3) % 25) || ': pens after AET ' || text
       WHEN 5 THEN '#fifa world cup #other ' || text
       WHEN 6 THEN '12345 67890 !!! ' || text
       ELSE text END AS text
-  FROM documents)"""
+  FROM documents
+  UNION ALL
+  SELECT doc_id + 1000000000000, lang, source, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id),
+    'user_' || (doc_id % 150), 'GOAAAAAAAAAAL ' FROM documents WHERE doc_id % 8 = 3)"""
 
 TEAMS_V = """teams_v AS (
   SELECT o.o_orderkey,

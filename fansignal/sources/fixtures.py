@@ -60,8 +60,12 @@ TEXT_PREFIXES = {
 }
 
 
+SPAM_IDS = 10 ** 12
+
+
 def texts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw posts from ``documents`` with planted URLs, mentions, tags, slang and team names."""
+    """Raw posts from ``documents`` with planted URLs, mentions, tags, slang and team names,
+    whole texts always; short spam posts are extra rows with ids from SPAM_IDS on."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 8
     team_prefix = F.concat(F.lit("TEAM_"), (F.col("doc_id") % 25).cast("string"), F.lit(" v TEAM_"),
@@ -70,13 +74,14 @@ def texts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     for key, p in TEXT_PREFIXES.items():
         prefix = prefix.when(k == key, F.lit(p))
     prefix = prefix.otherwise(F.lit(""))
-    text = F.when(k == 3, prefix).otherwise(F.concat(prefix, F.col("text")))
-    return d.select(
-        "doc_id", "lang", "source",
+    posts = d.withColumn("text", F.concat(prefix, F.col("text"))).withColumn("post", F.col("doc_id"))
+    spam = d.filter(k == 3).withColumn("text", F.lit(TEXT_PREFIXES[3])).withColumn("post", F.col("doc_id") + SPAM_IDS)
+    return posts.unionByName(spam).select(
+        F.col("post").alias("doc_id"), "lang", "source",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id"))).alias("ts"),
         F.concat(F.lit("user_"), (F.col("doc_id") % 150).cast("string")).alias("author"),
-        text.alias("text"),
+        "text",
     )
 
 

@@ -13,21 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """Write ``build()`` once as a parquet table under the cluster's checkpoint folder
-    (``spark.checkpoint.dir``) and read it back. Cuts lineage and lets several plans
-    share one derived table instead of re-deriving it."""
-    import hashlib
-
-    from fansignal.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Write ``build()`` once per application as a parquet table in the shared folder and
+    read it back, so that several plans share it. Another application, and so changed
+    inputs or code, never sees it; paths are unique, so two writers never meet."""
+    import uuid
+
+    from fansignal.session import shared_dir
+    at = (spark.sparkContext.applicationId, name, key)
+    if at not in _STORED:
+        path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
