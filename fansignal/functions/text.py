@@ -53,8 +53,7 @@ SLANG_RULES = [
     (r"\bog\b", "own goal"),
 ]
 
-# Hashtags whose text is kept, and the patterns removed or replaced.
-HASHTAG_STRIP = r"(?i)#(worldcup2026|fifaworldcup|worldcup|fifa|football|soccer|qatar|usa|canada|mexico)\b"
+# The patterns removed or replaced.
 URL_RE = r"(?U)https?://\S+|www\.\S+"
 MENTION_RE = r"(?U)@\w+"
 HTML_RE = r"(?U)&[a-zA-Z]+;|&#\d+;"
@@ -98,12 +97,15 @@ def _nfkd_strip(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-strip_accents_udf = F.pandas_udf(_nfkd_strip, T.StringType())
+# Marked non-deterministic so that a filter on the result is not pushed below it, which
+# would run it (and the chain above it) twice per row.
+strip_accents_udf = F.pandas_udf(_nfkd_strip, T.StringType()).asNondeterministic()
 
 
 def strip_accents(t: Column) -> Column:
-    """Unicode NFKD and removal of combining marks (Arrow-batched; ASCII rows pass)."""
-    return strip_accents_udf(t)
+    """Unicode NFKD and removal of combining marks (Arrow-batched). ASCII texts stay in
+    the JVM: Python gets a NULL for them."""
+    return F.coalesce(strip_accents_udf(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
 
 
 def remove_emoji(t: Column) -> Column:
