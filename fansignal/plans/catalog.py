@@ -325,7 +325,8 @@ def e05_keep_first(spark, sf_dir):
 
 def e06_rolling_dedup(spark, sf_dir):
     t = fx.texts_v(spark, sf_dir)
-    return dd.rolling_dedup(t, ["source"], ["ts", "doc_id"]).select("doc_id")
+    t = t.withColumn("day", F.to_date("ts"))
+    return dd.rolling_dedup(t, ["source", "day"], ["ts", "doc_id"]).select("doc_id")
 
 
 def e07_exact_dups(spark, sf_dir):

@@ -5,8 +5,7 @@ is bounded by watermarks or by a fixed-size ring, and checkpoints make restarts
 """
 from __future__ import annotations
 
-import json
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from fansignal.functions import scoring as sc
 from fansignal.functions import text as tx
 from fansignal.operators import enrich as en
+from fansignal.operators.dedup import RecentPosts, shingle_hashes
 from fansignal.sources.schemas import POSTS_RAW
 
 # The three post topics.
@@ -66,53 +66,40 @@ def dedup_ids(posts: DataFrame, id_cols: list[str], watermark: str = "1 day", ts
     return posts.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(id_cols)
 
 
-def _ring_func(window_size: int, compare_last: int, threshold: float, k: int):
-    def shingle_set(text):
-        w = (text or "").lower().split()
-        return frozenset(w) if len(w) < k else frozenset(" ".join(w[i:i + k]) for i in range(len(w) - k + 1))
-
-    def jac(a, b):
-        u = len(a | b)
-        return len(a & b) / u if u else 0.0
-
+def _admitted(size: int, threshold: float):
     def fn(key, pdfs, state):
-        ring = [frozenset(x) for x in json.loads(state.get[0])] if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "id"], kind="stable")
-            keep = []
-            for text in pdf["text"]:
-                s = shingle_set(text)
-                dup = any(jac(s, r) >= threshold for r in ring[-compare_last:])
-                keep.append(not dup)
-                if not dup:
-                    ring.append(s)
-                    ring = ring[-window_size:]
-            yield pdf[pd.Series(keep, index=pdf.index)]
-        state.update((json.dumps([sorted(r) for r in ring]),))
+        recent = RecentPosts(size, threshold)
+        if state.exists:
+            lengths, hashes = (np.frombuffer(x, np.int64) for x in state.get)
+            for one in np.split(hashes, np.cumsum(lengths)[:-1]):
+                recent.remember(one.tolist())
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "id"], kind="stable")
+        yield pdf[[recent.admits(h.tolist()) for h in pdf["_h"]]]
+        kept = list(recent.hashes.values())
+        state.update((np.array([len(h) for h in kept], np.int64).tobytes(),
+                      np.array([x for h in kept for x in h], np.int64).tobytes()))
     return fn
 
 
 def rolling_dedup_stream(posts: DataFrame, block_col: str = "source", window_size: int = 1000,
                          compare_last: int = 200, threshold: float = 0.8, k: int = 3) -> DataFrame:
-    """E06 on a stream: per block, the greedy ring lives in state (at most ``window_size``
-    shingle sets), so state never grows with the stream."""
-    schema = posts.schema
-    state = T.StructType([T.StructField("ring", T.StringType())])
-    return posts.groupBy(block_col).applyInPandasWithState(
-        _ring_func(window_size, compare_last, threshold, k), schema, state, "append", GroupStateTimeout.NoTimeout)
+    """E06 on a stream: per block, the hashes of the last kept posts are the state, so it never
+    grows with the stream. A block's rows of one micro-batch are put in (ts, id) order
+    together; the source's rate limit (``max_per_trigger``) bounds them."""
+    p = posts.withColumn("_h", shingle_hashes(F.coalesce(F.col("text"), F.lit("")), k))
+    state = T.StructType([T.StructField("lengths", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    return p.groupBy(block_col).applyInPandasWithState(
+        _admitted(min(window_size, compare_last), threshold), p.schema, state, "append",
+        GroupStateTimeout.NoTimeout).drop("_h")
 
 
 def _diff_func():
     def fn(key, pdfs, state):
-        g, c = state.get if state.exists else (0, 0)
-        for pdf in pdfs:
-            pdf = pdf.sort_values("snapshot_ts", kind="stable")
-            keep = []
-            for ng, nc in zip(pdf["n_goals"], pdf["n_cards"]):
-                keep.append(bool(ng > g or nc > c))
-                g, c = int(ng), int(nc)
-            yield pdf[pd.Series(keep, index=pdf.index)]
-        state.update((g, c))
+        first = state.get if state.exists else (0, 0)
+        pdf = pd.concat(list(pdfs)).sort_values("snapshot_ts", kind="stable")
+        n = pdf[["n_goals", "n_cards"]].to_numpy()
+        yield pdf[(n > np.vstack([first, n[:-1]])).any(axis=1)]
+        state.update(tuple(int(x) for x in n[-1]))
     return fn
 
 

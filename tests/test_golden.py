@@ -186,9 +186,33 @@ def test_wide_table_rules(spark):
     t1 = spark.createDataFrame([("Squad", "x", "y", "z"), ("Brazil", "1.5", "0.7", "55"), ("", "1", "1", "1")],
                                ["squad", "xG", "xGA", "Poss"])
     t2 = spark.createDataFrame([("Brazil", "2.0", "12.5")], ["team", "npxG", "PPDA"])
+    first = st.canonicalize_wide_tables([t1]).collect()
+    assert [(r.team, r.xg, r.xga, r.possession_pct) for r in first] == [("Brazil", 1.5, 0.7, 0.55)]
     got = {r.team: r for r in st.canonicalize_wide_tables([t1, t2]).collect()}
-    assert set(got) == {"Brazil"}
-    assert got["Brazil"].xg == 2.0 and got["Brazil"].ppda == 12.5 and got["Brazil"].xga is None
+    assert set(got) == {"Brazil"}   # the later table replaces the entry; npxG is not xG
+    assert got["Brazil"].xg is None and got["Brazil"].ppda == 12.5 and got["Brazil"].xga is None
+
+
+@pytest.mark.parametrize("column,team,player", [
+    ("xG", "xg", "xg"), ("Expected xG", "xg", "xg"), ("npxG", None, "npxg"), ("xGA", "xga", None),
+    ("xG Against", "xga", None), ("xAG", None, "xa"), ("Prog Carries", "progressive_carries", "progressive_carries"),
+    ("Passes Prog", "progressive_passes", "progressive_passes"), ("Press Succ", None, None), ("Presses", "pressures", "pressures"),
+    ("Key Passes", None, "key_passes"), ("Aerial Won%", None, "aerial_won_pct"), ("Max", None, None)])
+def test_column_meanings(column, team, player):
+    assert st.column_field(column, st.TEAM_FIELDS) == team
+    assert st.column_field(column, st.PLAYER_FIELDS) == player
+
+
+def test_player_wide_table(spark):
+    t = spark.createDataFrame([("Player", "x", "y"), ("Ada", "0.4", "n/a"), (None, "1", "1")], ["Player", "xG", "Key Passes"])
+    got = st.canonicalize_wide_tables([t], "player").collect()
+    assert [(r.player, r.xg, r.key_passes) for r in got] == [("Ada", 0.4, None)]
+
+
+def test_rolling_dedup_empty_texts(spark):
+    df = spark.createDataFrame([(1, 1, ""), (2, 2, None), (3, 3, "a b c d"), (4, 4, "A b c d")],
+                               "doc_id long, ts long, text string").withColumn("source", F.lit("r"))
+    assert sorted(r.doc_id for r in dd.rolling_dedup(df, ["source"], ["ts"]).collect()) == [1, 2, 3]
 
 
 def test_entity_filter(spark):

@@ -67,3 +67,23 @@ def test_snapshot_diff_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("select * from snapdiff").collect()
     assert [r.n_goals for r in got] == [1]
+
+
+def test_rolling_dedup_stream_equals_batch(spark, tmp_path):
+    from fansignal.operators import dedup as dd
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "", "alpha beta gamma delta"]
+    rows = [{"id": i, "ts": i, "source": "ab"[i % 2], "text": texts[i // 2 % 4]} for i in range(24)]
+    d = tmp_path / "posts"
+    d.mkdir()
+    schema = "id long, ts long, source string, text string"
+    for n, part in enumerate((rows[:7], rows[7:15][::-1], rows[15:])):
+        _drop(str(d), f"{n}.json", part)
+        os.utime(d / f"{n}.json", (1_000_000 + n, 1_000_000 + n))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
+    q = (sp.rolling_dedup_stream(s).writeStream.format("memory").queryName("ringdedup")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted(r.id for r in spark.sql("select id from ringdedup").collect())
+    want = dd.rolling_dedup(spark.read.schema(schema).json(str(d)), ["source"], ["ts", "id"])
+    assert got == sorted(r.id for r in want.collect())
+    assert len([i for i in got if rows[i]["text"]]) == 6 and len(got) == 12   # empty posts all stay
