@@ -14,8 +14,10 @@
    then the full shingle sets decide.
 4. Links give components. Only buckets that still hold several components are looked at
    again: members outside the bucket's largest component are compared with all members of
-   other components, first by a finer sketch. So no link between different components is lost, and a large group
-   of near copies is never expanded into all its pairs.
+   other components, first by a finer sketch. A pair that shares several buckets comes from
+   the one with the smallest key alone: all buckets it shares hold both components, so all
+   of them are open. So no link between different components is lost, and a large group of
+   near copies is never expanded into all its pairs.
 
 Nulls and empties: a null or empty text has no shingles and links with nothing; a null id
 never links. Rows that repeat an id count as rows of one document node (their sets may
@@ -118,10 +120,10 @@ def _sets(k: int):
 
 
 def _fine(batches):
-    """Fine sketches of sets that are at hand."""
+    """Fine sketches of sets that are at hand; the keys of the open buckets pass through."""
     for batch in batches:
         bits = [_bits(sketch(np.array(x.as_py(), np.int64).view(U64), T_FINE)) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits)], ["rep", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits), batch.column(2)], ["rep", "bits", "keys"])
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
@@ -199,14 +201,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     mixed = (per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
              .filter("parts > 1").select("key", F.col("top.component").alias("largest")))
     open_rows = staged(placed.join(mixed, "key"), "open")
-    fine = staged(sets.join(open_rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_fine, "rep long, bits array<long>"),
-                  "fine-sketches")
+    keys = open_rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))   # one key per band at most
+    fine = staged(sets.join(keys, "rep").select("rep", "shingles", "keys").mapInArrow(
+        _fine, "rep long, bits array<long>, keys array<long>"), "fine-sketches")
     open_rows = open_rows.join(fine, "rep")
     x = open_rows.filter("component <> largest").select(
-        "key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"))
-    y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
-    cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb", T_FINE) >= least_fine))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        "key", "largest", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"), F.col("keys").alias("ka"))
+    y = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"),
+                         F.col("keys").alias("kb"))
+    once = (F.array_min(F.array_intersect("ka", "kb")) == x.key) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b")))
+    cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb", T_FINE) >= least_fine) & once)
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     comp = _joined(comp, staged(_confirmed(cross, sets, percent), "cross-links"))
     final = (reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("set_key", "rep", F.coalesce("component", "rep").alias("component_id")))

@@ -65,6 +65,31 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_across_components(spark):
+    """Families of edits that share buckets without being linked: components equal brute force."""
+    base, r, texts = [f"v{i}" for i in range(120)], np.random.default_rng(11), []
+    for _ in range(6):
+        family = list(base)
+        for at in r.integers(0, 120, 4):
+            family[at] = f"f{r.integers(0, 10**6)}"
+        for _ in range(10):
+            member = list(family)
+            for at in r.integers(0, 120, 2):
+                member[at] = f"m{r.integers(0, 10**6)}"
+            texts.append(" ".join(member))
+    sets = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    comp = list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    from fansignal.llm.op1_minhash import near_duplicates
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=85)
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(comp))
+    assert 1 < len(set(comp)) < len(comp)
+
+
 def test_packing_is_lossless(docs, none):
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = op2_packing.packed_sequences(docs, rank_file, public_tokenizers.PATTERN, 256).collect()
