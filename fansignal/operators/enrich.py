@@ -64,13 +64,17 @@ def filter_entities(entities: Column) -> Column:
 
 def gazetteer_entities(posts: DataFrame, names: DataFrame, post_id: str = "post_id", text_col: str = "text",
                        name_col: str = "name", type_col: str = "type") -> DataFrame:
-    """entities from a name table (teams -> ORG, players -> PER) by token match.
-    Returns (post_id, entities) with entities in first-mention order."""
+    """entities from a name table (teams -> ORG, players -> PER): every token of the
+    name, in order and next to each other. Returns (post_id, entities) with entities in
+    first-mention order. Null names and names without a letter or digit match nothing."""
     pt = posts.select(F.col(post_id).alias("post_id"),
                       F.posexplode(sent._tok(F.col(text_col))).alias("pos", "token"))
-    nt = names.select(F.lower(F.col(name_col)).alias("token"), F.col(name_col).alias("name"),
-                      F.col(type_col).alias("type")).distinct()
-    hit = pt.join(nt, "token").groupBy("post_id", "name", "type").agg(F.min("pos").alias("pos"))
+    nt = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type")).distinct() \
+        .withColumn("_toks", sent._tok(F.col("name")))
+    nt = nt.select("name", "type", F.size("_toks").alias("n"), F.posexplode("_toks").alias("at", "token"))
+    mention = (pt.join(nt, "token").groupBy("post_id", "name", "type", "n", (F.col("pos") - F.col("at")).alias("pos"))
+               .agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") == F.col("n")))
+    hit = mention.groupBy("post_id", "name", "type").agg(F.min("pos").alias("pos"))
     return hit.groupBy("post_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))),
                                                   lambda s: F.struct(s["name"].alias("name"), s["type"].alias("type"),
                                                                      F.lit(1.0).alias("score"))).alias("entities"))
@@ -100,17 +104,43 @@ def scored_post_projection(posts: DataFrame, processed_at: Column | None = None)
 def assign_matches(posts: DataFrame, pairs: DataFrame, matches: DataFrame, post_id: str = "post_id",
                    ts_col: str = "timestamp") -> DataFrame:
     """for each post, the nearest kick-off among matches of a team it mentions
-    (``pairs`` = H02 output), then F03 phase. Posts without a team get phase 'unknown'."""
-    side = matches.select("match_id", "utc_date", F.explode(F.array("home_team", "away_team")).alias("team"))
-    p = posts.select(F.col(post_id).alias("post_id"), F.col(ts_col).alias("ts"))
-    j = pairs.join(side, "team").join(p, "post_id")
-    d = F.abs(epoch_seconds("ts") - epoch_seconds("utc_date"))
-    best = j.groupBy("post_id").agg(F.min_by(F.struct("match_id", "utc_date"), F.struct(d, F.col("match_id"))).alias("m"))
+    (``pairs`` = H02 output), then F03 phase; of equally near ones the smallest match_id.
+    Posts without a team or a time get no match and phase 'unknown'.
+
+    Each mention meets one row of a (team, day) calendar that holds the kick-offs that can
+    be nearest on that day, so the join makes one row per mention."""
+    near = kick_off_calendar(matches)
+    span = near.groupBy("team").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    p = posts.select(F.col(post_id).alias("post_id"), F.col(ts_col).alias("ts")).filter(F.col("ts").isNotNull())
+    asked = pairs.join(p, "post_id").join(span, "team").select(
+        "post_id", "team", "ts", F.greatest("first_day", F.least("last_day", F.to_date("ts"))).alias("day"))
+    nearest = F.array_min(F.transform("kick_offs", lambda k: F.struct(
+        F.abs(epoch_seconds("ts") - epoch_seconds(k["utc_date"])).alias("away"), k["match_id"].alias("match_id"),
+        k["utc_date"].alias("utc_date"))))
+    best = (asked.join(near, ["team", "day"]).select("post_id", nearest.alias("m"))
+            .groupBy("post_id").agg(F.min("m").alias("m")))
     out = posts.join(best.withColumnRenamed("post_id", post_id), post_id, "left")
     return (out.withColumn("match_id", F.col("m.match_id"))
                .withColumn("match_phase", sc.match_phase(F.col(ts_col), F.col("m.utc_date"))).drop("m"))
 
 
+def kick_off_calendar(matches: DataFrame) -> DataFrame:
+    """(team, day, kick_offs) for each day from a team's first match to its last: the day's
+    kick-offs (of a day without any, those of the last day before that has some), the one before and the
+    one after them. Matches that start together count once, by their smallest match_id."""
+    side = matches.filter(F.col("utc_date").isNotNull()).select(
+        "match_id", "utc_date", F.explode(F.array("home_team", "away_team")).alias("team"))
+    kick = side.groupBy("team", "utc_date").agg(F.min("match_id").alias("match_id"))
+    days = kick.groupBy("team", F.to_date("utc_date").alias("day")).agg(
+        F.array_sort(F.collect_list(F.struct("utc_date", "match_id"))).alias("kicks"))
+    w = Window.partitionBy("team").orderBy("day")
+    days = days.select("team", "day", "kicks", F.lag(F.element_at("kicks", -1)).over(w).alias("before"),
+                       F.lead(F.element_at("kicks", 1)).over(w).alias("after"), F.lead("day").over(w).alias("next_day"))
+    until = F.coalesce(F.date_sub("next_day", 1), "day")
+    around = F.filter(F.concat("kicks", F.array("before", "after")), lambda k: k.isNotNull())
+    return days.select("team", F.explode(F.sequence("day", until)).alias("day"), around.alias("kick_offs"))
+
+
 def aggregate_sentiment(posts: DataFrame, keys: list[str], as_of: Column, use_time_decay: bool = True,
                         ts_col: str = "timestamp") -> DataFrame:
     """avg, decay x engagement weighted avg, label ratios and count per group."""

@@ -222,3 +222,31 @@ def test_entity_filter(spark):
     from fansignal.operators.enrich import filter_entities
     got = df.select(filter_entities(F.col("e")).alias("f")).first().f
     assert [(x.name, x.score) for x in got] == [("Messi", 0.9123), ("FIFA", 0.7)]
+
+
+def test_gazetteer_names_of_several_words(spark):
+    from fansignal.operators.enrich import gazetteer_entities
+    posts = spark.createDataFrame([(1, "South Korea beat United States"), (2, "Korea went south, Mali won"), (3, ""), (4, None)],
+                                  "post_id long, text string")
+    names = spark.createDataFrame([("South Korea", "ORG"), ("United States", "ORG"), ("Mali", "ORG"), (None, "ORG"), ("--", "PER")],
+                                  "name string, type string")
+    got = {r.post_id: [e.name for e in r.entities] for r in gazetteer_entities(posts, names).collect()}
+    assert got == {1: ["South Korea", "United States"], 2: ["Mali"]}
+
+
+def test_nearest_kick_off_against_brute_force(spark):
+    import datetime as dt
+    import random
+    r, start = random.Random(4), dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(hours=r.randrange(0, 24 * 40))
+    matches = [(i, at(), *r.sample("ABCD", 2)) for i in range(40)] + [(90, None, "A", "B")]
+    posts = [(i, at() + dt.timedelta(days=r.choice([-30, 0, 0, 30]))) for i in range(60)] + [(98, None), (99, start)]
+    pairs = [(i, t) for i in list(range(60)) + [98] for t in r.sample("ABCDE", 2)]
+    from fansignal.operators.enrich import assign_matches
+    m = spark.createDataFrame(matches, "match_id long, utc_date timestamp_ntz, home_team string, away_team string")
+    p = spark.createDataFrame(posts, "post_id long, timestamp timestamp_ntz")
+    got = {x.post_id: x.match_id for x in assign_matches(p, spark.createDataFrame(pairs, "post_id long, team string"), m).collect()}
+    for i, ts in posts:
+        teams = {t for j, t in pairs if j == i}
+        near = [(abs(ts - d), k) for k, d, h, a in matches if d and teams & {h, a}] if ts else []
+        assert got[i] == (min(near)[1] if near else None)
