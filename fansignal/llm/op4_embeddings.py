@@ -103,7 +103,7 @@ def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _links(least: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("vec_id", "ascending"), ("role", "ascending")])
-        dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
+        dim, block, one, two = (table.column(c)[0].as_py() for c in ("dim", "block", "s", "t"))
         ids = np.array(table.column("vec_id"))
         role = np.array(table.column("role"))
         u = _units(np.frombuffer(b"".join(x.as_py() for x in table.column("vec")), float).reshape(-1, dim))
@@ -115,7 +115,8 @@ def _links(least: float):
         for at in range(0, len(home), 512):
             rows = home[at:at + 512]
             near = norm[rows][:, None] + norm[None, :] - 2 * (x[rows] @ x.T) <= budgets[block] + SLACK
-            near &= (role != 0)[None, :] | (rows[:, None] < np.arange(n)[None, :])
+            # home vectors are in the groups of every other sub-cell: they meet each other in one of them only
+            near &= (role != 0)[None, :] | ((one == two) & (rows[:, None] < np.arange(n)[None, :]))
             a, b = np.nonzero(near)
             a = rows[a]
             for k in range(0, len(a), AT_ONCE):

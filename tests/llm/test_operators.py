@@ -165,6 +165,25 @@ def test_embedding_links(spark):
     assert embedding_links(d.limit(0)).count() == 0
 
 
+def test_embedding_links_of_split_labels(spark, monkeypatch):
+    """Labels dealt to many sub-cells: every pair counts once, however many groups hold it."""
+    from fansignal.llm import op4_embeddings
+    r = np.random.default_rng(6)
+    base = r.standard_normal((5, 16))
+    v = base[np.arange(120) % 5] + 0.12 * r.standard_normal((120, 16))
+    label = np.where(np.arange(120) < 90, 0, 1)
+    link = ((v / np.linalg.norm(v, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T >= 0.93)
+    link &= (label[:, None] == label[None]) & ~np.eye(120, dtype=bool)
+    low = np.arange(120)
+    for _ in range(120):
+        low = np.array([min([low[i], *low[link[i]]]) for i in range(120)])
+    d = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(120)], "vec_id long, embedding array<double>, label int")
+    for rows in (8, 8192):
+        monkeypatch.setattr(op4_embeddings, "CELL_ROWS", rows)
+        got = {x.vec_id: (x.n_links, x.component_id) for x in op4_embeddings.embedding_links(d).collect()}
+        assert got == {i: (link[i].sum(), low[i]) for i in range(120)}
+
+
 def test_decontamination(spark, docs, none):
     from fansignal.llm.op5_decontamination import contaminated_words, without_contaminated
     items = spark.createDataFrame([(10, " ".join(BASE.split()[30:50])), (11, "two WORDS"), (12, None), (13, "!!"),
