@@ -207,6 +207,36 @@ def test_passages(docs, none):
     assert op6_passages.repeated_passages(none).count() == 0
 
 
+def aligned(texts):
+    """Rows of _align for the second and later texts, each with the first."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(2, len(texts) + 1)], pa.int64()),
+                                        pa.array([1] * len(texts), pa.int64()), pa.array(texts)], ["doc_id", "other_id", "text"])
+    return [r for b in op6_passages._align(50, 0.8)([batch]) for r in b.to_pylist()]
+
+
+def test_passages_of_shortest_fragments():
+    """Every (K + 1)-th word changed: only fragments of exactly K words, which form one chain."""
+    base = text(21, 90)
+    w = base.split()
+    for at in range(op6_passages.K, 90, op6_passages.K + 1):
+        w[at] = f"new{at}"
+    rows = aligned([base, text(22, 30) + " " + " ".join(w)])
+    assert len(rows) == 1 and rows[0]["start"] == 30 and rows[0]["end"] >= 115
+
+
+def test_passages_with_repeated_words():
+    """A stray copy of a part does not take the whole passage's matches; every copy is told."""
+    base = text(23, 60)
+    part = " ".join(base.split()[:20])
+    rows = aligned([f"{text(24, 30)} {base}", f"{part} {text(25, 40)} {base}", f"{base} {text(26, 40)} {base}",
+                    " ".join(["same"] * 3000)])
+    assert [(r["doc_id"], r["start"], r["end"], r["other_start"], r["other_end"]) for r in sorted(
+        rows, key=lambda r: (r["doc_id"], r["start"]))] == [(2, 60, 120, 30, 90), (3, 0, 60, 30, 90), (3, 100, 160, 30, 90)]
+    junk = " ".join(["same"] * 3000)
+    assert [(r["start"], r["end"]) for r in aligned([f"{junk} {base}", f"{base} {junk}"])] in ([(60, 3060), (0, 60)], [(0, 60), (60, 3060)])
+
+
 def test_mixing(docs, none):
     from fansignal.llm.op7_mixing import emitted, mix
     rows = mix(docs).collect()
