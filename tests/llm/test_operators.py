@@ -207,6 +207,23 @@ def test_passages(docs, none):
     assert op6_passages.repeated_passages(none).count() == 0
 
 
+def test_fuzzy_passages(spark):
+    """50-word passages with every 12th or 7th word changed, in texts that share nothing else."""
+    rows, r = [], np.random.default_rng(31)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    for k in range(40):
+        step = (12, 7)[k % 2]
+        base = [next(fresh) for _ in range(50)]
+        near = list(base)
+        for at in range(int(r.integers(2, step - 2)), 49, step):
+            near[at] = next(fresh)
+        for doc, words_of in ((k, base), (100 + k, near)):
+            rows.append((doc, " ".join([*(next(fresh) for _ in range(30)), *words_of, *(next(fresh) for _ in range(30))])))
+    got = op6_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=40).collect()
+    assert {(x.doc_id, x.other_id) for x in got} >= {(100 + k, k) for k in range(0, 40, 2)}
+    assert len({(x.doc_id, x.other_id) for x in got} & {(100 + k, k) for k in range(40)}) >= 38
+
+
 def aligned(texts):
     """Rows of _align for the second and later texts, each with the first."""
     import pyarrow as pa
