@@ -207,6 +207,15 @@ def test_passages(docs, none):
     assert op6_passages.repeated_passages(none).count() == 0
 
 
+def test_passages_whose_parts_came_first(spark):
+    """Every seed of the passage is first seen in documents that lack the whole of it."""
+    w = text(41, 50).split()
+    parts = [" ".join([text(50 + at, 20), *w[at:at + 24], text(80 + at, 20)]) for at in range(0, 27, 2)]
+    rows = [*enumerate(parts), (100, f"{text(42, 30)} {' '.join(w)} {text(43, 20)}"), (101, f"{' '.join(w)} {text(44, 40)}")]
+    got = op6_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x.doc_id, x.other_id, x.start, x.end, x.other_start) for x in got] == [(101, 100, 0, 50, 30)]
+
+
 def test_fuzzy_passages(spark):
     """50-word passages with every 12th or 7th word changed, in texts that share nothing else."""
     rows, r = [], np.random.default_rng(31)
