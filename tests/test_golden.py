@@ -128,6 +128,42 @@ def test_ring_distance(spark):
     assert 500 not in kept and 501 in kept
 
 
+def test_rolling_dedup_of_whole_sources(spark, sf_dir, monkeypatch):
+    """E06 over whole sources and many days equals the greedy pass post by post."""
+    from fansignal.plans import catalog
+    from fansignal.sources import fixtures as fx
+    late = F.expr("make_interval(0, 0, 0, cast(doc_id % 1000000000000 div 50 as int))")
+    spread = fx.texts_v(spark, sf_dir).withColumn("ts", F.col("ts") + late)
+    monkeypatch.setattr(fx, "texts_v", lambda *_: spread)
+    rows = (spread.select("source", "ts", "doc_id", dd.shingle_hashes(F.coalesce("text", F.lit(""))).alias("h"))
+            .collect())
+    recent, want = {}, []
+    for r in sorted(rows, key=lambda r: (r.ts, r.doc_id)):
+        if recent.setdefault(r.source, dd.RecentPosts(200, 0.8)).admits(r.h):
+            want.append(r.doc_id)
+    assert sorted(r.doc_id for r in catalog.e06_rolling_dedup(spark, sf_dir).collect()) == sorted(want)
+    assert len(want) < len(rows)
+
+
+def test_rolling_dedup_greedy_chains(spark):
+    """Random chains of edits in two sources and a short look-back, against the pass post by post."""
+    import random
+    r, texts = random.Random(4), [[f"w{i}" for i in range(25)]]
+    for _ in range(300):
+        w = list(r.choice(texts[-12:]))
+        if r.random() < 0.8:
+            w[r.randrange(25)] = f"n{r.randrange(10**6)}"
+        texts.append(w)
+    df = spark.createDataFrame([(i, i // 2, "ab"[r.random() < 0.3], " ".join(w)) for i, w in enumerate(texts)],
+                               "doc_id long, ts long, source string, text string")
+    recent, want = {}, []
+    for x in sorted(df.withColumn("h", dd.shingle_hashes(F.col("text"))).collect(), key=lambda x: (x.ts, x.doc_id)):
+        if recent.setdefault(x.source, dd.RecentPosts(5, 0.8)).admits(x.h):
+            want.append(x.doc_id)
+    got = dd.rolling_dedup(df, ["source"], ["ts", "doc_id"], compare_last=5)
+    assert got.columns == df.columns and sorted(x.doc_id for x in got.collect()) == want and len(want) < 290
+
+
 def test_spikes_planted_and_guards(spark):
     rows = [(f"2024-01-01 {h:02d}:10:00", "neutral", 0.5, []) for h in range(20)]
     rows.append(("2024-01-01 20:10:00", "positive", 0.99, []))
