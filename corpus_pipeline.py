@@ -20,8 +20,8 @@ from fansignal.sources.tables import staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier rejects go (those without words among them)."""
-    return quality(docs).filter("quality_kept").select(*docs.columns)
+    """Documents the quality classifier rejects go (those without words among them), and toxic ones."""
+    return quality(docs).filter("quality_kept and not quality_toxic").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@
 4. The scorer rates every whole text; those below 0.5 are rejected.
 
 Null texts and texts without words have nothing to keep: score 0, rejected. Each input row
-gives one row; repeated rows get equal scores. If the posteriors leave one class empty, the
-posterior of the vote pattern is the score. Columns named quality_score or quality_kept are
-replaced; all others pass unchanged.
+gives one row; repeated rows get equal scores. quality_toxic is told apart from quality: the
+share of English insult words (INSULTS) is over TOXIC. Insults in other languages are not known. If the posteriors leave one class empty, the
+posterior of the vote pattern is the score. Columns named quality_score, quality_kept or
+quality_toxic are replaced; all others pass unchanged.
 """
 from __future__ import annotations
 
@@ -36,6 +37,10 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 LABELLERS = [("symbols", 0.01, 0.05), ("capitals", 0.25, 0.6), ("bars", 0.02, 0.15), ("exclamations", 0.02, 0.15),
              ("repeats", 0.05, 0.25), ("marks", 0.12, 0.2)]
 FALSE_ALARMS = 0.0002   # most that P(bad vote | good) may be: a labeller is built to be silent rather than wrong
+TOXIC = 0.01
+INSULTS = frozenset(b"""trash pathetic idiot idiots idiotic disgusting worthless stupid clown clowns loser losers scum moron
+    morons moronic imbecile imbeciles dumbass dimwit halfwit cretin vermin filth lowlife scumbag jerk bastard bastards bitch
+    asshole assholes cunt dickhead wanker twat retard retarded subhuman freak creep coward cowards""".split())
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 HIGH, SPACE = bytes(range(128, 256)), b" \t\n\r\x0b\x0c"
 
@@ -53,6 +58,15 @@ def measures(b: bytes, words: list[bytes]) -> list[float]:
             again / n, (size - upper - lower - high - digits) / (size + 8)]
 
 
+LETTERS = bytes(c if c in LOWER or c >= 128 else c + 32 if c in UPPER else 32 for c in range(256))
+
+
+def toxic(b: bytes) -> bool:
+    """Whether insults are more than TOXIC of the words."""
+    w = b.translate(LETTERS).split()
+    return not INSULTS.isdisjoint(w) and sum(x in INSULTS for x in w) > TOXIC * len(w)
+
+
 def votes(m: list[float]) -> int:
     """Votes as digits of a base-3 number."""
     out = 0
@@ -171,16 +185,19 @@ def _score(model, text_col: str, names: list[str]):
 
     def run(batches):
         for batch in batches:
-            s = [one(b, w) for b, w in _texts(batch, text_col)]
+            texts = list(_texts(batch, text_col))
+            s = [one(b, w) for b, w in texts]
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array([x >= 0.5 for x in s], pa.bool_())],
-                                             [*names, "quality_score", "quality_kept"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array([x >= 0.5 for x in s], pa.bool_()),
+                                              pa.array([toxic(b) for b, _ in texts], pa.bool_())],
+                                             [*names, "quality_score", "quality_kept", "quality_toxic"])
     return run
 
 
 def quality(documents: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``documents`` with quality_score (0 to 1) and quality_kept."""
+    """``documents`` with quality_score (0 to 1), quality_kept and quality_toxic."""
     model = fit(documents, sample, text_col, id_col)
-    names = [c for c in documents.columns if c not in ("quality_score", "quality_kept")]
+    names = [c for c in documents.columns if c not in ("quality_score", "quality_kept", "quality_toxic")]
     schema = T.StructType([documents.schema[c] for c in names]).add("quality_score", "double").add("quality_kept", "boolean")
+    schema = schema.add("quality_toxic", "boolean")
     return documents.select(*names).mapInArrow(_score(model, text_col, names), schema)

@@ -57,7 +57,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fansignal.llm.op8_quality import quality
     d = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "quality_score", F.col("quality_kept").alias("kept"))
+    return d.select("doc_id", "quality_score", (F.col("quality_kept") & ~F.col("quality_toxic")).alias("kept"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,19 @@ def test_quality_on_labelled_documents(spark, docs, none, sf_dir):
     assert op8_quality.quality(none).count() == 0
 
 
+def test_toxic_documents_are_not_kept(spark, sf_dir):
+    from fansignal.llm.queries import op8_quality as query
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = query(spark, sf_dir).join(labels, "doc_id").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect()
+    hit = [r for r in rows if r.toxic and op8_quality.toxic(r.text.encode())]
+    assert len(hit) >= 0.4 * sum(r.toxic for r in rows) and not any(r.kept for r in hit)
+    clean = [r for r in rows if not r.toxic]
+    assert not any(op8_quality.toxic(r.text.encode()) for r in clean)
+    good = [r.kept for r in clean if r.quality]
+    assert sum(good) >= 0.98 * len(good)
+    assert op8_quality.toxic(b"You IDIOT, what a loser!") and not op8_quality.toxic(b"word " * 300 + b"trash")
+
+
 def test_lm_scores(docs, none):
     from fansignal.llm.op9_lm_scoring import ORDER, lm_scores
     rows = lm_scores(docs).collect()
