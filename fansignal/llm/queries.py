@@ -70,4 +70,23 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"), known_licences(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op4_embeddings, op5_decontamination, op6_passages, op7_mixing, op8_quality, op9_lm_scoring, op10_licences)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op11_manifest import verified_documents
+    return verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from fansignal.llm.op12_warc import archived_pages
+    from fansignal.session import shared_dir
+    return archived_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fansignal.llm.op13_conversations import damaged, repair_report
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_token_counts, op4_embeddings, op5_decontamination, op6_passages, op7_mixing,
+                                   op8_quality, op9_lm_scoring, op10_licences, op11_manifest, op12_warc, op13_conversations)}
