@@ -204,7 +204,7 @@ def test_archives_roll_and_long_records_stand_alone(spark, monkeypatch, tmp_path
     import pyspark
     monkeypatch.setattr(pyspark, "TaskContext", Context)
     monkeypatch.setattr(op12_warc, "ARCHIVE_BYTES", 5000)
-    rows = [(str(i), "u", b"x" * n, bytes([i]), "D" * 32, False, None, None) for i, n in enumerate([10, 20, 9000, 30, 2000, 2000, 2000])]
+    rows = [(str(i), "u", b"x" * n, bytes([i]), "D" * 32, False, None, None) for i, n in enumerate([10, 20, 9000, 30, 2300, 2300, 2300])]
     batch = pa.RecordBatch.from_pylist([dict(zip("abcdefgh", r, strict=True)) for r in rows])
     out = pa.Table.from_batches(list(op12_warc._writer(str(tmp_path), "2024-01-01T00:00:00Z")([batch]))).to_pylist()
     assert [r["warc_page"] for r in out] == [str(i) for i in range(7)]
