@@ -716,3 +716,33 @@ def a16_latest_snapshot(spark, sf_dir):
 
 QUERIES.update({"f05_preprocess": f05_preprocess, "a15_feature_snapshot": a15_feature_snapshot,
                 "a16_latest_snapshot": a16_latest_snapshot})
+
+
+# ---- provider payloads, search and polls (B02, B03, B05-B10) ----------------------------
+from fansignal.plans import ingest  # noqa: E402
+
+QUERIES.update(ingest.QUERIES)
+
+
+# ---- A07, A12, A14, A16, D17 ---------------------------------------------------------------
+from fansignal.functions import language as lg  # noqa: E402
+from fansignal.operators import asof  # noqa: E402
+
+
+def a16_as_of(spark, sf_dir):
+    """Record of both teams of every match as it stood at kick-off."""
+    rows = feat.team_match_rows(_finished(spark, sf_dir))
+    history = asof.daily_history(rows)
+    m = fx.matches_v(spark, sf_dir)
+    sides = m.select("match_id", "utc_date", F.explode(F.array(
+        F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")),
+        F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team")))).alias("s"))
+    return asof.as_of(sides.select("match_id", "utc_date", "s.side", "s.team"), history, "team", "utc_date", "valid_from")
+
+
+def d17_vote(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", lg.detect_by_vote(F.col("text")).alias("detected"))
+
+
+QUERIES.update({"a16_as_of": a16_as_of, "d17_vote": d17_vote})

@@ -574,3 +574,33 @@ ORACLE.update({
     "m05_top20": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, {fx('goal_contributions_per_match')} AS goal_contributions_per_match,
         yellow_cards, red_cards FROM player_features_v ORDER BY goal_contributions_per_match DESC, player LIMIT 20""",
 })
+
+
+# ---- provider payloads, search and polls; A16 as of a time; D17 by vote --------------------
+from fansignal.plans import ingest  # noqa: E402
+
+ORACLE.update(ingest.ORACLE)
+
+ORACLE["a16_as_of"] = FEAT[:-2] + """,
+days AS (SELECT team, CAST(utc_date AS DATE) AS day, count(*) AS m, sum(points) AS p, sum(gf) AS f, sum(ga) AS a FROM team_rows_v GROUP BY ALL),
+hist AS (SELECT team, CAST(day + 1 AS TIMESTAMP) AS valid_from, sum(m) OVER w AS m, sum(p) OVER w AS p, sum(f) OVER w AS f, sum(a) OVER w AS a
+         FROM days WINDOW w AS (PARTITION BY team ORDER BY day)),
+req AS (SELECT match_id, utc_date, 'home' AS side, home_team AS team FROM matches_w UNION ALL SELECT match_id, utc_date, 'away', away_team FROM matches_w)
+SELECT r.match_id, r.utc_date, r.side, r.team, h.valid_from, h.m::BIGINT AS matches_before, h.p::BIGINT AS points_before,
+  h.f::BIGINT AS goals_before, h.a::BIGINT AS conceded_before
+FROM req r ASOF LEFT JOIN hist h ON h.team = r.team AND r.utc_date >= h.valid_from"""
+
+# The word lists are the operator's parameter; the vote is stated anew.
+from fansignal.functions.language import FUNCTION_WORDS  # noqa: E402
+
+_WORDS = ", ".join(f"('{lang}', '{w}')" for lang, ws in FUNCTION_WORDS.items() for w in ws.split())
+ORACLE["d17_vote"] = f"""
+WITH given(lang, word) AS (VALUES {_WORDS}),
+forms AS (SELECT lang, word FROM given UNION SELECT lang, strip_accents(word) FROM given),
+share AS (SELECT lang, word, 1.0 / count(*) OVER (PARTITION BY word) AS vote FROM forms),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) AS word FROM documents),
+votes AS (SELECT doc_id, share.lang, sum(vote) AS v FROM tok JOIN share USING (word) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, lang DESC) AS rn,
+             coalesce(lead(v) OVER (PARTITION BY doc_id ORDER BY v DESC, lang DESC), 0) AS second FROM votes)
+SELECT d.doc_id, d.lang, CASE WHEN r.v - r.second >= 1.0 THEN r.lang ELSE 'unknown' END AS detected
+FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rn = 1"""

@@ -1,7 +1,8 @@
-"""Structured Streaming twins of the ingest operators.
+"""Structured Streaming twins of the ingest operators (A01-A06, B07, E06, G02; B11 is in ``live``).
 
 The same Column / DataFrame functions as the batch path run on streaming frames; state
-is bounded by watermarks or by a fixed-size ring, and checkpoints make restarts exact.
+is bounded by watermarks or by a fixed-size ring per source, and the sink (``sink``) takes every
+micro-batch once.
 """
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from fansignal.functions import text as tx
 from fansignal.operators import enrich as en
 from fansignal.operators.dedup import RecentPosts, shingle_hashes
 from fansignal.sources.schemas import POSTS_RAW
+from fansignal.streaming.sink import write_epochs
 
 # The three post topics.
 TOPICS = ["reddit-posts", "twitter-posts", "youtube-comments"]
@@ -93,25 +95,6 @@ def rolling_dedup_stream(posts: DataFrame, block_col: str = "source", window_siz
         GroupStateTimeout.NoTimeout).drop("_h")
 
 
-def _diff_func():
-    def fn(key, pdfs, state):
-        first = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(pdfs)).sort_values("snapshot_ts", kind="stable")
-        n = pdf[["n_goals", "n_cards"]].to_numpy()
-        yield pdf[(n > np.vstack([first, n[:-1]])).any(axis=1)]
-        state.update(tuple(int(x) for x in n[-1]))
-    return fn
-
-
-def snapshot_changes_stream(snapshots: DataFrame) -> DataFrame:
-    """B11 on a stream: per match, emit a snapshot when it has more goals or cards than the
-    last one seen (state: two counters per match)."""
-    s = snapshots.withColumn("n_goals", F.size("goals")).withColumn("n_cards", F.size("cards"))
-    state = T.StructType([T.StructField("goals", T.IntegerType()), T.StructField("cards", T.IntegerType())])
-    return s.groupBy("match_id").applyInPandasWithState(_diff_func(), s.schema, state, "append",
-                                                        GroupStateTimeout.NoTimeout)
-
-
 def windowed_sentiment(posts: DataFrame, interval: str = "15 minutes", watermark: str = "1 hour",
                        ts: str = "ts") -> DataFrame:
     """G02 on a stream: tumbling-window average score with a watermark (append mode emits
@@ -122,12 +105,16 @@ def windowed_sentiment(posts: DataFrame, interval: str = "15 minutes", watermark
 
 
 def write_posts(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "10 seconds",
-                available_now: bool = False):
-    """Micro-batch append of scored posts, partitioned by day; the checkpoint
-    makes a restart continue exactly where the last committed batch ended. ``available_now``
-    drains everything present and stops (the final flush)."""
-    def sink(batch: DataFrame, epoch_id: int):
-        (batch.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path))
-    w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
-    return w.start()
+                available_now: bool = False, compact_every: int = 0):
+    """Scored posts into an ``EpochTable`` partitioned by day, every micro-batch once;
+    read them with ``EpochTable(spark, path).read()``. ``available_now`` drains everything
+    present and stops (the final flush)."""
+    return write_epochs(df.withColumn("day", F.to_date("ts")), path, checkpoint, trigger, available_now,
+                        partition_by=["day"], compact_every=compact_every)
+
+
+def write_matches(df: DataFrame, path: str, checkpoint: str, key: str = "match_id", order: str = "last_updated",
+                  trigger: str | None = "60 seconds", available_now: bool = False, compact_every: int = 60):
+    """A06 on a stream: match documents upserted by id, last write wins; the current table is
+    ``EpochTable(spark, path).latest([key], [order])``."""
+    return write_epochs(df, path, checkpoint, trigger, available_now, compact_every=compact_every, key=[key], order=[order])
