@@ -100,24 +100,22 @@ ADV_SOURCES = {  # feature column -> columns of the advanced-stats table, first
 
 def merge_advanced_stats(tf: DataFrame, adv: DataFrame, team_col: str = "team") -> DataFrame:
     """Exact team-name match first, else case-insensitive; unknown teams are skipped;
-    each present (non-NULL) field overrides; xg_difference = xg - xga recomputed."""
-    a = adv.withColumnRenamed(team_col, "_adv_team")
-    exact = tf.select("team").join(a, F.col("team") == F.col("_adv_team")).withColumn("_prio", F.lit(0))
-    ci = (tf.select("team").join(a, F.lower(F.col("team")) == F.lower(F.col("_adv_team")))
-          .withColumn("_prio", F.lit(1)))
-    both = exact.unionByName(ci)
-    w = Window.partitionBy("team").orderBy("_prio", "_adv_team")
-    pick = both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_prio", "_adv_team")
-    cols = set(pick.columns)
-    pick = pick.select("team", *[F.coalesce(*[F.col(s) for s in srcs if s in cols], F.lit(None).cast("double"))
-                                 .cast("double").alias(f"_n_{k}") for k, srcs in ADV_SOURCES.items()])
-    j = tf.join(pick, "team", "left")
-    out = j
-    for k in ADV_SOURCES:
-        out = out.withColumn(k, F.coalesce(F.col(f"_n_{k}"), F.col(k)))
+    each present (non-NULL) field overrides; xg_difference = xg - xga recomputed.
+
+    The advanced rows are grouped by lower-cased name first (a name has a few spellings), so
+    one join with the teams finds both kinds of match and ``tf`` is read once."""
+    cols = set(adv.columns)
+    new = [F.coalesce(*[F.col(s) for s in srcs if s in cols], F.lit(None).cast("double")).cast("double").alias(k)
+           for k, srcs in ADV_SOURCES.items()]
+    spellings = (adv.filter(F.col(team_col).isNotNull()).groupBy(F.lower(F.col(team_col)).alias("_low"))
+                 .agg(F.array_sort(F.collect_list(F.struct(F.col(team_col).alias("name"), F.struct(*new).alias("v")))).alias("_adv")))
+    j = tf.join(spellings, F.lower(F.col("team")) == F.col("_low"), "left")
+    exact = F.try_element_at(F.filter("_adv", lambda x: x["name"] == F.col("team")), F.lit(1))
+    pick = F.coalesce(exact, F.try_element_at("_adv", F.lit(1)))["v"]
+    j = j.withColumn("_v", pick)
+    j = j.withColumns({k: F.coalesce(F.col("_v")[k], F.col(k)) for k in ADV_SOURCES})
     # Unmatched teams keep 0.0 defaults, so xg - xga is right for every team.
-    out = out.withColumn("xg_difference", F.col("xg") - F.col("xga"))
-    return out.select(*tf.columns)
+    return j.withColumn("xg_difference", F.col("xg") - F.col("xga")).select(*tf.columns)
 
 
 # ---- players -----------------------------------------------------------------

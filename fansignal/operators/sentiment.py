@@ -206,20 +206,22 @@ def team_token_table(teams: DataFrame, team_col: str = "team") -> DataFrame:
 
 
 def post_team_pairs(posts: DataFrame, teams: DataFrame, post_id: str = "post_id", text: str = "text",
-                    team_col: str = "team", strict: bool = False) -> DataFrame:
-    """(post_id, team) for every post that mentions a team, all teams in one join.
+                    team_col: str = "team", strict: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(post_id, team) for every post that mentions a team, all teams in one join; with
+    the post's columns ``carry``, which travel along instead of being joined back.
 
     Post tokens are de-duplicated per post and joined to the team-token table. That table
     is a dimension (one row per team token); the planner and adaptive execution decide by
     its size in bytes whether it is broadcast.
     """
     tt = team_token_table(teams, team_col)
-    pt = posts.select(F.col(post_id).alias("post_id"), F.explode(F.array_distinct(_tok(F.col(text)))).alias("token"))
+    carry = carry or []
+    pt = posts.select(F.col(post_id).alias("post_id"), *carry, F.explode(F.array_distinct(_tok(F.col(text)))).alias("token"))
     hit = pt.join(tt, "token")
-    agg = hit.groupBy("post_id", "team").agg(F.count(F.lit(1)).alias("_m"), F.first("n_tokens").alias("_n"))
+    agg = hit.groupBy("post_id", "team", *carry).agg(F.count(F.lit(1)).alias("_m"), F.first("n_tokens").alias("_n"))
     if strict:
         agg = agg.filter(F.col("_m") == F.col("_n"))
-    return agg.select("post_id", "team")
+    return agg.select("post_id", "team", *carry)
 
 
 def team_sentiment(posts: DataFrame, teams: DataFrame, as_of: Column, hours_back: float | None = 48,
@@ -229,8 +231,7 @@ def team_sentiment(posts: DataFrame, teams: DataFrame, as_of: Column, hours_back
     count (non-null labels), positive / negative ratios. Teams without posts get defaults.
     Hot teams are fine: the aggregate is partial (map-side) before the shuffle on team."""
     p = time_range(posts, as_of, hours_back, ts)
-    pairs = post_team_pairs(p, teams, post_id, text, team_col, strict)
-    scored = pairs.join(p.select(F.col(post_id).alias("post_id"), "sentiment_label", "sentiment_score"), "post_id")
+    scored = post_team_pairs(p, teams, post_id, text, team_col, strict, carry=["sentiment_label", "sentiment_score"])
     lab = F.col("sentiment_label")
     agg = scored.groupBy("team").agg(
         F.avg("sentiment_score").alias("_avg"), F.count(lab).alias("post_count"),

@@ -471,8 +471,17 @@ def h02_post_team_pairs(spark, sf_dir):
     return sent.post_team_pairs(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir))
 
 
+def _team_sentiment(spark, sf_dir):
+    return sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.sentiment_as_of(), fx.SENTIMENT_HOURS)
+
+
+def g01_time_range(spark, sf_dir):
+    """Posts of the default 48 hours before the middle of the month."""
+    return sent.time_range(fx.posts_v(spark, sf_dir), F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), 48).select("post_id", "timestamp")
+
+
 def h03_team_sentiment(spark, sf_dir):
-    return _round(sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None))
+    return _round(_team_sentiment(spark, sf_dir))
 
 
 QUERIES.update({
@@ -486,17 +495,59 @@ QUERIES.update({
     "g12_label_distribution": g12_label_distribution, "g13_post_volume": g13_post_volume,
     "g14_sentiment_by_source": g14_sentiment_by_source, "g15_sentiment_over_time": g15_sentiment_over_time,
     "h01_mentions_team": h01_mentions_team, "h02_post_team_pairs": h02_post_team_pairs,
-    "h03_team_sentiment": h03_team_sentiment,
+    "h03_team_sentiment": h03_team_sentiment, "g01_time_range": g01_time_range,
 })
 
 
 # ---- outcome model (L01-L12) -----------------------------------------------------
 from fansignal.operators import model as mdl  # noqa: E402
+from fansignal.operators import registry as reg  # noqa: E402
+from fansignal.operators import stats as st  # noqa: E402
+
+
+MATCH_TABLES = ["orders", "customer", "lineitem"]
+
+
+def _shared(spark, sf_dir, name, build, tables):
+    """A result shared by all queries of this application (M12), rebuilt when it is old or its
+    tables have changed."""
+    import hashlib
+
+    from fansignal.session import shared_dir
+    from fansignal.sources.shared import SharedResults
+    root = f"{shared_dir(spark)}/results/{spark.sparkContext.applicationId}"
+    where = sf_dir.rstrip("/")
+    return SharedResults(spark, root).get(f"{name}-{hashlib.sha256(where.encode()).hexdigest()[:12]}", build, [f"{where}/{t}.parquet" for t in tables])
+
+
+def _team_table(spark, sf_dir):
+    """One row per team: form features, advanced statistics of the fixtures (K05) and then of the
+    other provider, and the sentiment of the posts before the matches."""
+    def build():
+        tf = feat.team_features(_finished(spark, sf_dir))
+        tf = feat.merge_advanced_stats(tf, st.team_advanced_stats(st.fixture_stats_wide(fx.fixture_stats_v(spark, sf_dir))))
+        tf = feat.merge_advanced_stats(tf, fx.adv_stats_v(spark, sf_dir))
+        return tf.join(_team_sentiment(spark, sf_dir), "team", "left")
+    return _shared(spark, sf_dir, "teams", build, [*MATCH_TABLES, "nation", "documents"])
+
+
+SENTIMENT_COLUMNS = ["avg_sentiment", "post_count", "positive_ratio", "negative_ratio"]
+
+
+def _merged_tf(spark, sf_dir):
+    return _team_table(spark, sf_dir).drop(*SENTIMENT_COLUMNS)
+
+
+def _stored_sentiment(spark, sf_dir):
+    return _shared(spark, sf_dir, "sentiment", lambda: _team_sentiment(spark, sf_dir), [*MATCH_TABLES, "documents"])
+
+
+def _players(spark, sf_dir):
+    return _shared(spark, sf_dir, "players", lambda: feat.player_features(_finished(spark, sf_dir)), MATCH_TABLES)
 
 
 def _profile(spark, sf_dir):
-    tf = feat.merge_advanced_stats(feat.team_features(_finished(spark, sf_dir)), fx.adv_stats_v(spark, sf_dir))
-    return mdl.team_profile(tf)
+    return mdl.team_profile(_team_table(spark, sf_dir))
 
 
 def l01_feature_rows(spark, sf_dir):
@@ -557,11 +608,33 @@ def l10_to_show(spark, sf_dir):
     return mdl.predictions_to_show(msrc.scheduled_matches(m), msrc.finished_matches(m)).select("match_id", "utc_date")
 
 
+def l11_prediction_card(spark, sf_dir):
+    m = fx.matches_v(spark, sf_dir)
+    show = mdl.predictions_to_show(msrc.scheduled_matches(m), msrc.finished_matches(m))
+    keep = ["match_id", "utc_date", "home_team", "away_team"]
+    pred = mdl.predict(mdl.reference_scorer(), mdl.feature_rows(show, _profile(spark, sf_dir), keep=keep), keep, source="closed_form")
+    cards = mdl.prediction_cards(pred, _team_table(spark, sf_dir), feat.top_players_per_team(_players(spark, sf_dir), 3))
+    line = lambda p: F.concat_ws(" ", p["player"], p["goals"].cast("string"), p["assists"].cast("string"))
+    return _round(cards.withColumns({f"{s}_players": F.array_join(F.transform(f"{s}_players", line), ", ") for s in ("home", "away")}))
+
+
 def l12_approval(spark, sf_dir):
-    model, fr = _fitted(spark, sf_dir)
-    pa, pd_, ph = model.proba_columns()
-    pred = fr.select("label", F.when((ph >= pd_) & (ph >= pa), 2).when(pd_ >= pa, 1).otherwise(0).alias("prediction"))
-    return mdl.approval(pred)
+    """The logistic model fitted on four fifths of the matches and judged on the others."""
+    frame = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
+    train, test = reg.held_out(frame, "match_id")
+    model, _ = mdl.fit_logistic(train)
+    return reg.judged(reg.evaluate(train, test, model.proba_columns()))
+
+
+def a14_training_csv(spark, sf_dir):
+    """The training set written as headerless CSV and read back."""
+    import uuid
+
+    from fansignal.session import shared_dir
+    from fansignal.sources.store import export_training_csv, read_training_csv
+    path = f"{shared_dir(spark)}/training/{uuid.uuid4().hex}"
+    export_training_csv(mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir)), path, mdl.FEATURE_NAMES)
+    return _round(read_training_csv(spark, path, mdl.FEATURE_NAMES))
 
 
 QUERIES.update({
@@ -569,15 +642,11 @@ QUERIES.update({
     "l05_logistic_predictions": l05_logistic_predictions, "l06_boosted_predictions": l06_boosted_predictions,
     "l07_predict_closed_form": l07_predict_closed_form, "l09_leaderboard": l09_leaderboard,
     "l09_leaderboard_fitted": l09_leaderboard_fitted, "l10_to_show": l10_to_show, "l12_approval": l12_approval,
+    "l11_prediction_card": l11_prediction_card, "a14_training_csv": a14_training_csv,
 })
 
 
 # ---- J, K, M ---------------------------------------------------------------------------
-from fansignal.operators import stats as st  # noqa: E402
-
-
-def _merged_tf(spark, sf_dir):
-    return feat.merge_advanced_stats(feat.team_features(_finished(spark, sf_dir)), fx.adv_stats_v(spark, sf_dir))
 
 
 def j01_normalize_features(spark, sf_dir):
@@ -588,7 +657,7 @@ def j01_normalize_features(spark, sf_dir):
 
 def j03_engineer_match_features(spark, sf_dir):
     m = fx.matches_v(spark, sf_dir).filter(F.col("status").isin("SCHEDULED", "TIMED"))
-    return _round(feat.engineer_match_features(m, _merged_tf(spark, sf_dir)))
+    return _round(feat.engineer_match_features(m, _merged_tf(spark, sf_dir), _stored_sentiment(spark, sf_dir)))
 
 
 def k01_fixture_stats(spark, sf_dir):
@@ -607,31 +676,38 @@ def m01_kpis(spark, sf_dir):
     m = fx.matches_v(spark, sf_dir)
     played = m.agg(F.count_if(F.col("status") == "FINISHED").alias("matches_played"),
                    F.count_if(F.col("status").isin("SCHEDULED", "TIMED")).alias("upcoming"))
-    tf = feat.team_features(_finished(spark, sf_dir)).agg(F.count(F.lit(1)).alias("teams"))
-    pf = feat.player_features(_finished(spark, sf_dir)).agg(F.count(F.lit(1)).alias("players"))
-    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None) \
-        .agg(F.sum("post_count").alias("posts"), F.avg("avg_sentiment").alias("mean_sentiment"))
+    tf = _team_table(spark, sf_dir).agg(F.count(F.lit(1)).alias("teams"))
+    pf = _players(spark, sf_dir).agg(F.count(F.lit(1)).alias("players"))
+    ts = _stored_sentiment(spark, sf_dir).agg(F.sum("post_count").alias("posts"), F.avg("avg_sentiment").alias("mean_sentiment"))
     # four one-row aggregates side by side (each side is exactly one row)
     return _round(played.crossJoin(tf).crossJoin(pf).crossJoin(ts))
 
 
 def m02_leaderboard_table(spark, sf_dir):
     lb = mdl.leaderboard(mdl.reference_scorer(), _profile(spark, sf_dir), block_size=8)
-    tf = feat.team_features(_finished(spark, sf_dir)).select("team", "form_score", "goal_difference",
-                                                              "total_points", "matches_played")
-    return _round(lb.join(tf, "team", "left"))
+    t = _team_table(spark, sf_dir).select("team", "form_score", "goal_difference", "total_points", "matches_played",
+                                          F.coalesce("avg_sentiment", F.lit(0.5)).alias("avg_sentiment"))
+    return _round(lb.join(t, "team", "left").orderBy("rank"), {"avg_sentiment": 3})
 
 
 def m03_team_sentiment_table(spark, sf_dir):
-    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None)
+    ts = _stored_sentiment(spark, sf_dir)
     return _round(ts.select("team", (F.col("avg_sentiment") * 100).alias("sentiment_pct"), "post_count",
                             (F.col("positive_ratio") * 100).alias("positive_pct"),
-                            (F.col("negative_ratio") * 100).alias("negative_pct")).orderBy(F.col("sentiment_pct").desc()))
+                            (F.col("negative_ratio") * 100).alias("negative_pct")).orderBy(F.col("sentiment_pct").desc(), "team"))
 
 
-def m04_player_table(spark, sf_dir):
-    pf = feat.player_features(_finished(spark, sf_dir))
-    return _round(pf.filter(F.col("matches") >= 2).orderBy(F.col("goal_contributions_per_match").desc(), "player"))
+def m04_player_table(spark, sf_dir, team: str | None = None, min_matches: int = 1, sort_by: str = "goal_contributions_per_match"):
+    """Players of all teams or one, with at least ``min_matches``, best first by any column."""
+    pf = _players(spark, sf_dir).withColumn("contributions", F.col("goals") + F.col("assists"))
+    pf = pf.filter(F.col("matches") >= min_matches)
+    if team is not None:
+        pf = pf.filter(F.col("team") == team)
+    return _round(pf.orderBy(F.col(sort_by).desc(), "player"))
+
+
+def m04_team_players(spark, sf_dir):
+    return m04_player_table(spark, sf_dir, team="TEAM_3", min_matches=3, sort_by="goals")
 
 
 def m05_top20(spark, sf_dir):
@@ -651,11 +727,15 @@ def m07_team_list(spark, sf_dir):
     return t.unionByName(spark.range(1).select(F.lit("All").alias("team"))).distinct()
 
 
+# Measures of the advanced team table, their factor and decimals.
+ADVANCED_TABLE = {"xg": (1, 2), "xga": (1, 2), "xg_difference": (1, 2), "avg_possession": (100, 1), "shot_accuracy": (100, 1),
+                  "avg_pass_accuracy": (100, 1), "avg_shots_on_target": (1, 1), "avg_corners": (1, 1), "ppda": (1, 2),
+                  "progressive_passes": (1, 1), "progressive_carries": (1, 1), "pressures": (1, 1)}
+
+
 def m08_advanced_team_table(spark, sf_dir):
-    tf = _merged_tf(spark, sf_dir)
-    r2 = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 2).cast("double").alias(c)
-    return tf.select("team", r2("xg"), r2("xga"), r2("xg_difference"), r2("avg_possession"), r2("ppda")) \
-        .orderBy(F.col("xg_difference").desc())
+    measures = [F.round((F.col(c) * f).cast("decimal(38,12)"), p).cast("double").alias(c) for c, (f, p) in ADVANCED_TABLE.items()]
+    return _merged_tf(spark, sf_dir).select("team", *measures).orderBy(F.col("xg_difference").desc(), "team")
 
 
 def m09_data_present(spark, sf_dir):
@@ -666,18 +746,28 @@ def m10_ppda_ranking(spark, sf_dir):
     return _round(_merged_tf(spark, sf_dir).filter(F.col("ppda") > 0).select("team", "ppda").orderBy("ppda"))
 
 
-def m11_advanced_player_merge(spark, sf_dir):
-    pf = feat.player_features(_finished(spark, sf_dir)).select(F.col("player").alias("name"), "team", "goals",
-                                                                "assists", "matches")
-    adv = st.player_advanced_stats(fx.player_stats_v(spark, sf_dir), ["fixture_id", "line"]) \
-        .select("name", F.col("team").alias("adv_team"), "minutes", "goals_per90", "key_passes_per90")
-    j = pf.join(adv, "name", "full")
-    out = j.select("name", F.coalesce("team", "adv_team").alias("team"),
-                   F.coalesce("goals", F.lit(0)).alias("goals"), F.coalesce("assists", F.lit(0)).alias("assists"),
-                   F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("minutes", F.lit(0)).alias("minutes"),
-                   F.coalesce("goals_per90", F.lit(0.0)).alias("goals_per90"),
-                   F.coalesce("key_passes_per90", F.lit(0.0)).alias("key_passes_per90"))
-    return _round(out.filter(F.col("team").isNotNull()))
+def m11_advanced_player_merge(spark, sf_dir, team: str | None = None, sort_by: str = "xg"):
+    """Base players, per-90 statistics and the other provider's table by name; a player without a
+    team in the base table is dropped. For all teams or one, sorted by any measure."""
+    base = _players(spark, sf_dir).select(F.col("player").alias("name"), "team", "goals", "assists", "matches", "goal_contributions_per_match")
+    per90 = st.player_advanced_stats(fx.player_stats_v(spark, sf_dir), ["fixture_id", "line"]).select("name", "key_passes_per90", "defensive_actions_per90")
+    d = base.join(per90, "name", "full").join(fx.external_players_v(spark, sf_dir), "name", "full")
+    zero = lambda c, p: F.round(F.coalesce(c, F.lit(0.0)).cast("decimal(38,12)"), p).cast("double")
+    out = d.filter(F.col("team").isNotNull() & (F.col("team") != "")).select(
+        "name", "team", F.coalesce("goals", F.lit(0)).alias("goals"), F.coalesce("assists", F.lit(0)).alias("assists"),
+        *[zero(F.col(c), 2).alias(c) for c in ("xg", "xa", "npxg")],
+        zero(F.coalesce("key_passes_per90", "key_passes"), 2).alias("key_passes_per90"),
+        *[zero(F.col(c), 2).alias(c) for c in ("progressive_passes", "progressive_carries")],
+        *[zero(F.col(c), 1).alias(c) for c in ("pressures", "aerial_won_pct")],
+        zero(F.col("defensive_actions_per90"), 2).alias("defensive_actions_per90"),
+        zero(F.col("goal_contributions_per_match"), 2).alias("goal_contributions_per_match"))
+    if team is not None:
+        out = out.filter(F.col("team") == team)
+    return out.orderBy(F.col(sort_by).desc(), "name")
+
+
+def m11_team_players(spark, sf_dir):
+    return m11_advanced_player_merge(spark, sf_dir, team="TEAM_3", sort_by="defensive_actions_per90")
 
 
 QUERIES.update({
@@ -689,6 +779,7 @@ QUERIES.update({
     "m05_top20": m05_top20, "m06_scoring_depth": m06_scoring_depth, "m07_team_list": m07_team_list,
     "m08_advanced_team_table": m08_advanced_team_table, "m09_data_present": m09_data_present,
     "m10_ppda_ranking": m10_ppda_ranking, "m11_advanced_player_merge": m11_advanced_player_merge,
+    "m04_team_players": m04_team_players, "m11_team_players": m11_team_players,
 })
 
 
@@ -700,7 +791,7 @@ def f05_preprocess(spark, sf_dir):
 
 def _snapshots(spark, sf_dir):
     tf = _merged_tf(spark, sf_dir)
-    ts = sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None)
+    ts = _stored_sentiment(spark, sf_dir)
     t0 = F.unix_seconds(fx.as_of_col().cast("timestamp"))
     early = feat.feature_snapshot(tf, ts, t0 - 86400).withColumn("form_score", F.lit(0.0))
     return early.unionByName(feat.feature_snapshot(tf, ts, t0))
@@ -745,4 +836,18 @@ def d17_vote(spark, sf_dir):
     return d.select("doc_id", "lang", lg.detect_by_vote(F.col("text")).alias("detected"))
 
 
-QUERIES.update({"a16_as_of": a16_as_of, "d17_vote": d17_vote})
+def a07_full_sync(spark, sf_dir):
+    """Fixtures of all statuses; events joined for finished ones only (the default)."""
+    m = msrc.normalize_fixtures(fx.fixtures_raw_v(spark, sf_dir), fx.fixture_events_v(spark, sf_dir))
+    return m.select("match_id", "status", F.size("goals").alias("n_goals"), F.size("cards").alias("n_cards"), F.size("substitutions").alias("n_subs"))
+
+
+def a12_fixture_events(spark, sf_dir):
+    """Events of the fixtures that are live now, looked up by their ids."""
+    ids = msrc.live_fixtures(fx.fixtures_raw_v(spark, sf_dir)).select(F.col("fixture.id").alias("fixture_id"))
+    e = msrc.events_of(fx.fixture_events_v(spark, sf_dir), ids)
+    return e.select("fixture_id", "pos", F.col("team.name").alias("team"), F.col("player.name").alias("player"),
+                    F.col("time.elapsed").alias("minute"), "type", "detail")
+
+
+QUERIES.update({"a07_full_sync": a07_full_sync, "a12_fixture_events": a12_fixture_events, "a16_as_of": a16_as_of, "d17_vote": d17_vote})

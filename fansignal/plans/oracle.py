@@ -279,6 +279,17 @@ assigned AS (SELECT s.*, n.match_id,
   FROM scored s LEFT JOIN (SELECT * FROM near WHERE rn = 1) n USING (post_id))
 """
 
+# H03 in the hours before its time; to follow TP or SCORED_PAIRS.
+TEAM_SENTIMENT = """, agg AS (SELECT team, avg(sentiment_score) AS a, count(sentiment_label) AS n,
+    count(*) FILTER (WHERE sentiment_label = 'positive') AS pos, count(*) FILTER (WHERE sentiment_label = 'negative') AS neg
+  FROM pairs JOIN scored USING (post_id)
+  WHERE "timestamp" >= TIMESTAMP '2024-01-01 04:00:00' AND "timestamp" <= TIMESTAMP '2024-01-01 12:00:00' GROUP BY team),
+sentiment_v AS (SELECT team, coalesce(CASE WHEN a <> 0 THEN a END, 0.5) AS avg_sentiment, coalesce(n, 0) AS post_count,
+    coalesce(pos, 0) / greatest(coalesce(n, 0), 1) AS positive_ratio, coalesce(neg, 0) / greatest(coalesce(n, 0), 1) AS negative_ratio
+  FROM teams LEFT JOIN agg USING (team))
+"""
+SCORED_PAIRS = LEX + TP.split(LEX)[1].split(",\nside AS")[0]
+
 PB = with_views(POSTS_V, POST_ENTITIES_V)
 RANGE = f'"timestamp" >= {AS_OF} - INTERVAL {ALL_HOURS} HOUR AND "timestamp" <= {AS_OF}'
 ENG = "least(5.0, 1.0 + ln(1 + greatest(coalesce(score, 0) + coalesce(like_count, 0), 0)) / 5.0)"
@@ -353,13 +364,10 @@ ORACLE.update({
     "h01_mentions_team": T + """x AS (SELECT 1) SELECT doc_id FROM texts_v
         WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), 'team_3')""",
     "h02_post_team_pairs": TP + "SELECT post_id, team FROM pairs",
-    "h03_team_sentiment": TP + f""", agg AS (SELECT team, avg(sentiment_score) AS a, count(sentiment_label) AS n,
-        count(*) FILTER (WHERE sentiment_label = 'positive') AS pos, count(*) FILTER (WHERE sentiment_label = 'negative') AS neg
-        FROM pairs JOIN scored USING (post_id) GROUP BY team)
-      SELECT team, {fx('coalesce(CASE WHEN a <> 0 THEN a END, 0.5)')} AS avg_sentiment, coalesce(n, 0) AS post_count,
-        {fx('coalesce(pos, 0) / greatest(coalesce(n, 0), 1)')} AS positive_ratio,
-        {fx('coalesce(neg, 0) / greatest(coalesce(n, 0), 1)')} AS negative_ratio
-      FROM teams LEFT JOIN agg USING (team)""",
+    "g01_time_range": PB + """x AS (SELECT 1) SELECT post_id, "timestamp" FROM posts_v
+        WHERE "timestamp" >= TIMESTAMP '2024-01-14 00:00:00' AND "timestamp" <= TIMESTAMP '2024-01-16 00:00:00'""",
+    "h03_team_sentiment": TP + TEAM_SENTIMENT + f"""SELECT team, {fx('avg_sentiment')} AS avg_sentiment, post_count,
+        {fx('positive_ratio')} AS positive_ratio, {fx('negative_ratio')} AS negative_ratio FROM sentiment_v""",
 })
 
 _SP = _spikes("1 hour")
@@ -384,14 +392,53 @@ SELECT *, CASE WHEN type = 'GOAL' THEN 'goal' WHEN contains(type, 'YELLOW') THEN
 # ---- outcome model ------------------------------------------------------------
 from fansignal.operators.model import FEATURE_NAMES  # noqa: E402
 
-PROFILE = FEAT[:-2] + ",\n" + ADV_V + """,
+FIXTURE_STATS = """g AS (SELECT l_orderkey, l_suppkey % 2 AS side, l_linenumber, CAST(trunc(max(l_quantity)) AS INTEGER) AS q
+      FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL),
+fs AS (SELECT g.l_orderkey AS fixture_id, CASE WHEN side = 0 THEN t.home ELSE t.away END AS team, l_linenumber AS ln,
+         CASE WHEN g.l_orderkey % 17 = 0 THEN (CASE WHEN side = 0 THEN NULL ELSE 'n/a' END)
+              WHEN l_linenumber = 1 THEN q || '%' WHEN l_linenumber = 5 THEN CAST(q + 40 AS VARCHAR) ELSE CAST(q AS VARCHAR) END AS value
+       FROM g JOIN teams_v t ON t.o_orderkey = g.l_orderkey),
+wide AS (SELECT fixture_id, team,
+  max(CASE WHEN ln = 1 THEN value END) AS v1, max(CASE WHEN ln = 2 THEN value END) AS v2, max(CASE WHEN ln = 3 THEN value END) AS v3,
+  max(CASE WHEN ln = 4 THEN value END) AS v4, max(CASE WHEN ln = 5 THEN value END) AS v5, max(CASE WHEN ln = 6 THEN value END) AS v6,
+  max(CASE WHEN ln = 7 THEN value END) AS v7 FROM fs GROUP BY ALL),
+parsed AS (SELECT fixture_id, team,
+  CASE WHEN v1 IS NULL THEN NULL WHEN contains(v1, '%') THEN TRY_CAST(replace(v1, '%', '') AS DOUBLE) / 100
+       WHEN TRY_CAST(v1 AS DOUBLE) > 1 THEN TRY_CAST(v1 AS DOUBLE) / 100 ELSE TRY_CAST(v1 AS DOUBLE) END AS possession,
+  CASE WHEN regexp_matches(v2, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v2) AS INTEGER) ELSE 0 END AS shots_total,
+  CASE WHEN regexp_matches(v3, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v3) AS INTEGER) ELSE 0 END AS shots_on_target,
+  0 AS shots_off_target, 0 AS shots_blocked, 0 AS shots_inside_box, 0 AS shots_outside_box,
+  CASE WHEN regexp_matches(v4, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v4) AS INTEGER) ELSE 0 END AS passes_total,
+  0 AS passes_accurate,
+  CASE WHEN v5 IS NULL THEN NULL WHEN contains(v5, '%') THEN TRY_CAST(replace(v5, '%', '') AS DOUBLE) / 100
+       WHEN TRY_CAST(v5 AS DOUBLE) > 1 THEN TRY_CAST(v5 AS DOUBLE) / 100 ELSE TRY_CAST(v5 AS DOUBLE) END AS pass_accuracy,
+  0 AS fouls, CASE WHEN regexp_matches(v6, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v6) AS INTEGER) ELSE 0 END AS corners,
+  0 AS offsides, 0 AS yellow_cards, 0 AS red_cards,
+  CASE WHEN regexp_matches(v7, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v7) AS INTEGER) ELSE 0 END AS saves
+  FROM wide)
+"""
+FSTATS = with_views(TEAMS_V) + FIXTURE_STATS
+
+# One row per team: form, fixture statistics (K05), the other provider's over them, sentiment.
+PROFILE = with_views(TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V, TEAM_ROWS_V, TEAM_FEATURES_V, TEXTS_V, ADV_V) + FIXTURE_STATS.rstrip() + """,
+k5 AS (SELECT team, coalesce(avg(possession), 0) AS possession, avg(shots_on_target) AS shots_on_target,
+         CASE WHEN avg(shots_total) = 0 THEN 0 ELSE avg(shots_on_target) / avg(shots_total) END AS shot_accuracy,
+         coalesce(avg(pass_accuracy), 0) AS pass_accuracy, avg(corners) AS corners, avg(saves) AS saves FROM parsed GROUP BY team),
+""" + SCORED_PAIRS + TEAM_SENTIMENT.rstrip() + """,
 pick AS (SELECT t.team, a.*, row_number() OVER (PARTITION BY t.team ORDER BY CASE WHEN a.team = t.team THEN 0 ELSE 1 END, a.team) AS rn
          FROM team_features_v t JOIN adv_v a ON lower(a.team) = lower(t.team)),
-prof AS (SELECT t.team, t.form_score AS form, t.avg_goals_scored, t.avg_goals_conceded, t.goal_difference AS goal_diff,
-           t.clean_sheet_rate, CAST(t.comeback_wins AS DOUBLE) AS comeback_wins, 0.5 AS sentiment,
-           coalesce(p.xg, 0.0) AS xg, coalesce(p.xga, 0.0) AS xga, coalesce(p.possession_pct, 0.0) AS possession,
-           0.0 AS shot_accuracy, 0.0 AS pass_accuracy, 0.0 AS shots_on_target, coalesce(p.ppda, 0.0) AS ppda
-         FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team)
+mt AS (SELECT t.*, coalesce(p.xg, 0.0) AS xg, coalesce(p.xga, 0.0) AS xga,
+    coalesce(p.xg, 0.0) - coalesce(p.xga, 0.0) AS xg_difference, coalesce(p.possession_pct, k5.possession, 0.0) AS avg_possession,
+    coalesce(k5.shots_on_target, 0.0) AS avg_shots_on_target, coalesce(k5.shot_accuracy, 0.0) AS shot_accuracy,
+    coalesce(k5.pass_accuracy, 0.0) AS avg_pass_accuracy, coalesce(k5.corners, 0.0) AS avg_corners, coalesce(k5.saves, 0.0) AS avg_saves,
+    coalesce(p.ppda, 0.0) AS ppda, coalesce(p.progressive_passes, 0.0) AS progressive_passes,
+    coalesce(p.progressive_carries, 0.0) AS progressive_carries, coalesce(p.pressures, 0.0) AS pressures,
+    s.avg_sentiment, s.post_count, s.positive_ratio, s.negative_ratio
+  FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team LEFT JOIN k5 ON k5.team = t.team
+  LEFT JOIN sentiment_v s ON s.team = t.team),
+prof AS (SELECT team, form_score AS form, avg_goals_scored, avg_goals_conceded, goal_difference AS goal_diff, clean_sheet_rate,
+           CAST(comeback_wins AS DOUBLE) AS comeback_wins, avg_sentiment AS sentiment, xg, xga, avg_possession AS possession,
+           shot_accuracy, avg_pass_accuracy AS pass_accuracy, avg_shots_on_target AS shots_on_target, ppda FROM mt)
 """
 
 DEFAULTS = {"form": 1.0, "avg_goals_scored": 1.0, "avg_goals_conceded": 1.0, "goal_diff": 0.0,
@@ -426,8 +473,43 @@ def _ref_z():
 
 _zh, _zd, _za = _ref_z()
 
+LEADERS = f""", pr AS (SELECT h.team, exp({_zh}) / (exp({_zh}) + exp({_zd}) + exp({_za})) AS p
+        FROM prof h JOIN prof a ON h.team <> a.team),
+      sc AS (SELECT team, avg(p) AS score FROM pr GROUP BY team),
+      leaders AS (SELECT team, score, score / (SELECT sum(score) FROM sc) * 100 AS win_pct,
+        row_number() OVER (ORDER BY {fx('score', 9)} DESC, team) AS rank FROM sc)
+"""
+
+
+def _scores(home: str, away: str) -> str:
+    """Percentages of the closed-form scorer for profile rows ``home`` and ``away``."""
+    side = lambda z: z.replace("h.", "\0.").replace("a.", f"{away}.").replace("\0.", f"{home}.")
+    h, d, a = side(_zh), _zd, side(_za)
+    return ", ".join(f"{fx(f'100 * exp({x}) / (exp({h}) + exp({d}) + exp({a}))', 1)} AS {n}" for x, n in ((h, "home_win"), (d, "draw"), (a, "away_win")))
+
+
+def _card(side: str) -> str:
+    t = side[0]
+    zero = ["form_score", "avg_goals_scored", "avg_goals_conceded", "goal_difference", "clean_sheet_rate"]
+    return (", ".join(f"{fx(f'coalesce({t}.{c}, 0)')} AS {side}_{c}" for c in zero)
+            + f", coalesce({t}.comeback_wins, 0) AS {side}_comeback_wins, {fx(f'coalesce({t}.avg_sentiment, 0.5)')} AS {side}_avg_sentiment, "
+            f"{fx(f'coalesce({t}.positive_ratio, 0)')} AS {side}_positive_ratio, coalesce({t}p.players, '') AS {side}_players")
+
+
+CARDS = PROFILE + ",\n" + PLAYER_EVENTS_V + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY goal_contributions_per_match DESC, player) AS rk FROM player_features_v WHERE team IS NOT NULL),
+people AS (SELECT team, string_agg(player || ' ' || goals || ' ' || assists, ', ' ORDER BY rk) AS players FROM ranked WHERE rk <= 3 GROUP BY team),
+shown AS (SELECT * FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED') ORDER BY utc_date, match_id LIMIT 10),
+full_prof AS (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, coalesce(sentiment, 0.5) AS sentiment, coalesce(xg, 0.0) AS xg FROM prof)
+SELECT m.match_id, m.utc_date, m.home_team, m.away_team, {_scores('fh', 'fa')}, 'closed_form' AS source, {_card('home')}, {_card('away')}
+FROM shown m JOIN full_prof fh ON fh.team = m.home_team JOIN full_prof fa ON fa.team = m.away_team
+LEFT JOIN mt h ON h.team = m.home_team LEFT JOIN mt a ON a.team = m.away_team
+LEFT JOIN people hp ON hp.team = m.home_team LEFT JOIN people ap ON ap.team = m.away_team"""
+
 ORACLE.update({
     "l01_feature_rows": FROWS + "SELECT match_id, " + ", ".join(f"{fx(n)} AS {n}" for n in FEATURE_NAMES) + " FROM fr",
+    "a14_training_csv": FROWS + "SELECT CAST(CASE winner WHEN 'HOME_TEAM' THEN 2 WHEN 'DRAW' THEN 1 ELSE 0 END AS INTEGER) AS label, "
+        + ", ".join(f"{fx(n)} AS {n}" for n in FEATURE_NAMES) + " FROM fr WHERE winner IS NOT NULL",
     "l02_labels": M + """x AS (SELECT 1) SELECT CAST(CASE winner WHEN 'HOME_TEAM' THEN 2 WHEN 'DRAW' THEN 1 WHEN 'AWAY_TEAM' THEN 0 END AS INTEGER) AS label,
         count(*) AS matches FROM matches_w WHERE status = 'FINISHED' GROUP BY 1""",
     "l04_scaling": FROWS + " SELECT * FROM (" + " UNION ALL ".join(
@@ -436,16 +518,14 @@ ORACLE.update({
     "l07_predict_closed_form": PROFILE + f""", s AS (SELECT m.match_id,
         {_zh.replace('h.', 'hp.').replace('a.', 'ap.')} AS zh, {_zd} AS zd, {_za.replace('h.', 'hp.').replace('a.', 'ap.')} AS za
         FROM matches_w m
-        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, 0.5 AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) hp ON hp.team = m.home_team
-        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, 0.5 AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) ap ON ap.team = m.away_team
+        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, coalesce(sentiment, 0.5) AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) hp ON hp.team = m.home_team
+        LEFT JOIN (SELECT team, coalesce(form, 1.0) AS form, coalesce(goal_diff, 0.0) AS goal_diff, coalesce(sentiment, 0.5) AS sentiment, coalesce(xg, 0.0) AS xg FROM prof) ap ON ap.team = m.away_team
         WHERE m.status IN ('SCHEDULED', 'TIMED'))
       SELECT match_id, {fx('100 * exp(zh) / (exp(zh) + exp(zd) + exp(za))', 1)} AS home_win,
         {fx('100 * exp(zd) / (exp(zh) + exp(zd) + exp(za))', 1)} AS draw,
         {fx('100 * exp(za) / (exp(zh) + exp(zd) + exp(za))', 1)} AS away_win, 'closed_form' AS source FROM s""",
-    "l09_leaderboard": PROFILE + f""", pr AS (SELECT h.team, exp({_zh}) / (exp({_zh}) + exp({_zd}) + exp({_za})) AS p
-        FROM prof h JOIN prof a ON h.team <> a.team),
-      sc AS (SELECT team, avg(p) AS score FROM pr GROUP BY team)
-      SELECT team, {fx('score')} AS score, {fx('score / (SELECT sum(score) FROM sc) * 100')} AS win_pct FROM sc""",
+    "l09_leaderboard": PROFILE + LEADERS + f"SELECT rank, team, {fx('score')} AS score, {fx('win_pct')} AS win_pct FROM leaders",
+    "l11_prediction_card": CARDS,
     "l10_to_show": M + """x AS (SELECT 1) SELECT match_id, utc_date FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED')
         ORDER BY utc_date, match_id LIMIT 10""",
 })
@@ -455,14 +535,7 @@ ZF = ["avg_goals_scored", "avg_goals_conceded", "goal_difference", "xg", "xga",
       "avg_possession", "avg_shots_on_target", "avg_pass_accuracy", "progressive_passes",
       "progressive_carries", "pressures"]
 
-MERGED = PROFILE + """, mt AS (SELECT t.team, t.matches_played, t.form_score, t.avg_goals_scored, t.avg_goals_conceded,
-    t.goal_difference, t.clean_sheet_rate, t.total_points, coalesce(p.xg, 0.0) AS xg, coalesce(p.xga, 0.0) AS xga,
-    coalesce(p.xg, 0.0) - coalesce(p.xga, 0.0) AS xg_difference, coalesce(p.possession_pct, 0.0) AS avg_possession,
-    0.0 AS avg_shots_on_target, 0.0 AS avg_pass_accuracy, 0.0 AS avg_saves, coalesce(p.ppda, 0.0) AS ppda,
-    coalesce(p.progressive_passes, 0.0) AS progressive_passes, coalesce(p.progressive_carries, 0.0) AS progressive_carries,
-    coalesce(p.pressures, 0.0) AS pressures
-  FROM team_features_v t LEFT JOIN (SELECT * FROM pick WHERE rn = 1) p ON p.team = t.team)
-"""
+MERGED = PROFILE
 
 
 def _z(c):
@@ -470,33 +543,6 @@ def _z(c):
             f"ELSE {c} - avg({c}) OVER () END, -3.0), 3.0)")
 
 
-FSTATS = with_views(TEAMS_V) + """x AS (SELECT 1),
-g AS (SELECT l_orderkey, l_suppkey % 2 AS side, l_linenumber, CAST(trunc(max(l_quantity)) AS INTEGER) AS q
-      FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL),
-fs AS (SELECT g.l_orderkey AS fixture_id, CASE WHEN side = 0 THEN t.home ELSE t.away END AS team, l_linenumber AS ln,
-         CASE WHEN g.l_orderkey % 17 = 0 THEN (CASE WHEN side = 0 THEN NULL ELSE 'n/a' END)
-              WHEN l_linenumber = 1 THEN q || '%' WHEN l_linenumber = 5 THEN CAST(q + 40 AS VARCHAR) ELSE CAST(q AS VARCHAR) END AS value
-       FROM g JOIN teams_v t ON t.o_orderkey = g.l_orderkey),
-wide AS (SELECT fixture_id, team,
-  max(CASE WHEN ln = 1 THEN value END) AS v1, max(CASE WHEN ln = 2 THEN value END) AS v2, max(CASE WHEN ln = 3 THEN value END) AS v3,
-  max(CASE WHEN ln = 4 THEN value END) AS v4, max(CASE WHEN ln = 5 THEN value END) AS v5, max(CASE WHEN ln = 6 THEN value END) AS v6,
-  max(CASE WHEN ln = 7 THEN value END) AS v7 FROM fs GROUP BY ALL),
-parsed AS (SELECT fixture_id, team,
-  CASE WHEN v1 IS NULL THEN NULL WHEN contains(v1, '%') THEN TRY_CAST(replace(v1, '%', '') AS DOUBLE) / 100
-       WHEN TRY_CAST(v1 AS DOUBLE) > 1 THEN TRY_CAST(v1 AS DOUBLE) / 100 ELSE TRY_CAST(v1 AS DOUBLE) END AS possession,
-  CASE WHEN regexp_matches(v2, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v2) AS INTEGER) ELSE 0 END AS shots_total,
-  CASE WHEN regexp_matches(v3, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v3) AS INTEGER) ELSE 0 END AS shots_on_target,
-  0 AS shots_off_target, 0 AS shots_blocked, 0 AS shots_inside_box, 0 AS shots_outside_box,
-  CASE WHEN regexp_matches(v4, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v4) AS INTEGER) ELSE 0 END AS passes_total,
-  0 AS passes_accurate,
-  CASE WHEN v5 IS NULL THEN NULL WHEN contains(v5, '%') THEN TRY_CAST(replace(v5, '%', '') AS DOUBLE) / 100
-       WHEN TRY_CAST(v5 AS DOUBLE) > 1 THEN TRY_CAST(v5 AS DOUBLE) / 100 ELSE TRY_CAST(v5 AS DOUBLE) END AS pass_accuracy,
-  0 AS fouls, CASE WHEN regexp_matches(v6, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v6) AS INTEGER) ELSE 0 END AS corners,
-  0 AS offsides, 0 AS yellow_cards, 0 AS red_cards,
-  CASE WHEN regexp_matches(v7, '^\\s*[+-]?\\d+\\s*$') THEN CAST(trim(v7) AS INTEGER) ELSE 0 END AS saves
-  FROM wide)
-"""
-
 PSTATS = with_views(TEAMS_V) + """x AS (SELECT 1),
 ps AS (SELECT l.l_orderkey AS fixture_id, l.l_linenumber AS line, 'P' || l.l_suppkey AS name,
   CASE WHEN l.l_suppkey % 2 = 0 THEN t.home ELSE t.away END AS team,
@@ -528,6 +574,30 @@ padv AS (SELECT name, team, position, minutes, appearances, goals, assists,
   aerial_duels_won AS aerial_won, {fx('fouls_drawn / p90', 3)} AS fouls_drawn_per90, yellow_cards, red_cards FROM p9)
 """
 
+PLAYER_TABLE = f"""x AS (SELECT 1) SELECT player, team, goals, assists, yellow_cards, red_cards, matches, goals + assists AS contributions,
+    {fx('goals_per_match')} AS goals_per_match, {fx('goal_contributions_per_match')} AS goal_contributions_per_match FROM player_features_v"""
+
+_P2 = lambda c, p=2: fx(f"coalesce({c}, 0)", p)
+ADVANCED_PLAYERS = (with_views(TEAMS_V, EVENTS_V, MATCHES_V, ARRAYS_V, PLAYER_EVENTS_V) + PSTATS.split("x AS (SELECT 1),\n")[1].rstrip() + """,
+ext AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'X' ELSE 'P' END || s_suppkey AS name, s_suppkey % 50 / 10.0 AS xg, s_suppkey % 30 / 10.0 AS xa,
+    CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 40 / 10.0 END AS npxg, s_suppkey % 60 / 10.0 AS key_passes,
+    CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 90 / 10.0 END AS progressive_passes, s_suppkey % 70 / 10.0 AS progressive_carries,
+    s_suppkey % 200 / 10.0 AS pressures, s_suppkey % 100 AS aerial_won_pct FROM supplier)
+""" + "SELECT f.player AS name, f.team, f.goals, f.assists, " + ", ".join([
+    *[f"{_P2('ext.' + c)} AS {c}" for c in ("xg", "xa", "npxg")], f"{_P2('coalesce(padv.key_passes_per90, ext.key_passes)')} AS key_passes_per90",
+    *[f"{_P2('ext.' + c)} AS {c}" for c in ("progressive_passes", "progressive_carries")],
+    *[f"{_P2('ext.' + c, 1)} AS {c}" for c in ("pressures", "aerial_won_pct")],
+    f"{_P2('padv.defensive_actions_per90')} AS defensive_actions_per90", f"{_P2('f.goal_contributions_per_match')} AS goal_contributions_per_match"])
+    + " FROM (SELECT * FROM player_features_v WHERE team IS NOT NULL AND team <> '') f LEFT JOIN padv ON padv.name = f.player LEFT JOIN ext ON ext.name = f.player")
+ADVANCED_PLAYERS = "SELECT * FROM (" + ADVANCED_PLAYERS + ")"
+
+_SNAP = ["avg_goals_scored", "avg_goals_conceded", "goal_difference", "clean_sheet_rate", "comeback_wins", "xg", "xga", "avg_possession",
+         "shot_accuracy", "avg_pass_accuracy", "ppda", "positive_ratio", "negative_ratio", "post_count"]
+SNAPSHOTS = MERGED + """, both_days AS (SELECT mt.*, 1706659200.0::DOUBLE AS event_time, form_score AS form FROM mt
+    UNION ALL SELECT mt.*, 1706572800.0, 0.0 FROM mt)
+""" + f"SELECT team AS team_name, event_time, {fx('form')} AS form_score, {fx('coalesce(avg_sentiment, 0.5)')} AS avg_sentiment, " + ", ".join(
+    f"{fx(f'coalesce({c}, 0)')} AS {c}" for c in _SNAP) + " FROM both_days"
+
 ORACLE.update({
     "j01_normalize_features": MERGED + "SELECT team, " + ", ".join(f"{fx(_z(c))} AS {c}_z" for c in ZF) + f""",
         {fx('avg_goals_scored')} AS goals_per_match, {fx('avg_goals_conceded')} AS conceded_per_match,
@@ -539,17 +609,18 @@ ORACLE.update({
         CASE WHEN h.team IS NULL THEN 0.0 ELSE h.clean_sheet_rate END AS hcs, CASE WHEN a.team IS NULL THEN 0.0 ELSE a.clean_sheet_rate END AS acs,
         CASE WHEN h.team IS NULL THEN 0.0 ELSE h.avg_saves END AS hsv, CASE WHEN a.team IS NULL THEN 0.0 ELSE a.avg_saves END AS asv,
         CASE WHEN h.team IS NULL THEN 10.0 ELSE h.ppda END AS hpp, CASE WHEN a.team IS NULL THEN 10.0 ELSE a.ppda END AS app,
-        CASE WHEN h.team IS NULL THEN 1.0 ELSE h.form_score END AS hf, CASE WHEN a.team IS NULL THEN 1.0 ELSE a.form_score END AS af
+        CASE WHEN h.team IS NULL THEN 1.0 ELSE h.form_score END AS hf, CASE WHEN a.team IS NULL THEN 1.0 ELSE a.form_score END AS af,
+        coalesce(h.avg_sentiment, 0.5) AS hs, coalesce(a.avg_sentiment, 0.5) AS asn
       FROM matches_w m LEFT JOIN mt h ON h.team = m.home_team LEFT JOIN mt a ON a.team = m.away_team
       WHERE m.status IN ('SCHEDULED', 'TIMED')),
       d AS (SELECT *, (1 - hgc / 3) * 0.4 + hcs * 0.4 + hsv / 10 * 0.2 AS hd, (1 - agc / 3) * 0.4 + acs * 0.4 + asv / 10 * 0.2 AS ad,
         1 / greatest(hpp, 0.1) AS hp, 1 / greatest(app, 0.1) AS ap FROM jm)
-      SELECT match_id, 0.0::DOUBLE AS sentiment_momentum, {fx('CASE WHEN hx + ax > 0 THEN hx / (hx + ax) ELSE 0.5 END')} AS xg_share,
+      SELECT match_id, {fx('hs - asn')} AS sentiment_momentum, {fx('CASE WHEN hx + ax > 0 THEN hx / (hx + ax) ELSE 0.5 END')} AS xg_share,
         {fx('hd')} AS home_defensive_score, {fx('ad')} AS away_defensive_score, {fx('hd - ad')} AS defensive_delta,
         {fx('hp')} AS home_pressing_intensity, {fx('ap')} AS away_pressing_intensity, {fx('hp - ap')} AS pressing_delta,
         CASE WHEN contains(upper(stage), 'ROUND_OF_16') OR contains(upper(stage), 'QUARTER') OR contains(upper(stage), 'SEMI')
           OR contains(upper(stage), 'FINAL') THEN 1.5 ELSE 1.0 END AS stage_weight,
-        {fx('hf * 0.5')} AS form_x_sentiment_home, {fx('af * 0.5')} AS form_x_sentiment_away FROM d""",
+        {fx('hf * hs')} AS form_x_sentiment_home, {fx('af * asn')} AS form_x_sentiment_away FROM d""",
     "k01_fixture_stats": FSTATS + f"SELECT fixture_id, team, {fx('possession')} AS possession, shots_total, shots_on_target, "
         "shots_off_target, shots_blocked, shots_inside_box, shots_outside_box, passes_total, passes_accurate, "
         f"{fx('pass_accuracy')} AS pass_accuracy, fouls, corners, offsides, yellow_cards, red_cards, saves FROM parsed",
@@ -564,13 +635,36 @@ ORACLE.update({
     "m06_scoring_depth": PLAY + """x AS (SELECT 1) SELECT team, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists
         FROM player_features_v GROUP BY team""",
     "m07_team_list": M + "x AS (SELECT 1) SELECT home_team AS team FROM matches_w UNION SELECT away_team FROM matches_w UNION SELECT 'All'",
-    "m08_advanced_team_table": MERGED + f"""SELECT team, {fx('xg', 2)} AS xg, {fx('xga', 2)} AS xga, {fx('xg_difference', 2)} AS xg_difference,
-        {fx('avg_possession', 2)} AS avg_possession, {fx('ppda', 2)} AS ppda FROM mt""",
+    "m08_advanced_team_table": MERGED + "SELECT team, " + ", ".join(f"{fx(f'{c} * {f}', p)} AS {c}" for c, f, p in [
+        ("xg", 1, 2), ("xga", 1, 2), ("xg_difference", 1, 2), ("avg_possession", 100, 1), ("shot_accuracy", 100, 1), ("avg_pass_accuracy", 100, 1),
+        ("avg_shots_on_target", 1, 1), ("avg_corners", 1, 1), ("ppda", 1, 2), ("progressive_passes", 1, 1), ("progressive_carries", 1, 1),
+        ("pressures", 1, 1)]) + " FROM mt",
     "m09_data_present": MERGED + "SELECT sum(xg) > 0 AS has_advanced FROM mt",
     "m10_ppda_ranking": MERGED + f"SELECT team, {fx('ppda')} AS ppda FROM mt WHERE ppda > 0",
-    "m04_player_table": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, yellow_cards, red_cards, matches,
-        {fx('goals_per_match')} AS goals_per_match, {fx('goal_contributions_per_match')} AS goal_contributions_per_match
-        FROM player_features_v WHERE matches >= 2""",
+    "m04_player_table": PLAY + PLAYER_TABLE,
+    "m04_team_players": PLAY + PLAYER_TABLE + " WHERE team = 'TEAM_3' AND matches >= 3",
+    "m01_kpis": PROFILE + ",\n" + PLAYER_EVENTS_V + f"""SELECT (SELECT count(*) FROM matches_w WHERE status = 'FINISHED') AS matches_played,
+        (SELECT count(*) FROM matches_w WHERE status IN ('SCHEDULED', 'TIMED')) AS upcoming, (SELECT count(*) FROM mt) AS teams,
+        (SELECT count(*) FROM player_features_v) AS players, (SELECT sum(post_count)::BIGINT FROM sentiment_v) AS posts,
+        (SELECT {fx('avg(avg_sentiment)')} FROM sentiment_v) AS mean_sentiment""",
+    "m02_leaderboard_table": PROFILE + LEADERS + f"""SELECT l.rank, l.team, {fx('l.score')} AS score, {fx('l.win_pct')} AS win_pct, {fx('form_score')} AS form_score,
+        {fx('goal_difference')} AS goal_difference, {fx('total_points')} AS total_points, matches_played,
+        {fx('coalesce(avg_sentiment, 0.5)', 3)} AS avg_sentiment FROM leaders l JOIN mt USING (team)""",
+    "m03_team_sentiment_table": TP + TEAM_SENTIMENT + f"""SELECT team, {fx('avg_sentiment * 100')} AS sentiment_pct, post_count,
+        {fx('positive_ratio * 100')} AS positive_pct, {fx('negative_ratio * 100')} AS negative_pct FROM sentiment_v""",
+    "m11_advanced_player_merge": ADVANCED_PLAYERS,
+    "m11_team_players": ADVANCED_PLAYERS + " WHERE team = 'TEAM_3'",
+    "a15_feature_snapshot": SNAPSHOTS,
+    "a16_latest_snapshot": SNAPSHOTS.replace("FROM both_days", "FROM both_days WHERE event_time = 1706659200.0"),
+    "a07_full_sync": M + """x AS (SELECT 1), c AS (SELECT match_id, count(*) FILTER (WHERE is_goal) AS g, count(*) FILTER (WHERE kind = 'card') AS c,
+        count(*) FILTER (WHERE kind = 'sub') AS s FROM events_v WHERE status = 'FINISHED' GROUP BY match_id)
+      SELECT m.match_id, m.status, coalesce(g, 0)::INTEGER AS n_goals, coalesce(c, 0)::INTEGER AS n_cards, coalesce(s, 0)::INTEGER AS n_subs
+      FROM matches_w m LEFT JOIN c USING (match_id)""",
+    "a12_fixture_events": with_views(TEAMS_V, EVENTS_V) + """x AS (SELECT 1) SELECT match_id AS fixture_id,
+        CAST(row_number() OVER (PARTITION BY match_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, team, player, minute,
+        CASE kind WHEN 'goal' THEN 'Goal' WHEN 'card' THEN 'Card' ELSE 'subst' END AS type,
+        CASE WHEN is_goal THEN 'Normal Goal' WHEN kind = 'goal' THEN 'Missed Penalty' WHEN kind = 'card' THEN card ELSE 'Substitution 1' END AS detail
+      FROM events_v WHERE status = 'LIVE'""",
     "m05_top20": PLAY + f"""x AS (SELECT 1) SELECT player, team, goals, assists, {fx('goal_contributions_per_match')} AS goal_contributions_per_match,
         yellow_cards, red_cards FROM player_features_v ORDER BY goal_contributions_per_match DESC, player LIMIT 20""",
 })

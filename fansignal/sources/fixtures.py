@@ -13,12 +13,20 @@ from fansignal.sources.tables import materialized, table
 from fansignal.sources import matches as msrc
 
 AS_OF = "2024-01-31 00:00:00"
+# Team sentiment is asked for at a time inside the posts of texts_v, with hours before it, so that
+# posts fall out on both sides (the first starts at midnight, one a minute).
+SENTIMENT_AS_OF = "2024-01-01 12:00:00"
+SENTIMENT_HOURS = 8
 
 
 def as_of_col() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def sentiment_as_of() -> Column:
+    return F.lit(SENTIMENT_AS_OF).cast("timestamp_ntz")
+
+
 def _source_of(user_id: Column) -> Column:
     m = user_id % 3
     return F.when(m == 0, "reddit").when(m == 1, "twitter").otherwise("youtube")
@@ -268,3 +276,14 @@ def snapshots_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.filter("goals", lambda g: g.minute <= lim).alias("goals"),
         F.filter("cards", lambda c: c.minute <= lim).alias("cards"),
     )
+
+
+def external_players_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player table of another provider from ``supplier``: no team, some fields missing, players
+    that no match knows (keys that 10 divides)."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.when(k % 10 == 0, "X").otherwise("P"), k.cast("string")).alias("name"),
+        (k % 50 / 10.0).alias("xg"), (k % 30 / 10.0).alias("xa"), F.when(k % 3 != 0, k % 40 / 10.0).alias("npxg"),
+        (k % 60 / 10.0).alias("key_passes"), F.when(k % 7 != 0, k % 90 / 10.0).alias("progressive_passes"),
+        (k % 70 / 10.0).alias("progressive_carries"), (k % 200 / 10.0).alias("pressures"), (k % 100 / 1.0).alias("aerial_won_pct"))
