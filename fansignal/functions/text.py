@@ -1,16 +1,17 @@
 """Text cleaning and filtering as Column functions.
 
-Everything except Unicode NFKD runs as JVM regex expressions inside whole-stage codegen.
-``(?U)`` makes \\w, \\b, \\s and \\d Unicode-aware, as in the reference's Python regexes.
+Everything except Unicode NFKD runs as JVM expressions (regexes, and higher-order functions where
+a value is used several times). ``(?U)`` makes \\w, \\b, \\s and \\d Unicode-aware, as in the reference's Python regexes.
 NFKD has no Spark built-in, so it is one Arrow-batched pandas UDF that skips ASCII rows.
 """
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,16 +114,30 @@ def remove_emoji(t: Column) -> Column:
     return F.regexp_replace(t, EMOJI_RE, " ")
 
 
-def _slang_any() -> str:
-    body = "|".join(p.replace(r"\b", "") for p, _ in SLANG_RULES)
-    return rf"(?iU)\b(?:{body})\b"
+def _slang_phrases() -> dict[str, str]:
+    """Every phrase that a rule rewrites, in lower case, with its replacement."""
+    out = {}
+    for pattern, new in SLANG_RULES:
+        body = pattern.replace(r"\b", "")
+        if m := re.match(r"\(([^)]*)\)(.*)", body):
+            out.update({head + m[2]: new for head in m[1].split("|")})
+        else:
+            out[body] = new
+    return out
 
 
 def rewrite_slang(t: Column) -> Column:
-    """The 33 rules in order; rows without any slang word skip the chain."""
+    """The 33 rules in one pass. No rule's words occur in another's replacement or phrase, so
+    applying them in order equals replacing every match of their alternation: the text is split
+    at the matches, and each match is looked up."""
+    phrases = _slang_phrases()
+    any_of = r"(?iU)\b(?:" + "|".join(phrases) + r")\b"
+    new = F.create_map(*[x for pair in phrases.items() for x in map(F.lit, pair)])
+
     def body(x):
-        chain = reduce(lambda acc, rule: F.regexp_replace(acc, "(?iU)" + rule[0], rule[1]), SLANG_RULES, x)
-        return F.when(x.rlike(_slang_any()), chain).otherwise(x)
+        between, found = F.split(x, any_of, -1), F.regexp_extract_all(x, F.lit(any_of), F.lit(0))
+        joined = F.zip_with(between, found, lambda gap, m: F.concat(gap, F.coalesce(F.try_element_at(new, F.lower(m)), m, F.lit(""))))
+        return F.when(x.rlike(any_of), F.array_join(joined, "")).otherwise(x)
     return let(t, body)
 
 
@@ -133,31 +148,52 @@ def collapse_whitespace(t: Column) -> Column:
 
 def word_count(t: Column) -> Column:
     """Number of whitespace-separated words (Python ``str.split()`` semantics)."""
-    s = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"(?U)\s+")))
+    return F.regexp_count(t, F.lit(r"(?U)\S+"))
 
 
 def letter_ratio(t: Column) -> Column:
     """Share of Unicode letters among all characters."""
-    return F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
+    return F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / F.greatest(F.length(t), F.lit(1))
+
+
+def _before_accents(t: Column) -> Column:
+    return unwrap_hashtags(remove_mentions(remove_urls(strip_html_entities(t))))
+
+
+def _after_accents(t: Column) -> Column:
+    return collapse_whitespace(rewrite_slang(remove_emoji(t)))
+
+
+def _has_words(t: Column, n: int) -> Column:
+    """At least ``n`` words; stops at the n-th."""
+    return t.rlike(rf"(?U)\S(?:\S*\s+\S){{{n - 1}}}") if n > 0 else F.lit(True)
 
 
 def clean_text(text: Column, min_words: int = 4, min_letter_ratio: float = 0.4) -> Column:
-    """D01-D11 in the reference order; NULL means the post is discarded."""
-    t = strip_html_entities(text)
-    t = remove_urls(t)
-    t = remove_mentions(t)
-    t = unwrap_hashtags(t)
-    t = strip_accents(t)
-    t = remove_emoji(t)
-    t = rewrite_slang(t)
-    t = collapse_whitespace(t)
+    """D01-D11 in the reference order; NULL means the post is discarded. For whole tables use
+    ``clean_rows``: a filter on this column makes Spark evaluate parts of the chain again."""
+    t = _after_accents(strip_accents(_before_accents(text)))
 
     def body(x):
-        return F.when((word_count(x) >= min_words) & (letter_ratio(x) >= min_letter_ratio), x)
+        return F.when(_has_words(x, min_words) & (letter_ratio(x) >= min_letter_ratio), x)
     return F.when(text.isNull() | (text == ""), F.lit(None)).otherwise(let(t, body))
 
 
+def clean_rows(df: DataFrame, text_col: str = "text", out_col: str = "text", min_words: int = 4,
+               min_letter_ratio: float = 0.4) -> DataFrame:
+    """D12 over a table: rows whose text survives, with the cleaned text. Each part of the chain is
+    emitted by a generator, which filters, and which Spark neither repeats nor pushes below: the
+    texts pass it once."""
+    t = F.col(text_col)
+    d = df.withColumn("_before", F.explode(F.when(t.isNotNull() & (t != ""), F.array(_before_accents(t)))))
+    d = d.withColumn("_plain", strip_accents(F.col("_before")))
+
+    def kept(x):
+        return F.when(_has_words(x, min_words) & (letter_ratio(x) >= min_letter_ratio), F.array(x)).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("_clean", F.explode(let(_after_accents(F.col("_plain")), kept)))
+    return d.withColumn(out_col, F.col("_clean")).drop("_before", "_plain", "_clean")
+
+
 def is_bot_author(author: Column) -> Column:
     """D13 (pattern as written: also matches names starting with 'mod' or 'auto')."""
     return F.coalesce(author, F.lit("")).rlike(BOT_RE)
@@ -180,7 +216,7 @@ def is_spam(author: Column, score: Column, text: Column) -> Column:
 
 
 def ascii_letter_ratio(t: Column) -> Column:
-    return F.length(F.regexp_replace(t, "[^A-Za-z]", "")) / F.greatest(F.length(t), F.lit(1))
+    return F.length(F.regexp_replace(t, "[^A-Za-z]+", "")) / F.greatest(F.length(t), F.lit(1))
 
 
 def detect_language(t: Column) -> Column:

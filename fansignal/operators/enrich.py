@@ -10,6 +10,7 @@ from fansignal.functions.common import epoch_seconds
 from fansignal.operators import dedup as dd
 from fansignal.operators import sentiment as sent
 from fansignal.operators.topk import top_k_per_group
+from fansignal.sources.tables import staged
 
 
 def preprocess(posts: DataFrame, as_of: Column, id_col: str = "post_id", ts_col: str = "timestamp",
@@ -23,10 +24,10 @@ def preprocess(posts: DataFrame, as_of: Column, id_col: str = "post_id", ts_col:
     likes = F.col("like_count") if "like_count" in cols else F.lit(None).cast("int")
     author = F.col("author") if "author" in cols else F.lit(None).cast("string")
     p = posts.filter(~tx.is_spam(author, score, F.col(text_col)))
-    p = p.withColumn("text_original", F.col(text_col)).withColumn(text_col, tx.clean_text(F.col(text_col)))
-    p = p.filter(F.col(text_col).isNotNull())
+    p = tx.clean_rows(p.withColumn("text_original", F.col(text_col)), text_col, text_col)
     p = p.filter(tx.detect_language(F.col(text_col)).isin("en", "unknown"))
     if dedup == "keep_first":
+        p = staged(p, "cleaned")        # read twice: for the shingles and for what is kept
         p = dd.keep_first(p, id_col=id_col, ts_col=ts_col, text_col=text_col)
     elif dedup == "rolling":
         src = ["source"] if "source" in cols else []

@@ -196,6 +196,14 @@ c AS (SELECT doc_id, lang, CASE WHEN text IS NULL OR text = '' THEN NULL
         WHEN {_words('t')} >= 4 AND {_letter_ratio('t')} >= 0.4 THEN t END AS text_clean FROM c0)
 """
 
+# Texts of fewer than three words with a run of nine equal characters (of any but line breaks): islands of
+# equal neighbours share the difference of two row numbers.
+REPEATED = f"""few AS (SELECT doc_id, coalesce(text, '') AS t FROM texts_v WHERE {_words("coalesce(text, '')")} < 3),
+ch AS (SELECT doc_id, i, substr(t, i, 1) AS c FROM (SELECT doc_id, t, unnest(generate_series(1, length(t))) AS i FROM few)),
+isl AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch WHERE c NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233))),
+repeated AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM isl GROUP BY doc_id, c, g HAVING count(*) >= 9))
+"""
+
 ORACLE.update({
     "d02_html_entities": T + "x AS (SELECT 1) SELECT doc_id, regexp_replace(text, '&[a-zA-Z]+;|&#\\d+;', ' ', 'g') AS text_out FROM texts_v",
     "d03_urls": T + "x AS (SELECT 1) SELECT doc_id, regexp_replace(text, 'https?://\\S+|www\\.\\S+', '', 'g') AS text_out FROM texts_v",
@@ -210,6 +218,9 @@ ORACLE.update({
     "d12_clean_text": CLEAN + "SELECT doc_id, text_clean FROM c WHERE text_clean IS NOT NULL",
     "d13_bot_author": with_views(POSTS_V) + "x AS (SELECT 1) SELECT post_id, author FROM posts_v WHERE regexp_matches(author, '(?i)bot$|^auto|^mod|_bot$|newsbot|feedbot')",
     "d14_low_score": with_views(POSTS_V) + "x AS (SELECT 1) SELECT post_id, score FROM posts_v WHERE score < -10",
+    "d15_repeated_chars": T + REPEATED + "SELECT doc_id FROM texts_v JOIN repeated USING (doc_id)",
+    "d16_spam": T + REPEATED + """SELECT doc_id FROM texts_v LEFT JOIN repeated r USING (doc_id)
+        WHERE regexp_matches(coalesce(author, ''), '(?i)bot$|^auto|^mod|_bot$|newsbot|feedbot') OR doc_id % 40 - 25 < -10 OR r.doc_id IS NOT NULL""",
     "d17_language": CLEAN + """SELECT lang, CASE WHEN length(regexp_replace(text_clean, '[^A-Za-z]', '', 'g')) / greatest(length(text_clean), 1) > 0.7
         THEN 'en' ELSE 'other' END AS detected, count(*) AS docs FROM c WHERE text_clean IS NOT NULL GROUP BY ALL""",
     "d18_tokens": T + """x AS (SELECT 1), tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda x: x <> '') AS t FROM texts_v)

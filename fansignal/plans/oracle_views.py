@@ -28,7 +28,8 @@ TEXTS_V = """texts_v AS (
       WHEN 1 THEN '@ref_1 robbed by VAR &amp; a howler ' || text
       WHEN 2 THEN 'www.ex.am/x bottled it, pure class from the gaffer  ' || text
       WHEN 3 THEN 'GOAAAAAAAAAAL ' || text
-      WHEN 4 THEN 'TEAM_' || (doc_id % 25) || ' v TEAM_' || ((doc_id + 3) % 25) || ': pens after AET ' || text
+      WHEN 4 THEN 'TEAM_' || (doc_id % 25) || ' v TEAM_' || ((doc_id + 3) % 25) || ': pens after AET '
+             || CASE doc_id // 8 % 5 WHEN 0 THEN 'great win ' WHEN 1 THEN 'terrible ' WHEN 2 THEN 'great great terrible ' ELSE '' END || text
       WHEN 5 THEN '#fifa world cup #other ' || text
       WHEN 6 THEN '12345 67890 !!! ' || text
       ELSE text END AS text

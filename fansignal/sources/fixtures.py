@@ -76,8 +76,10 @@ def texts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole texts always; short spam posts are extra rows with ids from SPAM_IDS on."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 8
+    mood = F.floor(F.col("doc_id") / 8) % 5
     team_prefix = F.concat(F.lit("TEAM_"), (F.col("doc_id") % 25).cast("string"), F.lit(" v TEAM_"),
-                           ((F.col("doc_id") + 3) % 25).cast("string"), F.lit(": pens after AET "))
+                           ((F.col("doc_id") + 3) % 25).cast("string"), F.lit(": pens after AET "),
+                           F.when(mood == 0, "great win ").when(mood == 1, "terrible ").when(mood == 2, "great great terrible ").otherwise(""))
     prefix = F.when(k == 4, team_prefix)
     for key, p in TEXT_PREFIXES.items():
         prefix = prefix.when(k == key, F.lit(p))

@@ -56,7 +56,7 @@ def clean_and_score(posts: DataFrame) -> DataFrame:
     """Stateless part of F05 + F06 + F13 on a stream (spam, clean, English, score, project)."""
     p = parse_post_time(posts)
     p = p.filter(~tx.is_spam(F.col("author"), F.col("score"), F.col("text")))
-    p = p.withColumn("text", tx.clean_text(F.col("text"))).filter(F.col("text").isNotNull())
+    p = tx.clean_rows(p)
     p = p.filter(tx.detect_language(F.col("text")).isin("en", "unknown"))
     p = p.withColumn("engagement_weight", sc.engagement_weight(F.col("score"), F.col("like_count")))
     return en.score_posts(p)
