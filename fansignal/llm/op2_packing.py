@@ -18,12 +18,15 @@ each; a null doc_id is carried as null. An empty table gives no rows. Reruns agr
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fansignal.sources.tables import staged
+
 BIN_BYTES = 8_000_000  # text bytes per bin, on average
 
 
@@ -77,6 +80,23 @@ def best_fit_decreasing(lengths: list[int], row_len: int) -> list[list[int]]:
     return rows
 
 
+# White space besides the plain space, as the split patterns know it.
+OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACES = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+class _Units(dict):
+    """unit -> ids of the unit after a space, as bytes."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, unit: str) -> bytes:
+        x = self[unit] = self.ids(" " + unit)
+        return x
+
+
 class Encoder:
     """Token ids of whole texts by a byte-level rank file; the first free id ends a document.
 
@@ -90,48 +110,65 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.end = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
+        self.end_bytes = np.array([self.end], self.dtype).tobytes()
         self.enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.remember, self.seen = remember, {}
+        self.remember, self.seen = remember, _Units(self._ids)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.enc.encode_ordinary(text), self.dtype).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        head, *units = text.split(" ")
-        if not head or head[-1].isspace() or not all(u and not (u[0].isspace() or u[-1].isspace()) for u in units):
-            return np.frombuffer(self._ids(text), self.dtype)
+    @staticmethod
+    def _single_spaces(text: str) -> bool:
+        """Whether every space stands alone between two characters that are no white space and the
+        text does not end in white space; substring searches only."""
+        if not text or text[0] == " " or text[-1].isspace() or "  " in text:
+            return False
+        others = OTHER_SPACES if text.isascii() else OTHER_SPACES + WIDE_SPACES
+        return not any(c in text and (" " + c in text or c + " " in text) for c in others)
+
+    def encode_bytes(self, text: str, end: bytes = b"") -> bytes:
+        """Ids as little-endian numbers, followed by ``end``."""
+        if not self._single_spaces(text):
+            return self._ids(text) + end
         if len(self.seen) > self.remember:
             self.seen.clear()
-        out, seen = [self._ids(head)], self.seen
-        for u in units:
-            x = seen.get(u)
-            if x is None:
-                x = seen[u] = self._ids(" " + u)
-            out.append(x)
-        return np.frombuffer(b"".join(out), self.dtype)
+        head, *units = text.split(" ")
+        return b"".join([self._ids(head), *map(self.seen.__getitem__, units), end])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), self.dtype)
 
 
 def _chunks(rank_file: str, pattern: str, row_len: int):
     schema = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("ids", pa.binary())])
 
+    def batch_of(docs, nos, ids):
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(ids, pa.binary())], schema=schema)
+
     def run(batches):
         enc = Encoder(rank_file, pattern)
+        step = row_len * enc.dtype.itemsize
         for batch in batches:
             docs, nos, ids, size = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 if not text:
                     continue
-                t = np.append(enc.encode(text), enc.dtype.type(enc.end))
-                for no, at in enumerate(range(0, len(t), row_len)):
+                t = enc.encode_bytes(text, enc.end_bytes)
+                if len(t) <= step:
                     docs.append(doc)
-                    nos.append(no)
-                    ids.append(t[at:at + row_len].tobytes())
-                size += t.nbytes
+                    nos.append(0)
+                    ids.append(t)
+                else:
+                    parts = [t[at:at + step] for at in range(0, len(t), step)]
+                    docs += [doc] * len(parts)
+                    nos += range(len(parts))
+                    ids += parts
+                size += len(t)
                 if size > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(ids, pa.binary())], schema=schema)
+                    yield batch_of(docs, nos, ids)
                     docs, nos, ids, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(ids, pa.binary())], schema=schema)
+            yield batch_of(docs, nos, ids)
     return run
 
 
@@ -183,13 +220,67 @@ def packed_sequences(documents: DataFrame, rank_file: str, pattern: str, row_len
     return dealt.groupBy("bin").applyInArrow(_pack(row_len, enc.end, enc.dtype.str), schema)
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Binary output: one row per packed sequence with its ids, cumulative lengths and
-    positions as little-endian int32 bytes, written by Spark to any store it can reach."""
-    def little(batches):
+FILES = "part string, rows long, row_len int, id_bytes int, segments long"
+
+
+def _write_files(folder: str, dtype: str):
+    def run(batches):
+        from pyspark import TaskContext
+
+        from fansignal.llm.shared_files import file_system
+        part = f"part-{TaskContext.get().partitionId():06d}"
+        store, root = file_system(folder)
+        store.create_dir(root, recursive=True)
+        hidden = {kind: f"{root}/.{part}.{kind}-{uuid.uuid4().hex}" for kind in ("ids", "pos", "cu")}
+        out = {kind: store.open_output_stream(path, compression=None) for kind, path in hidden.items()}
+        rows = segments = row_len = 0
         for b in batches:
-            cols = [b.column(b.schema.get_field_index("pack_id"))]
-            for name in ("ids", "cu_seqlens", "position_ids"):
-                cols.append(pa.array([np.array(x, "<i4").tobytes() for x in b.column(b.schema.get_field_index(name)).to_pylist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["pack_id", "ids", "cu_seqlens", "position_ids"])
-    packed.mapInArrow(little, "pack_id long, ids binary, cu_seqlens binary, position_ids binary").write.parquet(path)
+            ids, pos, cu = (b.column(b.schema.get_field_index(c)) for c in ("ids", "position_ids", "cu_seqlens"))
+            if not b.num_rows:
+                continue
+            row_len = len(ids[0])
+            out["ids"].write(ids.flatten().to_numpy().astype(dtype).tobytes())
+            out["pos"].write(pos.flatten().to_numpy().astype("<i4").tobytes())
+            for one in cu:      # a row's own count of segments, then its cumulative lengths from 0
+                lengths = one.values.to_numpy()
+                out["cu"].write(np.concatenate([[len(lengths) - 1], lengths]).astype("<i4").tobytes())
+                segments += len(lengths) - 1
+            rows += b.num_rows
+        for kind, f in out.items():
+            f.close()
+            if rows:
+                store.move(hidden[kind], f"{root}/{part}.{kind}")
+            else:
+                store.delete_file(hidden[kind])
+        if rows:
+            yield pa.RecordBatch.from_pylist([{"part": part, "rows": rows, "row_len": row_len, "id_bytes": np.dtype(dtype).itemsize, "segments": segments}],
+                                             schema=pa.schema([("part", pa.string()), ("rows", pa.int64()), ("row_len", pa.int32()), ("id_bytes", pa.int32()), ("segments", pa.int64())]))
+    return run
+
+
+def write_packed(packed: DataFrame, folder: str, dtype: str = "<i4") -> DataFrame:
+    """Binary output below a fresh ``folder`` of the shared store. Per partition three files of
+    little-endian numbers: ``.ids`` (the matrix of rows times row length), ``.pos`` (positions,
+    int32, same shape) and ``.cu`` (int32; per row its number of segments and then that many
+    cumulative lengths and the leading 0). Returns the stored table of parts with their rows,
+    row length, bytes per id and segments; a file appears under its name when it is whole."""
+    d = packed.select("ids", "position_ids", "cu_seqlens")
+    return staged(d.mapInArrow(_write_files(folder, dtype), FILES), "packed-files")
+
+
+def read_packed(folder: str, part: str, rows: int, row_len: int, id_bytes: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Ids, positions and cumulative lengths of one part."""
+    from fansignal.llm.shared_files import file_system
+    store, root = file_system(folder)
+    raw = {}
+    for kind in ("ids", "pos", "cu"):
+        with store.open_input_stream(f"{root}/{part}.{kind}", compression=None) as f:
+            raw[kind] = f.read()
+    ids = np.frombuffer(raw["ids"], f"<u{id_bytes}").reshape(rows, row_len)
+    pos = np.frombuffer(raw["pos"], "<i4").reshape(rows, row_len)
+    cu, numbers, at = [], np.frombuffer(raw["cu"], "<i4"), 0
+    for _ in range(rows):
+        n = int(numbers[at]) + 1
+        cu.append(numbers[at + 1:at + 1 + n].tolist())
+        at += 1 + n
+    return ids, pos, cu

@@ -111,6 +111,23 @@ def test_packing_is_lossless(docs, none):
     assert op2_packing.packed_sequences(none, rank_file, public_tokenizers.PATTERN).count() == 0
 
 
+def test_binary_output_equals_the_rows(spark, docs):
+    import uuid
+
+    from fansignal.session import shared_dir
+    rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    packed = op2_packing.packed_sequences(docs, rank_file, public_tokenizers.PATTERN, 256).repartition(3).persist()
+    folder = f"{shared_dir(spark)}/packed/{uuid.uuid4().hex}"
+    for dtype, at in (("<i4", folder), ("<u2", folder + "-2")):
+        got = []
+        for f in op2_packing.write_packed(packed, at, dtype).collect():
+            ids, pos, cu = op2_packing.read_packed(at, f.part, f.rows, f.row_len, f.id_bytes)
+            assert f.segments == sum(len(c) - 1 for c in cu) and f.id_bytes == int(dtype[-1])
+            got += [(i.tolist(), p.tolist(), c) for i, p, c in zip(ids, pos, cu, strict=True)]
+        assert sorted(got) == sorted((list(r.ids), list(r.position_ids), list(r.cu_seqlens)) for r in packed.collect())
+    assert op2_packing.write_packed(packed.filter("false"), folder + "-3").count() == 0
+
+
 def test_best_fit_against_linear_search():
     lengths = [int(x) for x in np.random.default_rng(0).integers(1, 65, 500)]
     rows = op2_packing.best_fit_decreasing(lengths, 64)
