@@ -18,7 +18,9 @@ each; a null doc_id is carried as null. An empty table gives no rows. Reruns agr
 from __future__ import annotations
 
 import base64
+import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -80,63 +82,32 @@ def best_fit_decreasing(lengths: list[int], row_len: int) -> list[list[int]]:
     return rows
 
 
-# White space besides the plain space, as the split patterns know it.
-OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-WIDE_SPACES = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-
-
-class _Units(dict):
-    """unit -> ids of the unit after a space, as bytes."""
-
-    def __init__(self, ids):
-        super().__init__()
-        self.ids = ids
-
-    def __missing__(self, unit: str) -> bytes:
-        x = self[unit] = self.ids(" " + unit)
-        return x
-
-
 class Encoder:
-    """Token ids of whole texts by a byte-level rank file; the first free id ends a document.
-
-    Single spaces between other characters always start a new unit of the split pattern,
-    so a text without runs of white space around spaces is encoded unit by unit and units
-    seen before are looked up; other texts are encoded whole."""
+    """Token ids of whole texts by a byte-level rank file; the first free id ends a document."""
 
-    def __init__(self, rank_file: str, pattern: str, remember: int = 300_000):
+    def __init__(self, rank_file: str, pattern: str):
         import tiktoken
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.end = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
-        self.end_bytes = np.array([self.end], self.dtype).tobytes()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.remember, self.seen = remember, _Units(self._ids)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.enc.encode_ordinary(text), self.dtype).tobytes()
-
-    @staticmethod
-    def _single_spaces(text: str) -> bool:
-        """Whether every space stands alone between two characters that are no white space and the
-        text does not end in white space; substring searches only."""
-        if not text or text[0] == " " or text[-1].isspace() or "  " in text:
-            return False
-        others = OTHER_SPACES if text.isascii() else OTHER_SPACES + WIDE_SPACES
-        return not any(c in text and (" " + c in text or c + " " in text) for c in others)
-
-    def encode_bytes(self, text: str, end: bytes = b"") -> bytes:
-        """Ids as little-endian numbers, followed by ``end``."""
-        if not self._single_spaces(text):
-            return self._ids(text) + end
-        if len(self.seen) > self.remember:
-            self.seen.clear()
-        head, *units = text.split(" ")
-        return b"".join([self._ids(head), *map(self.seen.__getitem__, units), end])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids and the end id as little-endian numbers."""
+        ids = self.enc.encode_ordinary(text)
+        ids.append(self.end)
+        return self._bytes(ids)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), self.dtype)
+        return np.frombuffer(self.encode_bytes(text), self.dtype)[:-1]
 
 
 def _chunks(rank_file: str, pattern: str, row_len: int):
@@ -154,16 +125,11 @@ def _chunks(rank_file: str, pattern: str, row_len: int):
                 text = text.as_py()
                 if not text:
                     continue
-                t = enc.encode_bytes(text, enc.end_bytes)
-                if len(t) <= step:
-                    docs.append(doc)
-                    nos.append(0)
-                    ids.append(t)
-                else:
-                    parts = [t[at:at + step] for at in range(0, len(t), step)]
-                    docs += [doc] * len(parts)
-                    nos += range(len(parts))
-                    ids += parts
+                t = enc.encode_bytes(text)
+                parts = [t] if len(t) <= step else [t[at:at + step] for at in range(0, len(t), step)]
+                docs += [doc] * len(parts)
+                nos += range(len(parts))
+                ids += parts
                 size += len(t)
                 if size > 16_000_000:
                     yield batch_of(docs, nos, ids)
