@@ -19,9 +19,11 @@
    of them are open. So no link between different components is lost, and a large group of
    near copies is never expanded into all its pairs.
 
-Nulls and empties: a null or empty text has no shingles and links with nothing; a null id
-never links. Rows that repeat an id count as rows of one document node (their sets may
-differ); each input row gives one result row. Only the id and text columns are read.
+Nulls and empties: a null or empty text has no shingles and links with nothing; a row with a null
+id links with nothing, has no component and is kept. Rows that repeat an id are one document
+node: if their sets differ, the node links their classes (a row without shingles stands for itself). Each input row gives one result row. A very
+long text is one set of its shingles, held by one task. An empty table gives no rows. Only the
+id and text columns are read.
 """
 from __future__ import annotations
 
@@ -164,6 +166,15 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
                                 .unionByName(links), "a", "b")
 
 
+def _of_repeated_ids(sigs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes of ids whose rows have different sets."""
+    rows = sigs.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_key")
+    several = rows.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other")
+    held = rows.join(several.select("doc_id"), "doc_id", "left_semi").join(reps.select("set_key", "rep"), "set_key")
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(first, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) per row of ``documents``.
@@ -213,9 +224,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     cross = (x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & (_agreement("ba", "bb", T_FINE) >= least_fine) & once)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     comp = _joined(comp, staged(_confirmed(cross, sets, percent), "cross-links"))
+    comp = _joined(comp, staged(_of_repeated_ids(sigs, reps), "id-links"))
     final = (reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("set_key", "rep", F.coalesce("component", "rep").alias("component_id")))
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component_id", "doc_id"))
     return (sigs.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-                    F.coalesce("rep", "doc_id").alias("class_id")))
+            .select("doc_id", "n_shingles", component.alias("component_id"),
+                    F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+                    F.when(known, F.coalesce("rep", "doc_id")).alias("class_id")))

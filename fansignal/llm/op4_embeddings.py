@@ -22,8 +22,6 @@ ids link with nothing. Rows that repeat a vec_id count as one vector: the smalle
 """
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,16 +36,23 @@ SLACK = 1e-9       # for rounding; candidates are verified anyway
 AT_ONCE = 20_000   # candidate pairs verified at a time
 
 
-@lru_cache(8)
+# Plain dictionaries: they travel to workers that do not have this package, as the functions do.
+_ROTATIONS: dict[int, np.ndarray] = {}
+_CUTS: dict[int, list[slice]] = {}
+
+
 def _rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(20).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    if dim not in _ROTATIONS:
+        q, r = np.linalg.qr(np.random.default_rng(20).standard_normal((dim, dim)))
+        _ROTATIONS[dim] = q * np.sign(np.diag(r))
+    return _ROTATIONS[dim]
 
 
-@lru_cache(8)
 def _blocks(dim: int) -> list[slice]:
-    cuts = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
-    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if dim not in _CUTS:
+        cuts = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
+        _CUTS[dim] = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _CUTS[dim]
 
 
 def _budgets(dim: int, least: float) -> np.ndarray:

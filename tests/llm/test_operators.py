@@ -90,6 +90,34 @@ def test_near_duplicates_across_components(spark):
     assert 1 < len(set(comp)) < len(comp)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts is one node; a null id has no component."""
+    a, b, c = text(50, 40), text(51, 40), text(52, 40)
+    rows = [(3, a), (5, a), (5, b), (9, b), (10, c), (None, a), (None, c), (12, ""), (12, c), (2, None)]
+    from fansignal.llm.op1_minhash import near_duplicates
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in near_duplicates(df, k=3, percent=85).collect()}
+    assert got == {(3, True): (3, True), (5, True): (3, False), (9, True): (3, False), (10, True): (10, True), (12, True): (10, False),
+                   (12, False): (12, True), (2, False): (2, True), (None, True): (None, True)}
+
+
+def test_operators_run_on_workers_without_the_package(spark):
+    """What op4 sends to its tasks can be loaded where the package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from fansignal.llm import op1_minhash, op4_embeddings, op12_warc, op13_conversations
+    parts = [op4_embeddings._deal(0.9), op4_embeddings._links(0.9), op1_minhash._sets(3), op12_warc._writer("/x", "d"), op12_warc._reader(False, []),
+             op13_conversations._stream("/x", 5, False, []), op2_packing._chunks("f", "p", 8)]
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert not any(m.startswith('fansignal') for m in sys.modules)"
+    for p in parts:
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(p), cwd="/", capture_output=True,
+                              env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+        assert done.returncode == 0, done.stderr.decode()[-500:]
+
+
 def test_packing_is_lossless(docs, none):
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = op2_packing.packed_sequences(docs, rank_file, public_tokenizers.PATTERN, 256).collect()
