@@ -308,6 +308,61 @@ def test_passages_with_repeated_words():
     assert [(r["start"], r["end"]) for r in aligned([f"{junk} {base}", f"{base} {junk}"])] in ([(60, 3060), (0, 60)], [(0, 60), (60, 3060)])
 
 
+def test_exact_passages_against_brute_force(spark):
+    """Every document with 50 words of an earlier one, or twice 50 of its own far apart, is told; others are not."""
+    r = np.random.default_rng(77)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    shared = [[next(fresh) for _ in range(int(n))] for n in r.integers(30, 120, 12)]
+    rows = []
+    for doc in range(60):
+        w = []
+        for _ in range(3):
+            part = shared[int(r.integers(12))]
+            lo = int(r.integers(0, 20))
+            w += [next(fresh) for _ in range(25)] + part[lo:]
+        rows.append((doc, " ".join(w)))
+    rows += [(70, rows[3][1]), (71, rows[3][1]), (72, " ".join(next(fresh) for _ in range(90)))]
+    first, want = {}, set()
+    for doc, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            x = tuple(w[i:i + 50])
+            if x in first and (first[x][0] != doc or i - first[x][1] >= 50):
+                want.add(doc)
+            first.setdefault(x, (doc, i))
+    got = op6_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got if x.identity == 1.0 and x.matched >= 50} >= want
+    texts = {doc: t.split() for doc, t in rows}
+    for x in got:
+        assert x.end - x.start >= 50 or x.other_end - x.other_start >= 50
+        assert x.other_id < x.doc_id or (x.other_id == x.doc_id and x.other_start < x.start)
+        if x.identity == 1.0:
+            assert texts[x.doc_id][x.start:x.end] == texts[x.other_id][x.other_start:x.other_end]
+    assert {x.other_id for x in got if x.doc_id in (70, 71)} == {3} and not any(x.doc_id == 72 for x in got)
+
+
+def test_first_holders_over_partitions():
+    """Seeds that go on over batches and partitions get the first holder of all."""
+    import pyarrow as pa
+    rows = sorted([(s, d, p) for s, n in ((1, 1), (2, 40), (3, 2), (4, 1), (5, 3), (6, 1)) for d in range(n) for p in range(1 + (d == 0) * (s == 6))])
+    least, count = {}, Counter(s for s, _, _ in rows)
+    for s, d, p in rows:
+        least.setdefault(s, (d, p))
+    want = sorted((d, p, *least[s]) for s, d, p in rows if count[s] > 1)
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        cuts = sorted(r.integers(0, len(rows) + 1, 4).tolist())
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:min(k + 3, hi)], strict=True), (
+                pa.int64(), pa.int64(), pa.int32()), strict=True)], ["seed", "doc_id", "pos"]) for k in range(lo, hi, 3)]
+            out += list(op6_passages._first_holders(batches))
+        edges = {e for b in out for e in b.column(4).to_pylist() if e is not None}
+        assert len(edges) <= 2 * 5
+        firsts = {e: least[e] for e in edges if count[e] > 1}
+        assert sorted(tuple(x.values()) for b in op6_passages._settled(firsts)(out) for x in b.to_pylist()) == want
+
+
 def test_mixing(docs, none):
     from fansignal.llm.op7_mixing import emitted, mix
     rows = mix(docs).collect()
