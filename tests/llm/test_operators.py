@@ -341,6 +341,17 @@ def test_exact_passages_against_brute_force(spark):
     assert {x.other_id for x in got if x.doc_id in (70, 71)} == {3} and not any(x.doc_id == 72 for x in got)
 
 
+def test_passages_of_a_document_with_many_partners(spark, monkeypatch):
+    """A first document whose partners are dealt to several groups."""
+    base = text(61, 70)
+    rows = [(k, f"{text(100 + k, 30)} {base} {text(200 + k, 20)}") for k in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(op6_passages.repeated_passages(d).collect())
+    monkeypatch.setattr(op6_passages, "PARTNERS", 3)
+    assert sorted(op6_passages.repeated_passages(d).collect()) == whole
+    assert {(x.doc_id, x.other_id) for x in whole} == {(k, 0) for k in range(1, 12)}
+
+
 def test_first_holders_over_partitions():
     """Seeds that go on over batches and partitions get the first holder of all."""
     import pyarrow as pa
