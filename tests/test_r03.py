@@ -1,0 +1,17 @@
+"""Rows that a review of the library found to go wrong."""
+import math
+
+from pyspark.sql import functions as F
+
+from fansignal.functions import scoring as sc
+from fansignal.plans import catalog
+
+
+def test_rounding_keeps_weights_beyond_the_decimal(spark):
+    """f05: the weight of a post days after ``as_of`` leaves decimal(38,12)."""
+    posts = spark.createDataFrame([(1, 0.0), (2, 3000.0), (3, 40000.0), (4, None)], "post_id long, minutes double")
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    later = at + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes").cast("int"))
+    w = posts.select("post_id", sc.time_decay_weight(later, at).alias("w"), F.lit(2 / 3).alias("x"))
+    got = {r.post_id: (r.w, r.x) for r in catalog._round(w).collect()}
+    assert got == {1: (1.0, 0.666667), 2: (2.0 ** 100, 0.666667), 3: (math.inf, 0.666667), 4: (1.0, 0.666667)}
