@@ -479,7 +479,8 @@ def g01_time_range(spark, sf_dir):
 
 
 def h03_team_sentiment(spark, sf_dir):
-    return _round(_team_sentiment(spark, sf_dir))
+    """Sentiment of every team over all posts."""
+    return _round(sent.team_sentiment(_text_posts(spark, sf_dir), _team_dim(spark, sf_dir), fx.as_of_col(), None))
 
 
 QUERIES.update({

@@ -15,3 +15,25 @@ def test_rounding_keeps_weights_beyond_the_decimal(spark):
     w = posts.select("post_id", sc.time_decay_weight(later, at).alias("w"), F.lit(2 / 3).alias("x"))
     got = {r.post_id: (r.w, r.x) for r in catalog._round(w).collect()}
     assert got == {1: (1.0, 0.666667), 2: (2.0 ** 100, 0.666667), 3: (math.inf, 0.666667), 4: (1.0, 0.666667)}
+
+
+def _tables(spark, root, documents):
+    """A folder with the tables that the match and post views read: two finished matches of
+    TEAM_1 and TEAM_3, and the given (doc_id, text) posts."""
+    rows = {
+        "customer": ([(1, 1)], "c_custkey long, c_nationkey int"),
+        "orders": ([(1, 1, "F", "1-URGENT"), (25, 1, "F", "2-HIGH")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(1, 5, 2, 1, 3.0, "R", "F"), (25, 7, 3, 1, 4.0, "A", "F")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"),
+        "documents": ([(i, t, "en", "web", len(t)) for i, t in documents], "doc_id long, text string, lang string, source string, n_chars long"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_team_sentiment_counts_every_post(spark, tmp_path):
+    """h03: posts of any time, not those of eight hours only (doc_id is the minute)."""
+    where = _tables(spark, tmp_path, [(15, "TEAM_1 great"), (303, "TEAM_1 awful"), (30007, "TEAM_1 great"), (50007, "TEAM_1 great")])
+    got = {r.team: (r.post_count, r.positive_ratio, r.negative_ratio) for r in catalog.h03_team_sentiment(spark, where).collect()}
+    assert got["TEAM_1"] == (4, 0.75, 0.25)
