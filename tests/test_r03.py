@@ -1,10 +1,17 @@
 """Rows that a review of the library found to go wrong."""
 import math
+import threading
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fansignal.functions import scoring as sc
+from fansignal.functions import text as tx
+from fansignal.operators import dedup as dd
+from fansignal.operators import model as mdl
+from fansignal.operators import sentiment as sent
 from fansignal.plans import catalog
+from fansignal.sources import fixtures as fx
 
 
 def test_rounding_keeps_weights_beyond_the_decimal(spark):
@@ -37,3 +44,67 @@ def test_team_sentiment_counts_every_post(spark, tmp_path):
     where = _tables(spark, tmp_path, [(15, "TEAM_1 great"), (303, "TEAM_1 awful"), (30007, "TEAM_1 great"), (50007, "TEAM_1 great")])
     got = {r.team: (r.post_count, r.positive_ratio, r.negative_ratio) for r in catalog.h03_team_sentiment(spark, where).collect()}
     assert got["TEAM_1"] == (4, 0.75, 0.25)
+
+
+def _near_by_hand(rows, threshold=0.8, k=3):
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        s = frozenset(tuple(w[j:j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset(w)
+        if s and s not in sets:
+            sets[s] = i
+    found = [(i, j, len(a & b) / len(a | b)) for a, i in sets.items() for b, j in sets.items() if i < j]
+    return sorted((i, j, round(x, 9)) for i, j, x in found if x >= threshold)
+
+
+def test_near_duplicates_explode_the_shingles_once_a_side(spark):
+    """e03, e05, e06: the shingles are shuffled once to be counted, and pairs stay exact."""
+    words = [f"w{i % 37}x{i % 11}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 7:i * 7 + 40])) for i in range(40)]
+    rows += [(100 + i, " ".join([*words[i * 7:i * 7 + 38], "odd", "end"])) for i in range(40)] + [(200, rows[3][1]), (201, ""), (202, None), (203, "two words"), (204, "two words")]
+    posts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ts", F.col("doc_id"))
+    pairs = dd.near_duplicate_pairs(posts)
+    assert sorted((r.earlier_id, r.later_id, round(r.jaccard, 9)) for r in pairs.collect()) == _near_by_hand(rows)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2     # one for either side of the pair
+
+
+def test_team_tokens_are_stored_before_the_posts_meet_them(spark):
+    """f15, h02, h03, team table: the planner sees the bytes of the team tokens, not of the matches."""
+    posts = spark.createDataFrame([(1, "TEAM_1 v team_3 team_3"), (2, "nobody"), (3, None)], "post_id long, text string")
+    teams = spark.createDataFrame([("TEAM_1",), ("TEAM_3",), ("TEAM_1",), (None,)], "team string")
+    pairs = sent.post_team_pairs(posts, teams)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, "TEAM_1"), (1, "TEAM_3")]
+    assert any("team-tokens" in f for f in pairs.inputFiles())
+
+
+def test_match_views_have_partitions_by_the_bytes_of_the_tables(spark, tmp_path, monkeypatch):
+    """i01, i19, a12, m01, m08, a16: the rows of one task do not grow with the tables."""
+    where = _tables(spark, tmp_path, [(1, "x")])
+    monkeypatch.setattr(fx, "PART_BYTES", 64, raising=False)
+    events = fx.fixture_events_v(spark, where)
+    assert events.rdd.getNumPartitions() > 50
+    assert sorted((r.fixture_id, r.pos, r.type) for r in events.collect()) == [(1, 1, "Goal"), (25, 1, "Card")]
+
+
+def test_accents_go_by_slices_of_a_batch():
+    """d08: a batch is an Arrow array, of which a few texts at a time are Python strings."""
+    texts = ["café", None, "plain", "ﬁn ", ""] * 150
+    got = tx._nfkd_strip(pa.array(texts, pa.string())).to_pylist()
+    assert got == ["cafe", None, "plain", "fin ", ""] * 150
+    assert len(tx._nfkd_strip(pa.array([], pa.string()))) == 0
+
+
+def test_boosted_classifiers_are_fitted_side_by_side(spark, monkeypatch):
+    """l06: all three are under way at once, on rows that are stored once."""
+    from pyspark.ml.classification import GBTClassifier
+    meet, read = threading.Barrier(3, timeout=60), []
+
+    def fit(self, data):
+        read.append(any("training-rows" in f for f in data.inputFiles()))
+        meet.wait()
+        return data.groupBy("y").count().orderBy("y").collect()
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    frame = spark.createDataFrame([(i % 3 if i else 1, *[float(i)] * len(mdl.FEATURE_NAMES)) for i in range(6)], ["label", *mdl.FEATURE_NAMES])
+    got = mdl.fit_boosted(frame)
+    assert [[tuple(r) for r in m] for m in got] == [[(0.0, 5), (1.0, 1)], [(0.0, 3), (1.0, 3)], [(0.0, 4), (1.0, 2)]]
+    assert read == [True] * 3
