@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fansignal.sources.tables import materialized, table
+from fansignal.sources.tables import file_bytes, materialized, table
 from fansignal.sources import matches as msrc
 
 AS_OF = "2024-01-31 00:00:00"
@@ -100,6 +100,16 @@ STAGE_BY_PRIORITY = {"1": "FINAL", "2": "QUARTER_FINALS", "3": "ROUND_OF_16",
 STATUS_BY_ORDERSTATUS = {"F": "FT", "O": "NS", "P": "1H"}
 
 
+PART_BYTES = 8 << 20      # of the match tables' files to a partition
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions by match: as many as the tables' files need, so that the sorts and groups of one task
+    do not grow with the tables."""
+    size = sum(file_bytes(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("orders", "lineitem"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
@@ -111,7 +121,7 @@ def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", kickoff.alias("o_orderdate"), "o_orderstatus", "o_orderpriority",
         F.concat(F.lit("TEAM_"), F.col("c_nationkey").cast("string")).alias("home"),
         F.concat(F.lit("TEAM_"), ((F.col("c_nationkey") + 1 + F.col("o_orderkey") % 24) % 25)
-                 .cast("string")).alias("away"))
+                 .cast("string")).alias("away")).repartition(_parts(spark, sf_dir), "o_orderkey")
 
 
 def _lookup(d: dict, key: Column) -> Column:
@@ -125,7 +135,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus")
-    return li.withColumn("minute", (1 + F.col("l_partkey") % 90).cast("int"))
+    return li.repartition(_parts(spark, sf_dir), "l_orderkey").withColumn("minute", (1 + F.col("l_partkey") % 90).cast("int"))
 
 
 def fixture_events_v(spark: SparkSession, sf_dir: str) -> DataFrame:
