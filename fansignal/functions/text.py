@@ -2,7 +2,7 @@
 
 Everything except Unicode NFKD runs as JVM expressions (regexes, and higher-order functions where
 a value is used several times). ``(?U)`` makes \\w, \\b, \\s and \\d Unicode-aware, as in the reference's Python regexes.
-NFKD has no Spark built-in, so it is one Arrow-batched pandas UDF that skips ASCII rows.
+NFKD has no Spark built-in, so it is one Arrow UDF that skips ASCII rows.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,18 +89,20 @@ def unwrap_hashtags(t: Column) -> Column:
     return F.replace(t, F.lit("#"), F.lit(""))
 
 
-def _nfkd_strip(s: pd.Series) -> pd.Series:
+def _nfkd_strip(texts: pa.Array) -> pa.Array:
+    """A slice of the batch at a time, so that few texts are Python strings at once."""
     def one(x):
         if x is None or x.isascii():
             return x
         d = unicodedata.normalize("NFKD", x)
         return "".join(c for c in d if not unicodedata.combining(c))
-    return s.map(one)
+    slices = (texts.slice(i, 256).to_pylist() for i in range(0, len(texts), 256))
+    return pa.chunked_array([pa.array(map(one, s), pa.string()) for s in slices], pa.string()).combine_chunks()
 
 
 # Marked non-deterministic so that a filter on the result is not pushed below it, which
 # would run it (and the chain above it) twice per row.
-strip_accents_udf = F.pandas_udf(_nfkd_strip, T.StringType()).asNondeterministic()
+strip_accents_udf = F.arrow_udf(_nfkd_strip, T.StringType()).asNondeterministic()
 
 
 def strip_accents(t: Column) -> Column:
