@@ -16,20 +16,22 @@
    places (and, for a stretch, ``min_words`` words around it): that document is met anyway.
    So an exact repeat is paired with a document that holds all of it, or all but up to
    SEED - 2 words at an end if such an earlier one exists.
-4. For each pair, all k-mers of both whole texts are matched, each occurrence with each
-   (only where that is too many, the r-th with the r-th), and runs of matches become fragments. A sweep over the
+4. For each pair, all k-mers of both whole texts are matched, each occurrence with each, and
+   runs of matches become fragments (where k-mers are frequent, found by their ends). A sweep over the
    document with a Fenwick tree over the other's positions finds the best chain that ends
    in each fragment, minus a cost for the words skipped in either text.
 5. Chains are cut where more than MAX_GAP words are skipped, the gaps are aligned word by
    word, both ends are carried on over changed words while the share of aligned words allows,
    and a passage of at least ``min_words`` words with at least ``identity`` of its words aligned
    is reported; one that falls short is cut at its worst gap and tried again.
+6. Where k-mers are frequent, a place has matches in many places: chains with the most words not yet told go
+   first, until every word of a passage is told.
 
 The result has one row per passage: doc_id, other_id (the first document of the pair),
 word offsets start/end and other_start/other_end, matched (aligned words) and identity.
 The first document with a passage appears as other_id only. A passage that a document holds
 twice, ``min_words`` words or more apart, is told with other_id = doc_id and other_start before start. A
-place in doc_id that matches several places of other_id is told once, at the best of them.
+place in doc_id that matches several places of other_id is told once, at the best of them (step 6).
 
 Null ids and texts of fewer than K words give nothing. Rows that repeat a doc_id are one
 document (the smallest text is aligned). An empty table gives no rows. A very long text is
@@ -40,13 +42,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from fansignal.llm.words import U64, WordHash, mix64, odd_multipliers, shingle_hashes, word_list
+from fansignal.llm.words import U64, mix64, odd_multipliers, shingle_hashes, word_list
 from fansignal.sources.tables import staged
 
 K = 5                 # words of a k-mer that is matched in a pair
@@ -56,9 +60,10 @@ RUN_GAP = 40          # words between two seeds that make a pair
 MAX_GAP = 16          # words a passage may skip in either text
 GAP_COST = 0.2        # per skipped word
 LEAST = 0.3           # share of min_words that unchanged k-mers must span
-MATCHES = 4           # matched k-mer pairs per word of both texts, on average
+MATCHES = 4           # k-mer pairs per word of both texts that are made one by one; beyond, only the ends of runs
 PARTNERS = 256        # documents aligned with one copy of the first document's text, on average
 RESYNC = 4            # words skipped at once when an end is carried on
+FEW = 32              # chains of a pair that are carried on one by one
 
 
 def seed_places(h: np.ndarray) -> np.ndarray:
@@ -74,14 +79,14 @@ def seed_places(h: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches):
-    cache, mult = WordHash(), odd_multipliers(SEED, 5)
+    mult = odd_multipliers(SEED, 5)
     for batch in batches:
         seed, doc, pos = [], [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             w = word_list(t.as_py())
             if i is None or len(w) < SEED:
                 continue
-            h = cache.of(w)
+            h = np.fromiter(map(xxh3_64_intdigest, w), U64, len(w))
             at = seed_places(h)
             seed.append(mix64(sum(h[at + k] * mult[k] for k in range(SEED))))
             pos.append(at)
@@ -270,54 +275,63 @@ class Places:
     def __init__(self, h: np.ndarray):
         self.h = h
         self.order = np.argsort(h, kind="stable")
-        self.kinds, self.start, self.count = np.unique(h[self.order], return_index=True, return_counts=True)
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading elements are the same."""
-    n, at, step = min(len(a), len(b)), 0, 16
-    while at < n:
-        same = a[at:min(at + step, n)] == b[at:min(at + step, n)]
-        if not same.all():
-            return at + int(np.argmin(same))
-        at, step = at + step, step * 4
-    return n
-
-
-def fragments(a: Places, b: Places) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, words) of the runs of matching k-mers.
-
-    Every occurrence in one text meets every occurrence in the other, rarest k-mers first, as
-    far as MATCHES a place allow. Of more frequent ones the r-th meets the r-th, and runs are
-    then prolonged as far as the texts agree."""
-    j = np.minimum(np.searchsorted(b.kinds, a.kinds), len(b.kinds) - 1)
-    i = np.flatnonzero(b.kinds[j] == a.kinds)
-    if not len(i):
-        return []
-    j = j[i]
-    ca, cb = a.count[i], b.count[j]
-    order = np.argsort(ca * cb, kind="stable")
-    whole = np.zeros(len(i), bool)
-    whole[order] = np.cumsum((ca * cb)[order]) <= MATCHES * (len(a.h) + len(b.h))
-    many = np.where(whole, ca * cb, np.minimum(ca, cb))
-    k = np.repeat(np.arange(len(i)), many)
-    off = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
-    x = a.order[a.start[i[k]] + np.where(whole[k], off // cb[k], off)]
-    y = b.order[b.start[j[k]] + np.where(whole[k], off % cb[k], off)]
-    order = np.lexsort((x, x - y))
-    x, y = x[order], y[order]
-    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1)) + 1
-    lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(x)]])
-    runs = [(int(x[i]), int(y[i]), int(j - i) + K - 1) for i, j in zip(lo, hi, strict=True)]
-    if not whole.all():
-        found, runs = runs, []
-        for x0, y0, n in found:
-            if runs and runs[-1][0] - runs[-1][1] == x0 - y0 and x0 < runs[-1][0] + runs[-1][2] - K + 1:
-                continue
-            back = _equal(a.h[:x0][::-1], b.h[:y0][::-1])
-            ahead = _equal(a.h[x0 + n - K + 1:], b.h[y0 + n - K + 1:])
-            runs.append((x0 - back, y0 - back, n + back + ahead))
-    return sorted(runs)
+        ordered = h[self.order]
+        self.start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.kinds = ordered[self.start]
+        self.count = np.diff(np.concatenate([self.start, [len(h)]]))
+
+
+def fragments(h: np.ndarray, b: Places) -> tuple[np.ndarray, bool]:
+    """Columns (place in a, place in b, words) of all runs of matching k-mers, and whether k-mers are frequent;
+    h: the k-mers of a.
+
+    Every occurrence in one text meets every occurrence in the other. Where that is over MATCHES
+    a place, the pairs are not made: only the two ends of each run are looked up."""
+    j = np.minimum(np.searchsorted(b.kinds, h), len(b.kinds) - 1)
+    at = np.flatnonzero(b.kinds[j] == h)
+    if not len(at):
+        return np.zeros((3, 0), np.int64), False
+    j = j[at]
+    many = b.count[j]
+    width = len(h) + 1          # key of a pair: diagonal, then place in a
+    frequent = bool(many.sum() > MATCHES * (len(h) + len(b.h)))
+    if frequent:
+        first, last = _run_ends(at, j, len(h), b)
+    else:
+        k = np.repeat(np.arange(len(at)), many)
+        off = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+        x, y = at[k], b.order[b.start[j][k] + off]
+        key = np.sort((x - y + len(b.h)) * width + x)
+        cut = np.flatnonzero(np.diff(key) != 1)
+        first, last = key[np.concatenate([[0], cut + 1])], key[np.concatenate([cut, [len(key) - 1]])]
+    x = first % width
+    y = x - first // width + len(b.h)
+    return np.stack([x, y, last - first + K]), frequent
+
+
+def _run_ends(at: np.ndarray, kind: np.ndarray, size: int, b: Places) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first and of the last pairs of all runs, in the same order; at: the places in a (of
+    ``size``) whose k-mer is a kind of b. A run starts where the k-mers before differ, and ends where those
+    behind do: the places in b of one kind are grouped by their neighbour, so only such pairs are made."""
+    kinds = len(b.kinds)
+    of_a, of_b = np.full(size + 2, kinds), np.empty(len(b.h) + 2, np.int64)     # kinds: none that b has
+    of_a[at + 1] = kind
+    of_b[[0, -1]] = kinds + 1
+    of_b[b.order + 1] = np.repeat(np.arange(kinds), b.count)
+    out = []
+    for side in (-1, 1):
+        code = of_b[1:-1] * (kinds + 2) + of_b[1 + side:len(b.h) + 1 + side]
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        own = kind * (kinds + 2) + of_a[at + 1 + side]
+        begin, end = b.start[kind], b.start[kind] + b.count[kind]
+        same, behind = np.searchsorted(code, own), np.searchsorted(code, own, "right")
+        many = end - begin - (behind - same)
+        k = np.repeat(np.arange(len(at)), many)
+        off = begin[k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+        y = order[np.where(off < same[k], off, off + (behind - same)[k])]
+        out.append(np.sort((at[k] - y + len(b.h)) * (size + 1) + at[k]))
+    return out[0], out[1]
 
 
 def _near(frags: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
@@ -381,34 +395,50 @@ WAYS = [(p, q, most) for most in range(1, RESYNC + 1)
         for p, q in [(most, most), *(w for less in range(most - 1, -1, -1) for w in ((most, less), (less, most)))]]
 
 
-def carried_on(a: list[bytes], b: list[bytes], x: int, y: int, step: int, matched: int, size: int, identity: float):
+def _run(a: list[bytes], b: list[bytes], x: int, y: int, step: int) -> int:
+    """Equal words from (x, y) on."""
+    most = min(len(a) - x, len(b) - y) if step > 0 else min(x, y) + 1
+    n = 0
+    while n < most and a[x + step * n] == b[y + step * n]:
+        n += 1
+    return n
+
+
+def _onward(a: list[bytes], b: list[bytes], x: int, y: int, step: int):
+    """The first of WAYS over the words at (x, y) that a word (if as many were changed) or two equal words follow,
+    and the equal words behind it; None if there is none."""
+    na, nb = (len(a) - x, len(b) - y) if step > 0 else (x + 1, y + 1)
+    for p, q, most in WAYS:
+        if p < na and q < nb and a[x + step * p] == b[y + step * q] and (p == q == 1 or (
+                p + 1 < na and q + 1 < nb and a[x + step * (p + 1)] == b[y + step * (q + 1)])):
+            return p, q, most, _run(a, b, x + step * p, y + step * q, step)
+    return None
+
+
+def carried_on(a: list[bytes], b: list[bytes], x: int, y: int, step: int, matched: int, size: int, identity: float, ways: dict):
     """(x, y, matched) of an end carried on from (x, y) in steps of +1 or -1: over equal words, and over up to
     RESYNC changed, added or missing words that a word (if as many were changed) or two equal words follow. The
-    farthest equal word at which ``identity`` of all words, and over half of the new ones, are aligned."""
-    na, nb = (len(a), len(b)) if step > 0 else (x + 1, y + 1)     # words ahead are counted from (x, y)
-    if step > 0:
-        na, nb = na - x, nb - y
-    i = j = got = gone = 0
+    farthest equal word at which ``identity`` of all words, and over half of the new ones, are aligned. ``ways``
+    remembers the ways of the pair, as many chains go on alike."""
+    got = gone = 0
     best = (x, y, 0)
+    run = _run(a, b, x, y, step)
     while True:
-        while i < na and j < nb and a[x + step * i] == b[y + step * j]:
-            i, j, got, gone = i + 1, j + 1, got + 1, gone + 1
+        x, y, got, gone = x + step * run, y + step * run, got + run, gone + run
         if got > best[2] and 2 * got > gone and matched + got >= identity * (size + gone):
-            best = (x + step * i, y + step * j, got)
-        slack = (matched + got) / identity - size - gone
-        for p, q, most in WAYS:
-            if most > slack:
-                return best
-            k, m = i + p, j + q
-            if k < na and m < nb and a[x + step * k] == b[y + step * m] and (p == q == 1 or (
-                    k + 1 < na and m + 1 < nb and a[x + step * (k + 1)] == b[y + step * (m + 1)])):
-                break
-        else:
+            best = (x, y, got)
+        at = (x, y, step)
+        if at not in ways:
+            ways[at] = _onward(a, b, x, y, step)
+        if ways[at] is None:
+            return best
+        p, q, most, run = ways[at]
+        if most > (matched + got) / identity - size - gone:
             return best
-        i, j, gone = k, m, gone + most
+        x, y, gone = x + step * p, y + step * q, gone + most
 
 
-def passages(chain, a: list[bytes], b: list[bytes], min_words: int, identity: float):
+def passages(chain, a: list[bytes], b: list[bytes], min_words: int, identity: float, ways: dict):
     """(start, end, other_start, other_end, matched) of the passages of a chain."""
     parts, cur = [], [chain[0]]
     for f in chain[1:]:
@@ -430,9 +460,9 @@ def passages(chain, a: list[bytes], b: list[bytes], min_words: int, identity: fl
             gaps.append((max(x - px - pn, y - py - pn), sum(k.size for k in m.get_matching_blocks())))
         matched = sum(n for _, _, n in part) + sum(m for _, m in gaps)
         if matched >= identity * max(x1 - x0, y1 - y0):
-            i, j, more = carried_on(a, b, x0 - 1, y0 - 1, -1, matched, max(x1 - x0, y1 - y0), identity)
+            i, j, more = carried_on(a, b, x0 - 1, y0 - 1, -1, matched, max(x1 - x0, y1 - y0), identity, ways)
             x0, y0, matched = i + 1, j + 1, matched + more
-            x1, y1, more = carried_on(a, b, x1, y1, 1, matched, max(x1 - x0, y1 - y0), identity)
+            x1, y1, more = carried_on(a, b, x1, y1, 1, matched, max(x1 - x0, y1 - y0), identity, ways)
             matched += more
             if max(x1 - x0, y1 - y0) >= min_words:
                 yield x0, x1, y0, y1, matched
@@ -441,11 +471,110 @@ def passages(chain, a: list[bytes], b: list[bytes], min_words: int, identity: fl
             parts += [part[:worst + 1], part[worst + 1:]]
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words, for use in this process only."""
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(U64)
+
+
+def _fixed(frags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fragments that carried_on leaves as they are: no way over changed words is open at either end."""
+    x, y, n = frags
+    room = RESYNC + 2
+    a, b = (np.concatenate([np.full(room, none, U64), h, np.full(room, none, U64)]) for h, none in ((a, U64(1)), (b, U64(2))))
+    open_end = np.zeros(len(x), bool)
+    for step, i, j in ((1, x + n + room, y + n + room), (-1, x - 1 + room, y - 1 + room)):
+        same = {(p, q): a[i + step * p] == b[j + step * q] for p in range(room) for q in range(room)}
+        for p, q, _ in WAYS:
+            open_end |= same[p, q] if p == q == 1 else same[p, q] & same[p + 1, q + 1]
+    return ~open_end
+
+
+def _linked(frags: np.ndarray) -> np.ndarray:
+    """Fragments that may have another one before or behind them in the same part of a chain."""
+    x, y, n = frags
+    cell, row = 2 * (MAX_GAP + K), 1 << 31          # a side of a cell is longer than where a neighbour can be
+    starts, ends = x // cell * row + y // cell, (x + n) // cell * row + (y + n) // cell
+    out = np.zeros(len(x), bool)
+    for of, i, j in ((starts, x + n - K, y + n - K), (ends, x - MAX_GAP, y - MAX_GAP)):
+        for p in (0, 1):
+            for q in (0, 1):
+                out |= np.isin((i // cell + p) * row + j // cell + q, of)
+    return out
+
+
+def _least_cover(frags: np.ndarray) -> np.ndarray:
+    """The fewest fragments that hold all places in a that the fragments hold."""
+    frags = frags[:, np.lexsort((-frags[2], frags[0]))]
+    x, end = frags[0], frags[0] + frags[2]
+    farther = np.concatenate([np.ones(len(x[:1]), bool), end[1:] > np.maximum.accumulate(end)[:-1]])
+    frags, x, end = frags[:, farther], x[farther], end[farther]
+    out, at = [], 0
+    while at < len(x):
+        out.append(at)
+        at = max(at + 1, int(np.searchsorted(x, end[at], "right")) - 1)
+    return frags[:, np.array(out, np.int64)]
+
+
+def _told(frags, w, other, hashes, min_words: int, identity: float, frequent: bool):
+    """The passages of a pair that are told. A place that matches several places is told once: the best chains
+    come first, and a passage inside one told is left out. Where k-mers are ``frequent``, the chain with the most
+    words not yet told comes next, and a passage is left out once all its words are told."""
+    if frequent:        # fragments that stay alone are passages as they are, or none
+        alone = _fixed(frags, *hashes) & ~_linked(frags)
+        lone, frags = frags[:, alone & (frags[2] >= min_words)], frags[:, ~alone]
+    found = chains(_near(sorted(zip(*frags.tolist(), strict=True)), LEAST * min_words))
+    if frequent:
+        found += [[f] for f in zip(*_least_cover(lone).tolist(), strict=True)]
+    single = [c[0] for c in found if len(c) == 1] if len(found) > FEW else []
+    fixed = dict(zip(single, _fixed(np.array(single, np.int64).T, *hashes).tolist(), strict=True)) if single else {}
+    seen, told, ways = bytearray(len(w)), [], {}
+
+    def tell(passage):
+        x0, x1 = passage[:2]
+        new = seen.find(0, x0, x1) >= 0
+        if new or not (frequent or any(a <= x0 and x1 <= b for a, b in told)):
+            told.append((x0, x1))
+            seen[x0:x1] = b"\1" * (x1 - x0)
+            yield passage
+
+    def alone(chain):
+        return len(chain) == 1 and fixed.get(chain[0], False)
+
+    def passages_of(chain):
+        if alone(chain):
+            x, y, n = chain[0]
+            if n >= min_words:
+                yield from tell((x, x + n, y, y + n, n))
+            return
+        for passage in passages(chain, w, other, min_words, identity, ways):
+            yield from tell(passage)
+
+    spans = [(c[0][0], c[-1][0] + c[-1][2], c[-1][1] + c[-1][2] - c[0][1]) for c in found]
+    todo = [k for k, (x0, x1, size) in enumerate(spans) if max(x1 - x0, size) >= LEAST * min_words]
+    if not frequent:
+        for k in todo:
+            yield from passages_of(found[k])
+        return
+    heap = [(x0 - x1, k) for k in todo for x0, x1, _ in [spans[k]]]
+    heapify(heap)
+    while heap:
+        new, k = heap[0]
+        x0, x1, _ = spans[k]
+        now = seen.count(1, x0, x1) - (x1 - x0)
+        if now == 0 and alone(found[k]):
+            heappop(heap)
+        elif now > new:
+            heapreplace(heap, (now, k))
+        else:
+            heappop(heap)
+            yield from passages_of(found[k])
+
+
 def _align(min_words: int, identity: float):
     names = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched", "identity"]
 
     def run(batches):
-        cache, whole, other, theirs = WordHash(), b"", [], None
+        whole, other, theirs, their_words = b"", [], None, None
         for batch in batches:
             rows = []
             for doc, hub, t in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -459,20 +588,17 @@ def _align(min_words: int, identity: float):
                     if len(w) >= max(K, min_words):
                         rows.append((doc.as_py(), hub.as_py(), 0, len(w), 0, len(w), len(w), 1.0))
                     continue
-                theirs = theirs or Places(shingle_hashes(cache.of(other), K))
                 if len(w) < K or len(other) < K:
                     continue
-                frags = fragments(theirs if doc == hub else Places(shingle_hashes(cache.of(w), K)), theirs)
+                if theirs is None:
+                    their_words = word_hashes(other)
+                    theirs = Places(shingle_hashes(their_words, K))
+                words = their_words if doc == hub else word_hashes(w)
+                frags, frequent = fragments(theirs.h if doc == hub else shingle_hashes(words, K), theirs)
                 if doc == hub:
-                    frags = [f for f in frags if f[0] - f[1] >= min_words]
-                frags = _near(frags, LEAST * min_words)
-                told: list[tuple[int, int]] = []
-                for chain in chains(frags):
-                    for x0, x1, y0, y1, m in passages(chain, w, other, min_words, identity):
-                        if any(a <= x0 and x1 <= b for a, b in told):
-                            continue
-                        told.append((x0, x1))
-                        rows.append((doc.as_py(), hub.as_py(), x0, x1, y0, y1, m, m / max(x1 - x0, y1 - y0)))
+                    frags = frags[:, frags[0] - frags[1] >= min_words]
+                for x0, x1, y0, y1, m in _told(frags, w, other, (words, their_words), min_words, identity, frequent):
+                    rows.append((doc.as_py(), hub.as_py(), x0, x1, y0, y1, m, m / max(x1 - x0, y1 - y0)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)

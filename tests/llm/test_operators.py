@@ -308,6 +308,44 @@ def test_passages_with_repeated_words():
     assert [(r["start"], r["end"]) for r in aligned([f"{junk} {base}", f"{base} {junk}"])] in ([(60, 3060), (0, 60)], [(0, 60), (60, 3060)])
 
 
+def test_runs_of_frequent_words_against_brute_force():
+    """Every maximal run of equal k-mers, however frequent they are; alone fragments are told as long as words are new."""
+    from fansignal.llm.words import shingle_hashes
+    r, k, seen = np.random.default_rng(5), op6_passages.K, set()
+    for n, m, kinds in ((200, 150, 1), (300, 200, 2), (250, 250, 3), (80, 300, 40), (6, 400, 1), (400, 300, 12)):
+        line = r.integers(0, kinds, 12)
+        a, b = (shingle_hashes(np.where(r.random(size) < 0.05, r.integers(0, kinds + 1, size), np.resize(line, size)).astype(np.uint64), k)
+                for size in (n, m))
+        equal = a[:, None] == b[None, :]
+        want = []
+        for x, y in zip(*np.nonzero(equal), strict=True):
+            if x and y and equal[x - 1, y - 1]:
+                continue
+            run = 0
+            while x + run < len(a) and y + run < len(b) and equal[x + run, y + run]:
+                run += 1
+            want.append((x, y, run + k - 1))
+        found, frequent = op6_passages.fragments(a, op6_passages.Places(b))
+        seen.add(frequent)
+        assert sorted(zip(*found.tolist(), strict=True)) == sorted(want)
+    assert seen == {True, False}
+
+
+def test_passages_of_frequent_words():
+    """All words of a long repetition are told, in few rows, and a repetition inside one text as well."""
+    hub, doc = f"{text(91, 60)} {'so ' * 120}{text(92, 60)}", f"{text(93, 30)} {'so ' * 1000}{text(94, 30)}"
+    rows = aligned([hub, doc])
+    assert set().union(*(range(r["start"], r["end"]) for r in rows)) >= set(range(30, 1030)) and len(rows) < 15
+    assert all(r["identity"] == 1.0 for r in rows if 30 <= r["start"] and r["end"] <= 1030)
+    import pyarrow as pa
+    own = f"{'so ' * 400}{text(95, 80)}"
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 1], pa.int64()), pa.array([1, 1], pa.int64()), pa.array([own, own])],
+                                       ["doc_id", "other_id", "text"])
+    told = [x for b in op6_passages._align(50, 0.8)([batch]) for x in b.to_pylist()]
+    assert set().union(*(range(x["start"], x["end"]) for x in told)) >= set(range(50, 400))
+    assert all(x["start"] - x["other_start"] >= 50 for x in told)
+
+
 def test_exact_passages_against_brute_force(spark):
     """Every document with 50 words of an earlier one, or twice 50 of its own far apart, is told; others are not."""
     r = np.random.default_rng(77)
