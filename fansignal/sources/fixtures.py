@@ -100,7 +100,7 @@ STAGE_BY_PRIORITY = {"1": "FINAL", "2": "QUARTER_FINALS", "3": "ROUND_OF_16",
 STATUS_BY_ORDERSTATUS = {"F": "FT", "O": "NS", "P": "1H"}
 
 
-PART_BYTES = 8 << 20      # of the match tables' files to a partition
+PART_BYTES = 4 << 20      # of the match tables' files to a partition
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> int:

@@ -86,6 +86,12 @@ def test_match_views_have_partitions_by_the_bytes_of_the_tables(spark, tmp_path,
     assert sorted((r.fixture_id, r.pos, r.type) for r in events.collect()) == [(1, 1, "Goal"), (25, 1, "Card")]
 
 
+def test_a_task_of_the_match_views_holds_4_mb_of_files(spark, monkeypatch):
+    """i19, a12: four sorts of a task's lines lie in memory at once."""
+    monkeypatch.setattr(fx, "file_bytes", lambda spark, path: 300 << 20)
+    assert fx._parts(spark, "any") >= 150
+
+
 def test_accents_go_by_slices_of_a_batch():
     """d08: a batch is an Arrow array, of which a few texts at a time are Python strings."""
     texts = ["café", None, "plain", "ﬁn ", ""] * 150
