@@ -520,13 +520,21 @@ def _told(frags, w, other, hashes, min_words: int, identity: float, frequent: bo
     come first, and a passage inside one told is left out. Where k-mers are ``frequent``, the chain with the most
     words not yet told comes next, and a passage is left out once all its words are told."""
     if frequent:        # fragments that stay alone are passages as they are, or none
-        alone = _fixed(frags, *hashes) & ~_linked(frags)
+        linked = _linked(frags)
+        frags, linked = (part[..., linked | (frags[2] >= LEAST * min_words)] for part in (frags, linked))
+        as_is = _fixed(frags, *hashes)
+        alone = as_is & ~linked
         lone, frags = frags[:, alone & (frags[2] >= min_words)], frags[:, ~alone]
     found = chains(_near(sorted(zip(*frags.tolist(), strict=True)), LEAST * min_words))
     if frequent:
-        found += [[f] for f in zip(*_least_cover(lone).tolist(), strict=True)]
-    single = [c[0] for c in found if len(c) == 1] if len(found) > FEW else []
-    fixed = dict(zip(single, _fixed(np.array(single, np.int64).T, *hashes).tolist(), strict=True)) if single else {}
+        cover = _least_cover(lone)
+        found += [[f] for f in zip(*cover.tolist(), strict=True)]
+        fixed = set(zip(*frags[:, as_is[~alone]].tolist(), strict=True)).union(c[0] for c in found[len(found) - cover.shape[1]:])
+    elif len(found) > FEW:
+        single = np.array([c[0] for c in found if len(c) == 1], np.int64).reshape(-1, 3).T
+        fixed = set(zip(*single[:, _fixed(single, *hashes)].tolist(), strict=True))
+    else:
+        fixed = set()
     seen, told, ways = bytearray(len(w)), [], {}
 
     def tell(passage):
@@ -538,7 +546,7 @@ def _told(frags, w, other, hashes, min_words: int, identity: float, frequent: bo
             yield passage
 
     def alone(chain):
-        return len(chain) == 1 and fixed.get(chain[0], False)
+        return len(chain) == 1 and chain[0] in fixed
 
     def passages_of(chain):
         if alone(chain):
