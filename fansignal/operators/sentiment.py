@@ -233,12 +233,13 @@ def team_sentiment(posts: DataFrame, teams: DataFrame, as_of: Column, hours_back
     count (non-null labels), positive / negative ratios. Teams without posts get defaults.
     Hot teams are fine: the aggregate is partial (map-side) before the shuffle on team."""
     p = time_range(posts, as_of, hours_back, ts)
+    teams = staged(teams.select(team_col).distinct(), "team-names")     # read for the tokens and for the defaults
     scored = post_team_pairs(p, teams, post_id, text, team_col, strict, carry=["sentiment_label", "sentiment_score"])
     lab = F.col("sentiment_label")
     agg = scored.groupBy("team").agg(
         F.avg("sentiment_score").alias("_avg"), F.count(lab).alias("post_count"),
         F.count_if(lab == "positive").alias("_pos"), F.count_if(lab == "negative").alias("_neg"))
-    allt = teams.select(F.col(team_col).alias("team")).distinct()
+    allt = teams.select(F.col(team_col).alias("team"))
     out = allt.join(agg, "team", "left")
     n = F.greatest(F.coalesce(F.col("post_count"), F.lit(0)), F.lit(1))
     return out.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fansignal.functions import match as mf
 from fansignal.sources.tables import file_bytes, materialized, table
 from fansignal.sources import matches as msrc
 
@@ -141,17 +142,21 @@ def _lines(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     return li.withColumn("minute", (1 + F.col("l_partkey") % 90).cast("int"))
 
 
-def fixture_events_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw provider events (goals 'R', cards 'A', substitutions 'N') from lineitem."""
+def fixture_events_v(spark: SparkSession, sf_dir: str, events_for: list[str] | None = None) -> DataFrame:
+    """Raw provider events (goals 'R', cards 'A', substitutions 'N') from lineitem; of fixtures that
+    have a row of one of the statuses ``events_for``, if given (A07: the others are not fetched)."""
     li = _lines(spark, sf_dir)
-    t = _teams(spark, sf_dir).select("o_orderkey", "home", "away")
+    t = _teams(spark, sf_dir)
+    if events_for:
+        wanted = mf.status_map(F.coalesce(_lookup(STATUS_BY_ORDERSTATUS, F.col("o_orderstatus")), F.lit(""))).isin(events_for)
+        t = t.withColumn("_wanted", F.max(wanted).over(Window.partitionBy("o_orderkey"))).filter("_wanted")
+    t = t.select("o_orderkey", "home", "away")
     j = li.join(t, li.l_orderkey == t.o_orderkey)
     rf, pk, sk = F.col("l_returnflag"), F.col("l_partkey"), F.col("l_suppkey")
     p_next = F.concat(F.lit("P"), (sk + 1).cast("string"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return j.select(
-        F.col("l_orderkey").alias("fixture_id"),
-        F.row_number().over(w).alias("pos"),
+    return j.withColumn("pos", F.row_number().over(w)).select(       # numbered first: narrow rows are sorted
+        F.col("l_orderkey").alias("fixture_id"), "pos",
         F.struct(F.when(sk % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("name")).alias("team"),
         F.struct(F.concat(F.lit("P"), sk.cast("string")).alias("name")).alias("player"),
         F.struct(F.when(rf == "R", F.when(pk % 3 == 0, F.lit(None)).otherwise(p_next))
@@ -203,7 +208,7 @@ def matches_v(spark: SparkSession, sf_dir: str, events_for=("FINISHED", "LIVE"))
     and live matches; scheduled ones have none. Stored once as a table (the normalised
     matches table of a pipeline) so every plan reads it instead of re-deriving it."""
     def build():
-        return msrc.normalize_fixtures(fixtures_raw_v(spark, sf_dir), fixture_events_v(spark, sf_dir),
+        return msrc.normalize_fixtures(fixtures_raw_v(spark, sf_dir), fixture_events_v(spark, sf_dir, list(events_for)),
                                        events_for=list(events_for))
     return materialized(spark, "matches_v", f"{sf_dir}|{','.join(events_for)}", build)
 

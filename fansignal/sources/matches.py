@@ -27,20 +27,19 @@ def event_arrays(events: DataFrame) -> DataFrame:
         F.coalesce(F.col("team.name"), F.lit("")).alias("team"),
         F.col("player.name").alias("player"), F.col("assist.name").alias("assist"))
     is_goal = (F.col("type") == "Goal") & (F.coalesce(F.col("detail"), F.lit("")) != "Missed Penalty")
-    agg = e.groupBy("fixture_id").agg(
-        F.array_sort(F.collect_list(F.when(is_goal, F.struct(
-            "pos", "minute", "team", F.col("player").alias("scorer"), "assist",
-            F.col("detail").alias("type"))))).alias("_g"),
-        F.array_sort(F.collect_list(F.when(F.col("type") == "Card", F.struct(
-            "pos", "minute", "team", "player", F.col("detail").alias("card"))))).alias("_c"),
-        F.array_sort(F.collect_list(F.when(F.col("type") == "subst", F.struct(
-            "pos", "minute", "team", F.col("player").alias("player_out"),
-            F.col("assist").alias("player_in"))))).alias("_s"))
+    kind = F.when(is_goal, "g").when(F.col("type") == "Card", "c").when(F.col("type") == "subst", "s")
+    # one list a fixture; a card has no second player, so it is ordered without
+    agg = e.groupBy("fixture_id").agg(F.array_sort(F.collect_list(F.when(kind.isNotNull(), F.struct(
+        "pos", "minute", "team", "player", F.when(kind != "c", F.col("assist")).alias("assist"), "detail", kind.alias("kind"))))).alias("_e"))
+
+    def of(kind, **fields):
+        return F.transform(F.filter("_e", lambda x: x["kind"] == kind),
+                           lambda x: F.struct(*[x[c].alias(k) for k, c in ({"minute": "minute", "team": "team"} | fields).items()]))
     return agg.select(
         "fixture_id",
-        F.transform("_g", lambda s: s.dropFields("pos")).alias("goals"),
-        F.transform("_c", lambda s: s.dropFields("pos")).alias("cards"),
-        F.transform("_s", lambda s: s.dropFields("pos")).alias("substitutions"))
+        of("g", scorer="player", assist="assist", type="detail").alias("goals"),
+        of("c", player="player", card="detail").alias("cards"),
+        of("s", player_out="player", player_in="assist").alias("substitutions"))
 
 
 def normalize_fixtures(fixtures: DataFrame, events: DataFrame | None = None,

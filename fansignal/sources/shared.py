@@ -2,8 +2,8 @@
 
 A result (team features, sentiment, ...) is computed once and stored; every reader within the
 limit uses the stored table. A stored result is used only if it was built by the same version of
-its definition, from the same input files (their paths, lengths and times) and not longer ago
-than the limit; else it is rebuilt. A new version is written to a fresh folder and
+its definition, from the same input files (their paths, lengths and times before the build) and
+published not longer ago than the limit; else it is rebuilt. A new version is written to a fresh folder and
 becomes visible by its manifest, so a reader sees the old table or the new one, never half of
 one; the versions before the newest ``keep`` go.
 """
@@ -66,8 +66,9 @@ class SharedResults:
         if m is None:
             seen = self._newest(name)
             number = seen["number"] + 1 if seen else 1
-            m = {"number": number, "definition": definition, "built_at": self.clock(), "inputs": fingerprint(self.spark, inputs)}
+            m = {"number": number, "definition": definition, "inputs": fingerprint(self.spark, inputs)}
             m["data"] = write_version(build(), f"{self.root}/{name}/data")
+            m["built_at"] = self.clock()        # a build longer than the limit is not old when it ends
             self.rebuilt += 1
             if not self._folder(name).publish(f"{number:012d}.json", m):
                 m = self._folder(name).read(f"{number:012d}.json")

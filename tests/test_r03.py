@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from fansignal.functions import scoring as sc
 from fansignal.functions import text as tx
 from fansignal.operators import dedup as dd
+from fansignal.operators import features as feat
 from fansignal.operators import model as mdl
 from fansignal.operators import sentiment as sent
 from fansignal.plans import catalog
 from fansignal.sources import fixtures as fx
+from fansignal.sources.shared import SharedResults
 
 
 def test_rounding_keeps_weights_beyond_the_decimal(spark):
@@ -114,3 +116,47 @@ def test_boosted_classifiers_are_fitted_side_by_side(spark, monkeypatch):
     got = mdl.fit_boosted(frame)
     assert [[tuple(r) for r in m] for m in got] == [[(0.0, 5), (1.0, 1)], [(0.0, 3), (1.0, 3)], [(0.0, 4), (1.0, 2)]]
     assert read == [True] * 3
+
+
+def test_a_build_longer_than_the_limit_is_built_once(spark, tmp_path):
+    """m02, l09 fitted: the limit counts from the moment at which a result can be read."""
+    clock, built = [1000.0], []
+
+    def build():
+        built.append(1)
+        clock[0] += 400
+        return spark.range(3)
+    results = SharedResults(spark, str(tmp_path / "out"), clock=lambda: clock[0])
+    assert [results.get("teams", build, [], ttl=300).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    clock[0] += 300
+    assert results.get("teams", build, [], ttl=300).count() == 3 and len(built) == 2
+
+
+def test_form_ranks_only_matches_that_can_have_a_weight(spark):
+    """m02, l09 fitted (team table): days before the newest 3,340 matches of a team are not shuffled."""
+    ids = spark.range(9000).withColumn("day", F.when(F.col("id") < 4000, 1).when(F.col("id") < 8000, 2).otherwise(3))
+    m = ids.select(F.col("id").alias("match_id"), F.lit("x").alias("stage"), F.make_timestamp_ntz(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)).alias("utc_date"),
+                   F.lit("A").alias("home_team"), F.when(F.col("id") < 2, "B").otherwise("A2").alias("away_team"),
+                   *[(F.col("id") % (3 + i)).cast("int").alias(c) for i, c in enumerate(("home_score_ft", "away_score_ft", "home_score_ht", "away_score_ht"))],
+                   F.when(F.col("id") % 2 == 0, "HOME_TEAM").otherwise("DRAW").alias("winner"),
+                   F.lit(None).cast("array<struct<team:string>>").alias("goals"), F.lit(None).cast("array<struct<team:string>>").alias("cards"))
+    rows = feat.team_match_rows(m)
+    part = feat.with_recency_weight(rows, weighted_only=True)
+    assert {r.team: r["count"] for r in part.groupBy("team").count().collect()} == {"A": 5000, "A2": 5000, "B": 2}
+    whole = {r.team: (r.w, r.p) for r in feat.with_recency_weight(rows).groupBy("team").agg(F.sum("weight").alias("w"), F.sum(F.col("points") * F.col("weight")).alias("p")).collect()}
+    got = {r.team: r for r in feat.team_features(m).collect()}
+    assert {t: r.matches_played for t, r in got.items()} == {"A": 9000, "A2": 8998, "B": 2}
+    assert all(abs(got[t].form_score - p / w) < 1e-12 for t, (w, p) in whole.items())
+
+
+def test_events_are_made_for_wanted_fixtures_only(spark, tmp_path):
+    """m02, l09 fitted (stored matches): a scheduled match's lines go before they are sorted and grouped."""
+    where = _tables(spark, tmp_path, [(1, "x")])
+    assert fx.fixture_events_v(spark, where, ["LIVE", "FINISHED"]).count() == 2 and fx.fixture_events_v(spark, where, ["LIVE"]).count() == 0
+    more = spark.createDataFrame([(25, 1, "O", "1-URGENT"), (1, 1, None, None)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    more.write.mode("append").parquet(f"{where}/orders.parquet")
+    for statuses in (["FINISHED"], ["SCHEDULED"], [""]):     # a key's events are those of all its rows
+        want = {r.fixture_id for r in fx.fixtures_raw_v(spark, where).select(F.col("fixture.id").alias("fixture_id"), F.col("fixture.status.short").alias("s")).collect()
+                if {"FT": "FINISHED", "NS": "SCHEDULED", None: ""}[r.s] in statuses}
+        rows = lambda df: sorted((r.fixture_id, r.pos, r.type) for r in df.collect())
+        assert rows(fx.fixture_events_v(spark, where, statuses)) == [r for r in rows(fx.fixture_events_v(spark, where)) if r[0] in want]
