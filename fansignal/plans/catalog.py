@@ -568,23 +568,24 @@ def l04_scaling(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    fr = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
-    model, _ = mdl.fit_logistic(fr)
-    return model, fr
+    """The fitted model and the profile it was fitted on: whoever scores with it reads the same table,
+    which a fit longer than the limit of shared results would make old."""
+    profile = _profile(spark, sf_dir)
+    model, _ = mdl.fit_logistic(mdl.training_frame(_finished(spark, sf_dir), profile))
+    return model, profile
 
 
 def l05_logistic_predictions(spark, sf_dir):
-    model, _ = _fitted(spark, sf_dir)
-    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), _profile(spark, sf_dir),
+    model, profile = _fitted(spark, sf_dir)
+    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), profile,
                             keep=["match_id", "home_team", "away_team"])
     return mdl.predict(model, rows, ["match_id", "home_team", "away_team"])
 
 
 def l06_boosted_predictions(spark, sf_dir):
-    fr = mdl.training_frame(_finished(spark, sf_dir), _profile(spark, sf_dir))
-    models = mdl.fit_boosted(fr)
-    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), _profile(spark, sf_dir),
-                            keep=["match_id"])
+    profile = _profile(spark, sf_dir)
+    models = mdl.fit_boosted(mdl.training_frame(_finished(spark, sf_dir), profile))
+    rows = mdl.feature_rows(msrc.scheduled_matches(fx.matches_v(spark, sf_dir)), profile, keep=["match_id"])
     return mdl.score_boosted(models, rows, ["match_id"])
 
 
@@ -593,8 +594,8 @@ def l09_leaderboard(spark, sf_dir):
 
 
 def l09_leaderboard_fitted(spark, sf_dir):
-    model, _ = _fitted(spark, sf_dir)
-    return _round(mdl.leaderboard(model, _profile(spark, sf_dir)))
+    model, profile = _fitted(spark, sf_dir)
+    return _round(mdl.leaderboard(model, profile))
 
 
 def l07_predict_closed_form(spark, sf_dir):
@@ -612,8 +613,9 @@ def l11_prediction_card(spark, sf_dir):
     m = fx.matches_v(spark, sf_dir)
     show = mdl.predictions_to_show(msrc.scheduled_matches(m), msrc.finished_matches(m))
     keep = ["match_id", "utc_date", "home_team", "away_team"]
-    pred = mdl.predict(mdl.reference_scorer(), mdl.feature_rows(show, _profile(spark, sf_dir), keep=keep), keep, source="closed_form")
-    cards = mdl.prediction_cards(pred, _team_table(spark, sf_dir), feat.top_players_per_team(_players(spark, sf_dir), 3))
+    teams = _team_table(spark, sf_dir)
+    pred = mdl.predict(mdl.reference_scorer(), mdl.feature_rows(show, mdl.team_profile(teams), keep=keep), keep, source="closed_form")
+    cards = mdl.prediction_cards(pred, teams, feat.top_players_per_team(_players(spark, sf_dir), 3))
     line = lambda p: F.concat_ws(" ", p["player"], p["goals"].cast("string"), p["assists"].cast("string"))
     return _round(cards.withColumns({f"{s}_players": F.array_join(F.transform(f"{s}_players", line), ", ") for s in ("home", "away")}))
 
@@ -684,9 +686,10 @@ def m01_kpis(spark, sf_dir):
 
 
 def m02_leaderboard_table(spark, sf_dir):
-    lb = mdl.leaderboard(mdl.reference_scorer(), _profile(spark, sf_dir), block_size=8)
-    t = _team_table(spark, sf_dir).select("team", "form_score", "goal_difference", "total_points", "matches_played",
-                                          F.coalesce("avg_sentiment", F.lit(0.5)).alias("avg_sentiment"))
+    teams = _team_table(spark, sf_dir)      # read once: the second time it could be old
+    lb = mdl.leaderboard(mdl.reference_scorer(), mdl.team_profile(teams), block_size=8)
+    t = teams.select("team", "form_score", "goal_difference", "total_points", "matches_played",
+                     F.coalesce("avg_sentiment", F.lit(0.5)).alias("avg_sentiment"))
     return _round(lb.join(t, "team", "left").orderBy("rank"), {"avg_sentiment": 3})
 
 

@@ -132,6 +132,20 @@ def test_a_build_longer_than_the_limit_is_built_once(spark, tmp_path):
     assert results.get("teams", build, [], ttl=300).count() == 3 and len(built) == 2
 
 
+def test_leaderboards_read_the_team_table_once(spark, monkeypatch):
+    """m02, l09 fitted: a fit or a ranking between two reads made the table old, and it was built again."""
+    teams = spark.createDataFrame([("A", 2.0, 3, 4.0, 5), ("B", 1.0, 1, 1.0, 5)], "team string, form_score double, goal_difference int, total_points double, matches_played int")
+    read = []
+    monkeypatch.setattr(catalog, "_team_table", lambda *a: read.append(1) or teams.withColumn("avg_sentiment", F.lit(0.5)))
+    monkeypatch.setattr(catalog, "_finished", lambda *a: None)
+    monkeypatch.setattr(mdl, "training_frame", lambda finished, profile: None)
+    monkeypatch.setattr(mdl, "fit_logistic", lambda frame: (mdl.reference_scorer(), {}))
+    for query in (catalog.m02_leaderboard_table, catalog.l09_leaderboard_fitted):
+        read.clear()
+        assert [r.team for r in query(spark, "none").orderBy("rank").collect()] == ["A", "B"]
+        assert len(read) == 1
+
+
 def test_form_ranks_only_matches_that_can_have_a_weight(spark):
     """m02, l09 fitted (team table): days before the newest 3,340 matches of a team are not shuffled."""
     ids = spark.range(9000).withColumn("day", F.when(F.col("id") < 4000, 1).when(F.col("id") < 8000, 2).otherwise(3))
