@@ -1,0 +1,21 @@
+"""Disk and time of queries over tables several times as large: what a review found to go beyond the limits."""
+import os
+
+from fansignal.llm.op6_passages import repeated_passages
+from fansignal.session import shared_dir
+
+
+def _staged(spark):
+    at = f"{shared_dir(spark)}/staged".removeprefix("file://")
+    return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+
+def test_passages_drop_the_tables_no_later_step_reads(spark):
+    """op6: seeds and what comes of them go as soon as the pairs are known."""
+    words = [f"w{i * i % 997}x{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[i * 20:i * 20 + 80], f"end{i}"])) for i in range(12)] + [(90, " ".join(words[:80])), (91, " ".join(words[:80]))]
+    before = _staged(spark)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {name.rpartition("-")[0].split("-")[0] for name in _staged(spark) - before}
+    assert left == {"pairs"}
+    assert {(91, 90), (1, 0)} <= {(r.doc_id, r.other_id) for r in got.collect()}
