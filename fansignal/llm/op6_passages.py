@@ -631,17 +631,17 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, identity: float
     firsts = (seeds.filter(F.col("seed").isin(edges)).groupBy("seed")
               .agg(F.min(F.struct("doc_id", "pos")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     firsts = {r.seed: (r.hub.doc_id, r.hub.pos) for r in firsts.collect()}
-    dropped(seeds)
+    dropped(documents.sparkSession, seeds)
     met = held.mapInArrow(_settled(firsts), "doc_id long, pos int, hub long, hub_pos int")
     by_doc = met.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
     found = staged(by_doc.mapInArrow(_meet(min_words), "doc_id long, other_id long, key long"), "meetings")
-    dropped(held)
+    dropped(documents.sparkSession, held)
     keys = found.filter("key is not null").select("key", "doc_id")
     holders = keys.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last")).filter("other_id < last")
     longer = keys.join(holders.select("key", "other_id"), "key").filter("doc_id <> other_id").select("doc_id", "other_id")
     pairs = staged(found.filter("key is null").select("doc_id", "other_id").union(longer)
                    .union(copies.select("doc_id", "other_id")).distinct(), "pairs")
-    dropped(found, copies)
+    dropped(documents.sparkSession, found, copies)
     ids = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
     texts = d.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     # groups of a first document and some PARTNERS of its partners; its text leads each group

@@ -1,7 +1,12 @@
 """Disk and time of queries over tables several times as large: what a review found to go beyond the limits."""
 import os
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from fansignal.llm.op6_passages import repeated_passages
+from fansignal.operators import dedup as dd
 from fansignal.session import shared_dir
 
 
@@ -19,3 +24,50 @@ def test_passages_drop_the_tables_no_later_step_reads(spark):
     left = {name.rpartition("-")[0].split("-")[0] for name in _staged(spark) - before}
     assert left == {"pairs"}
     assert {(91, 90), (1, 0)} <= {(r.doc_id, r.other_id) for r in got.collect()}
+
+
+def _edited(seed, size=300):
+    """Texts of one to 80 words, many of them copies of earlier ones with some words changed."""
+    r, texts = random.Random(seed), []
+    for i in range(size):
+        w = list(r.choice(texts[-20:])) if texts and r.random() < 0.7 else [f"w{r.randrange(400)}" for _ in range(r.randrange(1, 80))]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"n{i}"
+        texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+def _sets_by_hand(texts):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append(frozenset(tuple(w[j:j + 3]) for j in range(len(w) - 2)) if len(w) >= 3 else frozenset(w))
+    return out
+
+
+def test_shared_shingles_are_counted_without_storing_the_hashes(spark):
+    """e05, e03, e06, f05: only the number of shingles that other posts hold is stored of every post."""
+    texts = [*_edited(1), "", None, "alone here now"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("ts", F.col("id")).repartition(5)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        sets = dd.shingle_sets(posts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert "h" not in sets.columns
+    by_hand = _sets_by_hand(texts)
+    held = Counter(x for s in by_hand for x in s)
+    want = {i: (len(s), sum(held[x] > 1 for x in s)) for i, s in enumerate(by_hand)}
+    assert {r.id: (r.n, r.shared) for r in sets.collect()} == want
+
+
+def test_keep_first_of_edited_copies(spark):
+    """e05: as by hand, whatever is left out on the way."""
+    texts = [*_edited(2), "", None, "two words", "two words"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ts", F.lit(1) - F.col("doc_id") % 7)
+    sets = _sets_by_hand(texts)
+    order = sorted(range(len(texts)), key=lambda i: (1 - i % 7, i))
+    at = {i: p for p, i in enumerate(order)}
+    want = [i for i, s in enumerate(sets) if not any(at[j] < at[i] and s and len(s & x) / len(s | x) >= 0.8 for j, x in enumerate(sets))]
+    assert sorted(r.doc_id for r in dd.keep_first(posts).collect()) == want and len(want) < 250
