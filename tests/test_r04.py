@@ -71,3 +71,24 @@ def test_keep_first_of_edited_copies(spark):
     at = {i: p for p, i in enumerate(order)}
     want = [i for i, s in enumerate(sets) if not any(at[j] < at[i] and s and len(s & x) / len(s | x) >= 0.8 for j, x in enumerate(sets))]
     assert sorted(r.doc_id for r in dd.keep_first(posts).collect()) == want and len(want) < 250
+
+
+def test_near_copies_meet_in_tiles(spark):
+    """e03: sets in another order that share most shingles share a min-hash, and tiles tell the same pairs as all pairs do."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(150)] = f"n{i}"
+        texts.append(" ".join(w[r.randrange(9):]))
+    sets = _sets_by_hand(texts)
+    posts = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ts", F.lit(5))
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(60) for i in range(j)}
+    want = {k: x for k, x in want.items() if x >= 0.8 and sets[k[0]] != sets[k[1]]}
+    before = _staged(spark)
+    got = {(p.earlier_id, p.later_id): p.jaccard for p in dd.near_duplicate_pairs(posts).collect()}
+    assert got == want
+    new = [x for x in _staged(spark) - before if x.startswith("similar-sets")]
+    in_tiles = spark.read.parquet(*[f"{shared_dir(spark)}/staged/{x}" for x in new]).count()
+    assert in_tiles > 0.95 * len(want)
