@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fansignal.llm.op6_passages import repeated_passages
 from fansignal.operators import dedup as dd
+from fansignal.operators import enrich as en
 from fansignal.session import shared_dir
 
 
@@ -92,3 +93,17 @@ def test_near_copies_meet_in_tiles(spark):
     new = [x for x in _staged(spark) - before if x.startswith("similar-sets")]
     in_tiles = spark.read.parquet(*[f"{shared_dir(spark)}/staged/{x}" for x in new]).count()
     assert in_tiles > 0.95 * len(want)
+
+
+def test_preprocess_keeps_no_hashes_while_texts_travel(spark):
+    """f05, e06: what is stored of all posts beside their texts goes before the texts travel, or holds no hashes."""
+    posts = spark.createDataFrame([(i, t, "fan", "web") for i, t in enumerate(_edited(5))], "post_id long, text string, author string, source string")
+    posts = posts.withColumn("timestamp", F.timestamp_seconds("post_id"))
+    before = _staged(spark)
+    en.preprocess(posts, F.lit("2026-06-11").cast("timestamp"))
+    first = {x.rpartition("-")[0] for x in _staged(spark) - before}
+    assert {"cleaned", "kept"} <= first and "shingle-sets" not in first and "first-sets" not in first
+    before = _staged(spark)
+    dd.rolling_dedup(posts, ["source"], ["timestamp", "post_id"])
+    new = [x for x in _staged(spark) - before if x.startswith("shingle-sets")]
+    assert new and "h" not in spark.read.parquet(*[f"{shared_dir(spark)}/staged/{x}" for x in new]).columns
